@@ -1 +1,220 @@
-"""placeholder"""
+"""Queries: feature engineering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marquee.functions.vector import r6
+from marquee.operators import features as FE
+from marquee.operators import resolve
+from marquee.plans.oracle_views import with_views
+from marquee.plans.registry import query
+from marquee.sources import views as V
+
+CAT = with_views("catalogue")
+
+
+def _w(df):
+    return df.select("tmdb_id", "family", "feature", r6("weight").alias("weight"))
+
+
+DECADE_SQL = """
+SELECT tmdb_id, 'decade' AS family, 'decade_' || CASE WHEN year < 1950 THEN 'Pre-1950' WHEN year >= 2020 THEN '2020s'
+       ELSE CAST(CAST(floor(year / 10) * 10 AS INTEGER) AS VARCHAR) || 's' END AS feature, 1.0 AS weight
+FROM catalogue WHERE year IS NOT NULL
+"""
+
+
+@query("decade", CAT + DECADE_SQL)
+def q_decade(spark, sf):
+    return _w(FE.decade_features(V.catalogue(spark, sf)))
+
+
+RUNTIME_SQL = """
+SELECT tmdb_id, 'runtime' AS family,
+       'runtime_' || CASE WHEN runtime <= q[1] THEN 'Q1' WHEN runtime <= q[2] THEN 'Q2'
+                          WHEN runtime <= q[3] THEN 'Q3' ELSE 'Q4' END AS feature, 1.0 AS weight
+FROM catalogue, (SELECT quantile_cont(CAST(runtime AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM catalogue WHERE runtime > 0)
+WHERE runtime > 0
+"""
+
+
+@query("runtime_quartile", CAT + RUNTIME_SQL)
+def q_runtime_quartile(spark, sf):
+    return _w(FE.runtime_quartile_features(V.catalogue(spark, sf)))
+
+
+def _multihot_sql(col: str, n: int, prefix: str) -> str:
+    c = f'"{col}"'
+    return f"""
+SELECT DISTINCT c.tmdb_id, '{prefix}' AS family, '{prefix}_' || e.el AS feature, 1.0 AS weight
+FROM (SELECT tmdb_id, unnest({c}) AS el FROM catalogue) e JOIN catalogue c ON c.tmdb_id = e.tmdb_id
+WHERE e.el IN (
+  SELECT value FROM (
+    SELECT u.value, count(*) AS n, min((seq, u.pos - 1)) AS first
+    FROM catalogue, unnest({c}) WITH ORDINALITY AS u(value, pos) GROUP BY u.value)
+  ORDER BY n DESC, first LIMIT {n})
+"""
+
+
+MULTIHOT = [("directors", 200, "director"), ("cast", 500, "cast"), ("genres", 19, "genre")]
+
+
+@query("multihot_topn", CAT + " UNION ALL ".join(_multihot_sql(*m) for m in MULTIHOT))
+def q_multihot_topn(spark, sf):
+    cat = V.catalogue(spark, sf)
+    out = None
+    for col, n, prefix in MULTIHOT:
+        part = FE.multihot_features(cat, col, n, prefix)
+        out = part if out is None else out.unionByName(part)
+    return _w(out)
+
+
+def _money_sql(col: str) -> str:
+    lg = f"ln(1 + CAST(CASE WHEN {col} > 0 THEN {col} ELSE 0 END AS DOUBLE))"
+    return f"""
+SELECT tmdb_id, '{col}' AS family,
+       '{col}_' || CASE WHEN {col} IS NULL OR {col} <= 0 THEN 'Zero' WHEN {lg} <= q[1] THEN 'Low'
+                         WHEN {lg} <= q[2] THEN 'Medium' WHEN {lg} <= q[3] THEN 'High' ELSE 'VeryHigh' END AS feature,
+       1.0 AS weight
+FROM catalogue, (SELECT quantile_cont({lg}, [0.25, 0.5, 0.75]) AS q FROM catalogue WHERE {col} > 0)
+"""
+
+
+@query("log_bucket", CAT + _money_sql("budget") + " UNION ALL " + _money_sql("revenue"))
+def q_log_bucket(spark, sf):
+    cat = V.catalogue(spark, sf)
+    return _w(FE.money_bucket_features(cat, "budget", "budget")
+              .unionByName(FE.money_bucket_features(cat, "revenue", "revenue")))
+
+
+POP_SQL = """
+SELECT tmdb_id, 'popularity' AS family,
+       'popularity_' || CASE WHEN popularity <= 1 THEN 'Low' WHEN popularity <= 5 THEN 'Medium' ELSE 'High' END AS feature,
+       1.0 AS weight FROM catalogue WHERE popularity IS NOT NULL
+"""
+
+
+@query("popularity_tier", CAT + POP_SQL)
+def q_popularity_tier(spark, sf):
+    return _w(FE.popularity_features(V.catalogue(spark, sf)))
+
+
+LANG_SQL = """
+SELECT c.tmdb_id, 'language' AS family, 'language_' || coalesce(t.value, 'Other') AS feature, 1.0 AS weight
+FROM catalogue c LEFT JOIN (
+  SELECT original_language AS value FROM catalogue WHERE original_language IS NOT NULL
+  GROUP BY original_language ORDER BY count(*) DESC, min(seq) LIMIT 10) t ON c.original_language = t.value
+WHERE c.original_language IS NOT NULL
+"""
+
+
+@query("language_topn", CAT + LANG_SQL)
+def q_language_topn(spark, sf):
+    return _w(FE.language_features(V.catalogue(spark, sf)))
+
+
+@query("item_features", CAT + " UNION ALL ".join(
+    [DECADE_SQL, RUNTIME_SQL] + [_multihot_sql(*m) for m in MULTIHOT] +
+    [_money_sql("budget"), _money_sql("revenue"), LANG_SQL, POP_SQL]))
+def q_item_features(spark, sf):
+    return _w(FE.item_features(V.catalogue(spark, sf)))
+
+
+@query("feature_counts", CAT + ", f AS (" + " UNION ALL ".join(
+    [DECADE_SQL, RUNTIME_SQL] + [_multihot_sql(*m) for m in MULTIHOT] +
+    [_money_sql("budget"), _money_sql("revenue"), LANG_SQL, POP_SQL]) +
+    ") SELECT family, count(DISTINCT feature) AS n_features FROM f GROUP BY family")
+def q_feature_counts(spark, sf):
+    return FE.feature_counts(FE.item_features(V.catalogue(spark, sf)))
+
+
+TFIDF_SQL = """
+WITH d AS (SELECT doc_id AS doc, coalesce(text, '') AS t FROM documents)
+, n AS (SELECT count(*) AS n FROM d)
+, tok AS (SELECT doc, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+')) AS term FROM d)
+, tf AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY doc, term)
+, st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 1000)
+, w AS (SELECT tf.doc, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + st.df)) + 1.0) AS w
+        FROM tf JOIN st ON tf.term = st.term, n)
+SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM w
+"""
+
+
+@query("tfidf", TFIDF_SQL)
+def q_tfidf(spark, sf):
+    out = FE.tfidf(V.documents(spark, sf), "doc_id", "text", 1000)
+    return out.select("doc", "term", r6("weight").alias("weight"))
+
+
+@query("mode_scaling", with_views("reviews", "catalogue") + """
+, items AS (SELECT DISTINCT item AS tmdb_id FROM reviews)
+, f AS (""" + " UNION ALL ".join([DECADE_SQL, POP_SQL]) + """)
+SELECT tmdb_id, family, feature, round(weight * 0.5, 6) AS weight FROM f WHERE tmdb_id IN (SELECT tmdb_id FROM items)
+UNION ALL
+SELECT tmdb_id, 'id', 'id:' || CAST(tmdb_id AS VARCHAR), 2.0 FROM items
+""")
+def q_mode_scaling(spark, sf):
+    cat = V.catalogue(spark, sf)
+    feats = FE.decade_features(cat).unionByName(FE.popularity_features(cat))
+    items = V.reviews(spark, sf).select(F.col("item").alias("tmdb_id"))
+    return _w(FE.mode_scaling(feats, items, "hybrid"))
+
+
+def _split_sql(col: str, k: int) -> str:
+    c = f'"{col}"'
+    return f"""
+SELECT c.tmdb_id,
+  coalesce((SELECT list(e.el ORDER BY e.pos) FROM (SELECT u.el, u.pos FROM unnest(c.{c}) WITH ORDINALITY AS u(el, pos)) e
+            JOIN fr ON fr.el = e.el WHERE fr.n >= {k}), []) AS {col}_main,
+  coalesce((SELECT list(e.el ORDER BY e.pos) FROM (SELECT u.el, u.pos FROM unnest(c.{c}) WITH ORDINALITY AS u(el, pos)) e
+            JOIN fr ON fr.el = e.el WHERE fr.n < {k}), []) AS {col}_other
+FROM catalogue c
+"""
+
+
+@query("main_other_split", CAT + """
+, fr AS (SELECT el, count(*) AS n FROM (SELECT unnest("cast") AS el FROM catalogue) GROUP BY el)
+""" + _split_sql("cast", 5).replace("FROM catalogue c", "FROM catalogue c"))
+def q_main_other_split(spark, sf):
+    return FE.main_other_split(V.catalogue(spark, sf), "cast", 5)
+
+
+@query("rare_group", CAT + """
+, cnt AS (SELECT original_language AS l FROM catalogue WHERE original_language IS NOT NULL
+          GROUP BY original_language HAVING count(*) >= 10)
+SELECT c.tmdb_id, CASE WHEN cnt.l IS NOT NULL THEN c.original_language ELSE 'other' END AS language_group
+FROM catalogue c LEFT JOIN cnt ON c.original_language = cnt.l
+""")
+def q_rare_group(spark, sf):
+    # 120 distinct languages would be needed for the threshold to bite at small
+    # scale; the catalogue's 14 languages are all common, nulls become 'other'.
+    return FE.rare_group_language(V.catalogue(spark, sf), 10)
+
+
+@query("fixed_genre", CAT + "SELECT tmdb_id, " + ", ".join(
+    f"CASE WHEN list_contains(coalesce(genres, []), '{g}') THEN 1 ELSE 0 END AS genre_{g.lower().replace('-', '_')}"
+    for g in FE.FIXED_GENRES) + """,
+  CASE WHEN coalesce(len(directors), 0) > 0 THEN 1 ELSE 0 END AS has_known_director,
+  CASE WHEN coalesce(len("cast"), 0) > 0 THEN 1 ELSE 0 END AS has_known_cast,
+  coalesce(CAST(year AS DOUBLE), 2000.0) AS year, coalesce(CAST(popularity AS DOUBLE), 1.0) AS popularity
+FROM catalogue
+""")
+def q_fixed_genre(spark, sf):
+    return FE.fixed_genre_features(V.catalogue(spark, sf))
+
+
+@query("final_item_features", with_views("reviews", "catalogue") + """
+, used AS (SELECT DISTINCT item FROM reviews)
+, catalogue2 AS (SELECT * FROM catalogue WHERE tmdb_id IN (SELECT item FROM used))
+""" + DECADE_SQL.replace("FROM catalogue", "FROM catalogue2") + " UNION ALL " +
+    POP_SQL.replace("FROM catalogue", "FROM catalogue2"))
+def q_final_item_features(spark, sf):
+    """R2 on the used catalogue: features of items that have ratings."""
+    cat = V.catalogue(spark, sf)
+    used = V.reviews(spark, sf).select(F.col("item").alias("tmdb_id")).distinct()
+    c2 = cat.join(used, "tmdb_id", "left_semi")
+    return _w(FE.decade_features(c2).unionByName(FE.popularity_features(c2)))
+
+
+__all__ = ["resolve"]

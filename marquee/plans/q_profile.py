@@ -180,13 +180,13 @@ FROM (SELECT CASE WHEN popularity <= 1 THEN 'low' WHEN popularity <= 5 THEN 'med
       FROM catalogue WHERE popularity IS NOT NULL) GROUP BY tier
 """)
 def q_tier_counts(spark, sf):
+    from pyspark.sql import Window
     c = V.catalogue(spark, sf).where(F.col("popularity").isNotNull())
     tier = F.when(F.col("popularity") <= 1, "low").when(F.col("popularity") <= 5, "medium").otherwise("high")
     g = c.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-    tot = c.agg(F.count(F.lit(1)).alias("_t"))
-    # one-row total joined on a constant key field: an equi-join with a 1-row side
-    return g.withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), "_k") \
-        .select("tier", "n", r6(F.col("n") * 100.0 / F.col("_t")).alias("share_pct"))
+    # the total is a window over the three aggregated rows, not a join
+    total = F.sum("n").over(Window.partitionBy())
+    return g.select("tier", "n", r6(F.col("n") * 100.0 / total).alias("share_pct"))
 
 
 COMPLETE_LISTS = ["genres", "directors", "cast"]
@@ -281,18 +281,23 @@ SELECT r.*, (SELECT min(n) FROM u) AS user_min, (SELECT max(n) FROM u) AS user_m
 FROM r
 """)
 def q_quality_report(spark, sf):
-    rv = V.reviews(spark, sf)
-    r = rv.agg(F.count(F.lit(1)).alias("ratings"), r6(F.avg("rating")).alias("rating_mean"),
-               r6(F.stddev_samp("rating")).alias("rating_std"), F.min("rating").alias("rating_min"),
-               F.max("rating").alias("rating_max"), F.count_if(F.col("rating") == 1).alias("suspected_implicit"))
-    u = rv.groupBy("username").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.min("n").alias("user_min"), F.max("n").alias("user_max"), r6(F.avg("n")).alias("user_mean"),
-        F.count_if(F.col("n") >= 10).alias("users_ge10"))
-    i = rv.groupBy("item").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.min("n").alias("item_min"), F.max("n").alias("item_max"), r6(F.avg("n")).alias("item_mean"),
-        F.count_if(F.col("n") >= 5).alias("items_ge5"))
-    k = F.lit(1).alias("_k")
-    return r.select(k, "*").join(u.select(k, "*"), "_k").join(i.select(k, "*"), "_k").drop("_k")
+    """A25 in one scan: grouping sets (user), (item), () then one global aggregate."""
+    rv = V.reviews(spark, sf).select("username", "item", "rating")
+    g = rv.groupingSets([["username"], ["item"], []], "username", "item").agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.avg("rating").alias("m"),
+        F.stddev_samp("rating").alias("s"), F.min("rating").alias("lo"), F.max("rating").alias("hi"),
+        F.count_if(F.col("rating") == 1).alias("ones"))
+    # gid: 1 = grouped by username only, 2 = by item only, 3 = grand total
+    tot, usr, itm = F.col("gid") == 3, F.col("gid") == 1, F.col("gid") == 2
+    n = F.col("n")
+    return g.agg(
+        F.max(F.when(tot, n)).alias("ratings"), r6(F.max(F.when(tot, F.col("m")))).alias("rating_mean"),
+        r6(F.max(F.when(tot, F.col("s")))).alias("rating_std"), F.max(F.when(tot, F.col("lo"))).alias("rating_min"),
+        F.max(F.when(tot, F.col("hi"))).alias("rating_max"), F.max(F.when(tot, F.col("ones"))).alias("suspected_implicit"),
+        F.min(F.when(usr, n)).alias("user_min"), F.max(F.when(usr, n)).alias("user_max"),
+        r6(F.avg(F.when(usr, n))).alias("user_mean"), F.count_if(usr & (n >= 10)).alias("users_ge10"),
+        F.min(F.when(itm, n)).alias("item_min"), F.max(F.when(itm, n)).alias("item_max"),
+        r6(F.avg(F.when(itm, n))).alias("item_mean"), F.count_if(itm & (n >= 5)).alias("items_ge5"))
 
 
 @query("unique_item_stats", with_views("reviews") + f"""
@@ -326,15 +331,15 @@ FROM catalogue
 """)
 def q_insight_summary(spark, sf):
     """A15 + J21."""
-    c = V.catalogue(spark, sf)
-    base = c.agg(F.min("year").alias("year_min"), F.max("year").alias("year_max"),
-                 (F.max("year") - F.min("year")).alias("year_span"),
-                 r6(F.avg(F.when(F.col("runtime") > 0, F.col("runtime")))).alias("mean_runtime"),
-                 F.count_if((F.col("budget") > 0) & (F.col("revenue") > 0)).alias("with_money"))
-    g = c.select(F.explode("genres").alias("g")).agg(F.count_distinct("g").alias("unique_genres"))
-    k = F.lit(1).alias("_k")
-    return base.select(k, "*").join(g.select(k, "*"), "_k").drop("_k") \
-        .select("year_min", "year_max", "year_span", "mean_runtime", "unique_genres", "with_money")
+    c = V.catalogue(spark, sf).select("year", "runtime", "budget", "revenue",
+                                      F.posexplode_outer("genres").alias("_pos", "g"))
+    # one scan: scalar aggregates read only the first exploded row of each item
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    y = F.when(first, F.col("year"))
+    return c.agg(F.min(y).alias("year_min"), F.max(y).alias("year_max"), (F.max(y) - F.min(y)).alias("year_span"),
+                 r6(F.avg(F.when(first & (F.col("runtime") > 0), F.col("runtime")))).alias("mean_runtime"),
+                 F.count_distinct("g").alias("unique_genres"),
+                 F.count_if(first & (F.col("budget") > 0) & (F.col("revenue") > 0)).alias("with_money"))
 
 
 @query("money_pairs", CAT + """
