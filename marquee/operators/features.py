@@ -29,7 +29,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 FEATURE_SCHEMA = "tmdb_id bigint, family string, feature string, weight double"
 
 
-def _rows(df: DataFrame, family: str, feature, weight=F.lit(1.0), key: str = "tmdb_id") -> DataFrame:
+def _rows(df: DataFrame, family: str, feature, weight=None, key: str = "tmdb_id") -> DataFrame:
+    weight = F.lit(1.0) if weight is None else weight
     return df.select(F.col(key).cast("bigint").alias("tmdb_id"), F.lit(family).alias("family"),
                      feature.alias("feature"), weight.cast("double").alias("weight")) \
         .where(F.col("feature").isNotNull())
