@@ -15,6 +15,7 @@ reviews AS (
          CAST(1 + CAST(l.l_quantity AS BIGINT) % 10 AS INTEGER) AS rating,
          replace(p.p_name, ' ', '-') || '-' || CAST(1940 + p.p_partkey % 86 AS VARCHAR) AS film_slug,
          l.l_partkey AS item,
+         o.o_orderdate AS rated_at,
          (l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS seq
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
        JOIN part p ON l.l_partkey = p.p_partkey

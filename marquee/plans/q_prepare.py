@@ -72,7 +72,8 @@ RESOLVE_CTE = with_views("reviews", "catalogue") + f"""
 SELECT username, title, year, rating, film_slug, item, tmdb_id, match_kind FROM resolved
 """)
 def q_resolve_two_tier(spark, sf):
-    return resolve.resolve_two_tier(V.reviews(spark, sf), V.catalogue(spark, sf)).drop("seq")
+    return resolve.resolve_two_tier(V.reviews(spark, sf), V.catalogue(spark, sf)).select(
+        "username", "title", "year", "rating", "film_slug", "item", "tmdb_id", "match_kind")
 
 
 @query("match_report", RESOLVE_CTE + """
@@ -102,7 +103,7 @@ SELECT username, title, year, rating, film_slug, item, tmdb_id FROM final_review
 """)
 def q_final_reviews(spark, sf):
     fr, _ = resolve.clean_dataset(V.reviews(spark, sf), V.catalogue(spark, sf))
-    return fr.drop("seq")
+    return fr.select("username", "title", "year", "rating", "film_slug", "item", "tmdb_id")
 
 
 @query("year_repair", with_views("catalogue") + """

@@ -20,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reviews_raw: username, title, year, rating, film_slug, item, seq.
+    """reviews_raw: username, title, year, rating, film_slug, item, rated_at, seq.
 
     Titles vary per line so that both resolution tiers and the unmatched path
     are exercised; ``seq`` is the source order (a unique struct).
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
     ln = F.col("l_linenumber")
@@ -44,6 +44,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("-"),
                  (F.lit(1940) + F.col("p_partkey") % 86).cast("string")).alias("film_slug"),
         F.col("l_partkey").alias("item"),
+        F.col("o_orderdate").alias("rated_at"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
     )
 
