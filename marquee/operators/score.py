@@ -36,6 +36,16 @@ def _type_of(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def _seq_scores(u: np.ndarray, v: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """u @ v.T + bias, summed coordinate by coordinate from 0 in the same order
+    as the JVM ``dot`` expression, so scores computed here and in Spark are
+    bit-identical (exact ties for rank statistics)."""
+    acc = np.zeros((u.shape[0], v.shape[0]))
+    for j in range(u.shape[1]):
+        acc += u[:, j:j + 1] * v[None, :, j]
+    return acc + bias
+
+
 def _topk_rows(scores: np.ndarray, k: int) -> np.ndarray:
     """Boolean mask of the k best finite entries per row; ties -> lower column first.
 
@@ -153,25 +163,39 @@ def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
 
     def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         urows, prows = lpdf[lpdf["kind"] == 0], lpdf[lpdf["kind"] == 1]
-        res = {"user": [], "pitem": [], "lower": [], "nneg": []}
-        if urows.empty or prows.empty:
-            return pd.DataFrame(res)
-        iv_ = np.stack(rpdf["factors"].to_numpy()) if len(rpdf) else np.zeros((0, 1))
+        empty = pd.DataFrame({"user": [], "pitem": [], "lower": [], "nneg": []})
+        if urows.empty or prows.empty or rpdf.empty:
+            return empty
+        iv_ = np.stack(rpdf["factors"].to_numpy())
         bias = rpdf["bias"].to_numpy(dtype=float)
         iid = rpdf["item"].to_numpy()
-        for u, f in zip(urows["user"], urows["factors"]):
-            p = prows[prows["user"] == u]
-            s = iv_ @ np.asarray(f) + bias if len(iid) else np.zeros(0)
-            neg = ~np.isin(iid, p["pitem"].to_numpy())
-            sn = np.sort(s[neg])
-            ps = p["pscore"].to_numpy(dtype=float)
-            lo = np.searchsorted(sn, ps, side="left")
-            hi = np.searchsorted(sn, ps, side="right")
-            res["user"] += [u] * len(ps)
-            res["pitem"] += list(p["pitem"])
-            res["lower"] += list(lo + 0.5 * (hi - lo))
-            res["nneg"] += [int(neg.sum())] * len(ps)
-        return pd.DataFrame(res)
+        col_of = pd.Series(np.arange(len(iid)), index=iid)
+        uid = urows["user"].to_numpy()
+        uv_ = np.stack(urows["factors"].to_numpy())
+        row_of = pd.Series(np.arange(len(uid)), index=uid)
+        pr = row_of.reindex(prows["user"].to_numpy()).to_numpy()
+        ok = ~pd.isna(pr)
+        prows, pr = prows[ok], pr[ok].astype(int)
+        ps = prows["pscore"].to_numpy(dtype=float)
+        pc = col_of.reindex(prows["pitem"].to_numpy()).to_numpy()      # column of the positive, if in block
+        inblk = ~pd.isna(pc)
+        # negatives of a user in this block = block items minus the user's positives that are here
+        pos_here = np.bincount(pr[inblk], minlength=len(uid))
+        nneg = len(iid) - pos_here[pr]
+        lower = np.zeros(len(pr))
+        step = max(1, MAX_CELLS // max(1, len(iid)))
+        for a in range(0, len(uid), step):
+            sc = _seq_scores(uv_[a:a + step], iv_, bias)
+            m = inblk & (pr >= a) & (pr < a + step)
+            sc[pr[m] - a, pc[m].astype(int)] = np.nan     # positives are not negatives
+            sel = np.nonzero((pr >= a) & (pr < a + step))[0]
+            for b in range(0, len(sel), step):
+                idx = sel[b:b + step]
+                rows = sc[pr[idx] - a]
+                s_ = ps[idx][:, None]
+                lower[idx] = (rows < s_).sum(axis=1) + 0.5 * (rows == s_).sum(axis=1)
+        return pd.DataFrame({"user": prows["user"].to_numpy(), "pitem": prows["pitem"].to_numpy(),
+                             "lower": lower, "nneg": nneg.astype("int64")})
 
     part = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(fn, schema)
     per_pos = part.groupBy("user", "pitem").agg(F.sum("lower").alias("lower"), F.sum("nneg").alias("nneg"))

@@ -110,8 +110,7 @@ def _details_docs(spark, sf):
 @query("json_details", DOC_SQL)
 def q_json_details(spark, sf):
     d = _details_docs(spark, sf)
-    cols = X.details_to_row(F.col("details"))
-    out = d.select("l_orderkey", "l_linenumber", *cols)
+    out = X.parse_details(d, "details", keep=["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "tmdb_id", "tmdb_title", "release_date", "runtime", "budget",
                       "directors", "cast", "genres", "streaming_services")
 

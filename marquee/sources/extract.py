@@ -106,9 +106,16 @@ def best_search_hit(search_json, year) -> Column:
     return F.coalesce(F.get(match, 0), F.get(res, 0))
 
 
-def details_to_row(details_json, cast_cap: int = 10, country: str = "US") -> list[Column]:
+def parse_details(df: DataFrame, col: str, keep: list[str], cast_cap: int = 10, country: str = "US") -> DataFrame:
+    """S19 / S20 over a table: the document is parsed once into a struct column
+    (its own projection, so the parse is not repeated per extracted field)."""
+    parsed = df.select(*keep, F.from_json(F.col(col), DETAILS_SCHEMA).alias("_d"))
+    return parsed.select(*keep, *details_to_row(F.col("_d"), cast_cap, country, parsed=True))
+
+
+def details_to_row(details_json, cast_cap: int = 10, country: str = "US", parsed: bool = False) -> list[Column]:
     """S19 + S20 + X19-X22: a details document as metadata columns with defaults."""
-    d = F.from_json(_c(details_json), DETAILS_SCHEMA)
+    d = _c(details_json) if parsed else F.from_json(_c(details_json), DETAILS_SCHEMA)
     empty = F.array().cast("array<string>")
     crew = F.coalesce(d["credits"]["crew"], F.array().cast("array<struct<job: string, name: string>>"))
     directors = F.transform(F.filter(crew, lambda c: c["job"] == "Director"), lambda c: c["name"])
