@@ -110,7 +110,7 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
         step = max(1, MAX_CELLS // max(1, len(iid)))
         out_u, out_i, out_s = [], [], []
         for a in range(0, len(uid), step):
-            sc = uv[a:a + step] @ iv.T + bias
+            sc = _seq_scores(uv[a:a + step], iv, bias)
             for r, c in seen_rc:
                 if a <= r < a + step:
                     sc[r - a, c] = -np.inf

@@ -16,7 +16,8 @@ reviews AS (
          replace(p.p_name, ' ', '-') || '-' || CAST(1940 + p.p_partkey % 86 AS VARCHAR) AS film_slug,
          l.l_partkey AS item,
          o.o_orderdate AS rated_at,
-         (l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS seq
+         (l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice,
+          l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus, l.l_shipdate) AS seq
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
        JOIN part p ON l.l_partkey = p.p_partkey
 )"""

@@ -15,6 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Source order of a rating: the whole line-item row (unique; the first four
+# columns alone repeat at some scales).
+SEQ_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -25,8 +31,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     Titles vary per line so that both resolution tiers and the unmatched path
     are exercised; ``seq`` is the source order (a unique struct).
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select(*SEQ_COLS)
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
@@ -45,7 +50,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.lit(1940) + F.col("p_partkey") % 86).cast("string")).alias("film_slug"),
         F.col("l_partkey").alias("item"),
         F.col("o_orderdate").alias("rated_at"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+        F.struct(*SEQ_COLS).alias("seq"),
     )
 
 
