@@ -111,3 +111,12 @@ def year_prefix_match(date_text, year) -> Column:
 def year_from_date_text(c) -> Column:
     """Integer year from the first four characters of a date text."""
     return F.substring(_c(c), 1, 4).try_cast("int")
+
+
+def year_fallback(*candidates) -> Column:
+    """First usable year among integer columns and date texts; null, not 'Unknown'."""
+    parts = []
+    for c in candidates:
+        col = _c(c)
+        parts.append(F.substring(col.cast("string"), 1, 4).try_cast("int"))
+    return F.coalesce(*parts)

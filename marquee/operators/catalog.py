@@ -148,3 +148,31 @@ def per_user_cap(df: DataFrame, cap: int, user: str = "username", order: str = "
     """
     w = Window.partitionBy(user).orderBy(F.col(order))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+
+
+def explicit_only(df: DataFrame, threshold: float = 0.0, rating: str = "rating") -> DataFrame:
+    """Keep explicit ratings only (present and above ``threshold``)."""
+    return df.where(F.col(rating).isNotNull() & (F.col(rating) > threshold))
+
+
+def check_range(name: str, value: int, lo: int = 1, hi: int = 100) -> int:
+    """Validate a request parameter before any plan is built."""
+    if not isinstance(value, int) or not lo <= value <= hi:
+        raise ValueError(f"{name} must be an integer in [{lo}, {hi}], got {value!r}")
+    return value
+
+
+def top_items(items: DataFrame, n: int) -> DataFrame:
+    """K5: the n most popular unique items (appearances desc, title asc) before enrichment."""
+    return sort_unique_items(items).limit(n)
+
+
+def truncate_listing(members: DataFrame, max_users: int, page: str = "page_id", pos: str = "pos") -> DataFrame:
+    """K6: the first ``max_users`` members in listing order (page, then position)."""
+    return members.orderBy(F.col(page), F.col(pos)).limit(max_users)
+
+
+def in_model(catalogue: DataFrame, model_items: DataFrame, key: str = "tmdb_id", item: str = "item") -> DataFrame:
+    """Catalogue rows whose id is one of the model's items (left-semi)."""
+    ids = model_items.select(F.col(item).alias("_mi")).distinct()
+    return catalogue.join(ids, catalogue[key] == ids._mi, "left_semi")

@@ -279,3 +279,41 @@ def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
         if s is not None and s > 0:
             out = out.withColumn(c, (F.col(c) - F.lit(m)) / F.lit(s))
     return out
+
+
+def spark_stop_words(language: str = "english") -> list[str]:
+    """The stop-word list bundled with Spark ML (the list ``StopWordsRemover`` loads),
+    read from the installed jar so that no JVM is needed (the oracle uses it too)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        return z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split()
+
+
+def tfidf_weighted(df: DataFrame, key: str, fields: list[tuple[str, int, float]], stop_words=None,
+                   min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+    """one TF-IDF per text field (lower-cased, tokens of 2+ characters, stop
+    words removed, document-frequency bounds, per-field vocabulary cap), each
+    row L2-normalised within its field and then multiplied by the field weight.
+
+    ``fields`` = [(column, max_features, weight)]; list columns are joined with spaces.
+    Returns (tmdb_id, family = field, feature = field:term, weight).
+    """
+    from marquee.functions.text import list_to_text
+    sw = spark_stop_words() if stop_words is None else stop_words
+    out = None
+    for col, cap, w in fields:
+        dt = dict(df.dtypes)[col]
+        text = list_to_text(col) if dt.startswith("array") else F.coalesce(F.col(col).cast("string"), F.lit(""))
+        docs = df.select(F.col(key).alias("_k"), text.alias("_t"))
+        t = tfidf(docs, "_k", "_t", max_features=cap, lowercase=True, min_len=2, stop_words=sw,
+                  min_df=min_df, max_df=max_df)
+        part = t.select(F.col("doc").cast("bigint").alias("tmdb_id"), F.lit(col).alias("family"),
+                        F.concat(F.lit(f"{col}:"), F.col("term")).alias("feature"),
+                        (F.col("weight") * w).alias("weight"))
+        out = part if out is None else out.unionByName(part)
+    return out

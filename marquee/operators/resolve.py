@@ -177,3 +177,25 @@ def match_exact_only(reviews: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.col("title").alias("x_t"), F.col("year").alias("x_y")).agg(F.min_by("tmdb_id", "seq").alias("tmdb_id"))
     return reviews.join(lk, (reviews.title == lk.x_t) & (reviews.year == lk.x_y), "inner") \
         .select(*reviews.columns, "tmdb_id")
+
+
+def match_exact_else_title(reviews: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Exact (title, year) pair, else the first catalogue row with that title;
+    the rating adopts the catalogue year of the chosen row."""
+    c = catalogue.where(F.col("tmdb_id").isNotNull())
+    ex = c.groupBy(F.col("title").alias("e_t"), F.col("year").alias("e_y")) \
+        .agg(F.min_by(F.struct("tmdb_id", "year"), "seq").alias("e"))
+    ti = c.groupBy(F.col("title").alias("t_t")).agg(F.min_by(F.struct("tmdb_id", "year"), "seq").alias("t"))
+    r = reviews.join(ex, (reviews.title == ex.e_t) & (reviews.year == ex.e_y), "left")
+    r = r.join(ti, r.title == ti.t_t, "left")
+    hit = F.coalesce(F.col("e"), F.col("t"))
+    cols = [c for c in reviews.columns if c != "year"]
+    return r.select(*cols, F.coalesce(hit["year"], F.col("year")).alias("year"), hit["tmdb_id"].alias("tmdb_id"))
+
+
+def enrich_by_title_year(rows: DataFrame, catalogue: DataFrame, cols: list[str]) -> DataFrame:
+    """Display fields looked up by (title, year), first catalogue row wins."""
+    first = catalogue.groupBy(F.col("title").alias("_t"), F.col("year").alias("_y")) \
+        .agg(F.min_by(F.struct(*cols), "seq").alias("_m"))
+    j = rows.join(first, (rows.title == first._t) & (rows.year == first._y), "left")
+    return j.select(*rows.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from marquee.plans import q_prepare, q_profile, q_features, q_model, q_extract, q_runs  # noqa: F401
+    from marquee.plans import q_prepare, q_profile, q_features, q_model, q_extract, q_runs, q_more  # noqa: F401
