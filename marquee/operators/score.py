@@ -22,14 +22,28 @@ from pyspark.sql import types as T
 from marquee.functions.vector import dot, unit
 
 # Upper bound on score-matrix cells held at once inside one task.
-MAX_CELLS = 1 << 24
+MAX_CELLS = 1 << 22
 
 
-def _blocks(spark, user_blocks, item_blocks):
+def _blocks(spark, user_blocks, item_blocks, users: DataFrame | None = None, items: DataFrame | None = None):
+    """Block counts with ub * ib ~ shuffle partitions (one cogroup group per task).
+
+    Replication costs users * ib + items * ub rows, which is smallest when
+    ub / ib = n_users / n_items; the two counts are cheap jobs over the factor
+    tables. Explicit counts override.
+    """
+    import math
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ib = item_blocks or max(1, min(8, n // 2))
-    ub = user_blocks or max(1, n // ib)
-    return ub, ib
+    if user_blocks and item_blocks:
+        return user_blocks, item_blocks
+    if user_blocks:
+        return user_blocks, max(1, n // user_blocks)
+    if item_blocks:
+        return max(1, n // item_blocks), item_blocks
+    nu = max(1, users.count()) if users is not None else 1
+    ni = max(1, items.count()) if items is not None else 1
+    ub = min(n, max(1, round(math.sqrt(n * nu / ni))))
+    return ub, max(1, n // ub)
 
 
 def _type_of(df: DataFrame, col: str) -> str:
@@ -72,7 +86,7 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
     score desc, item asc.
     """
     spark = users.sparkSession
-    ub, ib = _blocks(spark, user_blocks, item_blocks)
+    ub, ib = _blocks(spark, user_blocks, item_blocks, users, items)
     ut, it = _type_of(users, "user"), _type_of(items, "item")
     if "bias" not in items.columns:
         items = items.withColumn("bias", F.lit(0.0))
@@ -136,7 +150,7 @@ def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
     lower or equal. Returns (user, auc).
     """
     spark = users.sparkSession
-    ub, ib = _blocks(spark, user_blocks, item_blocks)
+    ub, ib = _blocks(spark, user_blocks, item_blocks, users, items)
     ut, it = _type_of(users, "user"), _type_of(items, "item")
     if "bias" not in items.columns:
         items = items.withColumn("bias", F.lit(0.0))

@@ -178,7 +178,9 @@ def dense_model(spark, sf):
     uv = j.groupBy("user").agg(vsum(F.transform("factors", lambda x: x * F.col("rating"))).alias("_s"),
                                F.sum("rating").alias("_w"))
     uv = uv.select("user", F.transform("_s", lambda x: x / F.col("_w")).alias("factors"))
-    return uv, iv, train, test
+    # model outputs are materialised once (lineage cut; scoring and block sizing re-read them cheaply)
+    from marquee.session import checkpoint
+    return checkpoint(uv), checkpoint(iv), train, test
 
 
 @query("topn_unseen", DENSE_SQL + """
