@@ -97,6 +97,9 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
                         F.col("factors").cast("array<double>").alias("factors"),
                         F.lit(None).cast(it).alias("seen_item"))
     if seen is not None:
+        # distinct pairs: a user's seen rows in one block are then bounded by the
+        # block's items, however many ratings a hot user has
+        seen = seen.select("user", "item").distinct()
         s = seen.select(ubk.alias("ub"), ibk.alias("ib"), F.lit(1).alias("kind"), F.col("user"),
                         F.lit(None).cast("array<double>").alias("factors"), F.col("item").alias("seen_item"))
         left = left.unionByName(s)
