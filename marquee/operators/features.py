@@ -87,12 +87,20 @@ def top_elements(df: DataFrame, col: str, n: int, key: str = "seq", is_list: boo
     return cnt.orderBy(F.col("n").desc(), F.col("_first").asc()).limit(n).select("value", "n")
 
 
-def multihot_features(cat: DataFrame, col: str, top_n: int, prefix: str, key: str = "seq") -> DataFrame:
-    """multi-hot of the top-N list elements; weight 1 per distinct (item, element)."""
+def multihot_features(cat: DataFrame, col: str, top_n: int, prefix: str, key: str = "seq",
+                      other_bucket: bool = False) -> DataFrame:
+    """multi-hot of the top-N list elements; weight 1 per distinct (item, element).
+
+    ``other_bucket=True`` adds ``<prefix>_Other`` for items with an element
+    outside the top N (the documented form; the code form has none, Q12).
+    """
     top = F.broadcast(top_elements(cat, col, top_n, key).select(F.col("value").alias("_v")))
     ex = cat.select("tmdb_id", F.explode(col).alias("_e")).distinct()
-    j = ex.join(top, ex._e == top._v, "left_semi")
-    return _rows(j, prefix, F.concat(F.lit(f"{prefix}_"), F.col("_e")))
+    j = ex.join(top, ex._e == top._v, "left")
+    feat = F.when(F.col("_v").isNotNull(), F.concat(F.lit(f"{prefix}_"), F.col("_e")))
+    if other_bucket:
+        feat = F.coalesce(feat, F.lit(f"{prefix}_Other"))
+    return _rows(j, prefix, feat).distinct()
 
 
 def money_bucket_features(cat: DataFrame, col: str, prefix: str) -> DataFrame:

@@ -28,6 +28,11 @@ def get_spark(master: str | None = None, app: str = "marquee",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.driver.memory", "16g")
+        # spill-aware sizing: AQE coalesces / splits shuffle partitions towards
+        # ~128 MB and splits skewed join partitions above 5x the median
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        .config("spark.sql.files.maxPartitionBytes", "128m")
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "5")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)

@@ -81,3 +81,20 @@ def test_main_other_split_keeps_order(spark):
     c = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["y", "x"]), (3, [])], "tmdb_id long, cast array<string>")
     got = {r.tmdb_id: (r.cast_main, r.cast_other) for r in FE.main_other_split(c, "cast", 2).collect()}
     assert got == {1: (["x", "y"], ["z"]), 2: (["y", "x"], []), 3: ([], [])}
+
+
+def test_multihot_other_bucket(spark):
+    c = spark.createDataFrame([(1, ["a", "b"], 1), (2, ["a"], 2), (3, ["c"], 3)], "tmdb_id long, genres array<string>, seq long")
+    plain = {(r.tmdb_id, r.feature) for r in FE.multihot_features(c, "genres", 1, "genre").collect()}
+    assert plain == {(1, "genre_a"), (2, "genre_a")}
+    other = {(r.tmdb_id, r.feature) for r in FE.multihot_features(c, "genres", 1, "genre", other_bucket=True).collect()}
+    assert other == {(1, "genre_a"), (1, "genre_Other"), (2, "genre_a"), (3, "genre_Other")}
+
+
+def test_top_n_is_validated():
+    import pytest
+    from marquee.operators.catalog import check_range
+    assert check_range("top_n", 25, 1, 100) == 25
+    for bad in (0, 101, "5", 2.5):
+        with pytest.raises(ValueError):
+            check_range("top_n", bad, 1, 100)
