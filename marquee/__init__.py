@@ -6,3 +6,14 @@ linear-algebra blocks (factor training and blocked top-k scoring).
 """
 
 __version__ = "0.1.0"
+
+# Functions of this package that run inside Python workers (the pandas blocks)
+# are pickled by value, so executors need no installed copy of the package.
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
