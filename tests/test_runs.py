@@ -78,3 +78,21 @@ def test_stream_ingest(spark):
     q2 = start_ingest(spark, f"{d}/in", cat, f"{d}/out", f"{d}/ckpt")
     q2.awaitTermination()
     assert spark.read.parquet(f"{d}/out").count() == 2
+
+
+def test_python_workers_need_no_installed_package():
+    """The pandas blocks must run when the driver was started outside the repo (as on a cluster)."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from marquee.operators.score import blocked_topk\n"
+        "u = s.createDataFrame([(1, [1.0, 0.0])], 'user long, factors array<double>')\n"
+        "i = s.createDataFrame([(7, [2.0, 0.0]), (8, [1.0, 0.0])], 'item long, factors array<double>')\n"
+        "print('TOP', [r.item for r in blocked_topk(u, i, 1).collect()])\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True, timeout=300)
+    assert "TOP [7]" in out.stdout, out.stderr[-2000:]
