@@ -153,7 +153,7 @@ def list_top(df: DataFrame, cols: list[str], n: int = 20) -> DataFrame:
     cnt = ex.groupBy("field", "element").agg(F.count(F.lit(1)).alias("n"),
                                               F.min(F.struct("_seq", "pos")).alias("_first"))
     w = Window.partitionBy("field").orderBy(F.col("n").desc(), F.col("_first"))
-    top = cnt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = cnt.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
     j = top.join(rows, top.field == rows._c)
     return j.select("field", "rank", "element", "n", r6(F.col("n") * 100.0 / F.col("rows_with_data")).alias("share_pct"))
 
@@ -162,7 +162,7 @@ def categorical_profile(df: DataFrame, col: str) -> DataFrame:
     """Value counts with null as its own value, ranked count desc, value asc."""
     g = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    return g.withColumn("rank", F.row_number().over(w))
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def completeness(df: DataFrame, list_cols: list[str], scalar_cols: list[str]) -> DataFrame:

@@ -140,7 +140,8 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
 
     cand = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(fn, schema)
     w = Window.partitionBy("user").orderBy(F.col("score").desc(), F.col("item").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,

@@ -13,7 +13,7 @@ LINK_SQL = X.LINK_RE.replace("'", "''")
 
 @query("page_links", f"""
 WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{LINK_SQL}')) AS a,
-                  generate_subscripts(regexp_extract_all(html, '{LINK_SQL}'), 1) - 1 AS pos FROM pages)
+                  CAST(generate_subscripts(regexp_extract_all(html, '{LINK_SQL}'), 1) - 1 AS INTEGER) AS pos FROM pages)
 SELECT page_id, pos, regexp_extract(a, '{LINK_SQL}', 1) AS href, regexp_extract(a, '{LINK_SQL}', 2) AS text FROM a
 """)
 def q_page_links(spark, sf):
@@ -23,7 +23,7 @@ def q_page_links(spark, sf):
 @query("page_meta", f"""
 SELECT page_id, regexp_extract(html, '{X.LANG_RE.replace("\\b", "")}', 1) AS lang,
        regexp_extract(html, '{X.TITLE_RE}', 1) AS title, regexp_extract(html, '{X.H1_RE}', 1) AS h1,
-       len(regexp_extract_all(html, '{LINK_SQL}')) AS n_links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs
+       CAST(len(regexp_extract_all(html, '{LINK_SQL}')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_paragraphs
 FROM pages
 """)
 def q_page_meta(spark, sf):
@@ -117,7 +117,7 @@ def q_json_details(spark, sf):
 
 SEARCH_SQL = """
 WITH src AS (SELECT l.*, o.o_custkey, o.o_orderdate FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
-, docs AS (SELECT l_orderkey, l_linenumber, year(l_shipdate) + l_linenumber % 2 AS want, CAST(json_object('results', json_array(
+, docs AS (SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) + l_linenumber % 2 AS INTEGER) AS want, CAST(json_object('results', json_array(
     json_object('id', l_partkey, 'release_date', strftime(o_orderdate, '%Y-%m-%d')),
     json_object('id', l_suppkey, 'release_date', strftime(l_shipdate, '%Y-%m-%d')),
     json_object('id', o_custkey, 'release_date', strftime(l_shipdate + INTERVAL 1 YEAR, '%Y-%m-%d')))) AS VARCHAR) AS search

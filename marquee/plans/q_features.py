@@ -20,7 +20,7 @@ def _w(df):
 
 DECADE_SQL = """
 SELECT tmdb_id, 'decade' AS family, 'decade_' || CASE WHEN year < 1950 THEN 'Pre-1950' WHEN year >= 2020 THEN '2020s'
-       ELSE CAST(CAST(floor(year / 10) * 10 AS INTEGER) AS VARCHAR) || 's' END AS feature, 1.0 AS weight
+       ELSE CAST(CAST(floor(year / 10) * 10 AS INTEGER) AS VARCHAR) || 's' END AS feature, CAST(1.0 AS DOUBLE) AS weight
 FROM catalogue WHERE year IS NOT NULL
 """
 
@@ -33,7 +33,7 @@ def q_decade(spark, sf):
 RUNTIME_SQL = """
 SELECT tmdb_id, 'runtime' AS family,
        'runtime_' || CASE WHEN runtime <= q[1] THEN 'Q1' WHEN runtime <= q[2] THEN 'Q2'
-                          WHEN runtime <= q[3] THEN 'Q3' ELSE 'Q4' END AS feature, 1.0 AS weight
+                          WHEN runtime <= q[3] THEN 'Q3' ELSE 'Q4' END AS feature, CAST(1.0 AS DOUBLE) AS weight
 FROM catalogue, (SELECT quantile_cont(CAST(runtime AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM catalogue WHERE runtime > 0)
 WHERE runtime > 0
 """
@@ -47,7 +47,7 @@ def q_runtime_quartile(spark, sf):
 def _multihot_sql(col: str, n: int, prefix: str) -> str:
     c = f'"{col}"'
     return f"""
-SELECT DISTINCT c.tmdb_id, '{prefix}' AS family, '{prefix}_' || e.el AS feature, 1.0 AS weight
+SELECT DISTINCT c.tmdb_id, '{prefix}' AS family, '{prefix}_' || e.el AS feature, CAST(1.0 AS DOUBLE) AS weight
 FROM (SELECT tmdb_id, unnest({c}) AS el FROM catalogue) e JOIN catalogue c ON c.tmdb_id = e.tmdb_id
 WHERE e.el IN (
   SELECT value FROM (
@@ -76,7 +76,7 @@ def _money_sql(col: str) -> str:
 SELECT tmdb_id, '{col}' AS family,
        '{col}_' || CASE WHEN {col} IS NULL OR {col} <= 0 THEN 'Zero' WHEN {lg} <= q[1] THEN 'Low'
                          WHEN {lg} <= q[2] THEN 'Medium' WHEN {lg} <= q[3] THEN 'High' ELSE 'VeryHigh' END AS feature,
-       1.0 AS weight
+       CAST(1.0 AS DOUBLE) AS weight
 FROM catalogue, (SELECT quantile_cont({lg}, [0.25, 0.5, 0.75]) AS q FROM catalogue WHERE {col} > 0)
 """
 
@@ -91,7 +91,7 @@ def q_log_bucket(spark, sf):
 POP_SQL = """
 SELECT tmdb_id, 'popularity' AS family,
        'popularity_' || CASE WHEN popularity <= 1 THEN 'Low' WHEN popularity <= 5 THEN 'Medium' ELSE 'High' END AS feature,
-       1.0 AS weight FROM catalogue WHERE popularity IS NOT NULL
+       CAST(1.0 AS DOUBLE) AS weight FROM catalogue WHERE popularity IS NOT NULL
 """
 
 
@@ -101,7 +101,7 @@ def q_popularity_tier(spark, sf):
 
 
 LANG_SQL = """
-SELECT c.tmdb_id, 'language' AS family, 'language_' || coalesce(t.value, 'Other') AS feature, 1.0 AS weight
+SELECT c.tmdb_id, 'language' AS family, 'language_' || coalesce(t.value, 'Other') AS feature, CAST(1.0 AS DOUBLE) AS weight
 FROM catalogue c LEFT JOIN (
   SELECT original_language AS value FROM catalogue WHERE original_language IS NOT NULL
   GROUP BY original_language ORDER BY count(*) DESC, min(seq) LIMIT 10) t ON c.original_language = t.value
@@ -150,9 +150,9 @@ def q_tfidf(spark, sf):
 @query("mode_scaling", with_views("reviews", "catalogue") + """
 , items AS (SELECT DISTINCT item AS tmdb_id FROM reviews)
 , f AS (""" + " UNION ALL ".join([DECADE_SQL, POP_SQL]) + """)
-SELECT tmdb_id, family, feature, round(weight * 0.5, 6) AS weight FROM f WHERE tmdb_id IN (SELECT tmdb_id FROM items)
+SELECT tmdb_id, family, feature, CAST(round(weight * 0.5, 6) AS DOUBLE) AS weight FROM f WHERE tmdb_id IN (SELECT tmdb_id FROM items)
 UNION ALL
-SELECT tmdb_id, 'id', 'id:' || CAST(tmdb_id AS VARCHAR), 2.0 FROM items
+SELECT tmdb_id, 'id', 'id:' || CAST(tmdb_id AS VARCHAR), CAST(2.0 AS DOUBLE) FROM items
 """)
 def q_mode_scaling(spark, sf):
     cat = V.catalogue(spark, sf)

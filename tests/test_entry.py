@@ -29,16 +29,30 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plans_have_no_cross_products_or_row_udfs(spark):
-    bad = []
+DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+        "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+
+
+def test_plans_and_oracle_types(spark, con):
+    """No cross products or row-at-a-time UDFs in any plan; oracle column types equal Spark's."""
+    bad, types = [], []
+    oracle = E.oracle_sql()
     for name, fn in E.queries().items():
         if name in HEAVY:
             continue
-        plan = _plan(fn(spark, SF001))
+        df = fn(spark, SF001)
+        plan = _plan(df)
         for marker in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             if marker in plan:
                 bad.append((name, marker))
+        if name in oracle:
+            ot = {r[0]: r[1] for r in con.execute(f"DESCRIBE {oracle[name]}").fetchall()}
+            for f in df.schema.fields:
+                t = f.dataType.simpleString()
+                if not (ot.get(f.name) == DUCK.get(t, t) or (t.startswith("array") and str(ot.get(f.name)).endswith("[]"))):
+                    types.append((name, f.name, t, ot.get(f.name)))
     assert bad == []
+    assert types == []
 
 
 def test_scan_is_pruned(spark):
