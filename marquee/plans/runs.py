@@ -114,7 +114,11 @@ def ingest_ratings(base: DataFrame, batch: DataFrame, catalogue: DataFrame, mode
 
 
 def acceptance_report(recs: DataFrame, requested: DataFrame, reviews: DataFrame, top: int = 5) -> DataFrame:
-    """Per requested user: status, top recommendations with seen flags."""
+    """Per requested user: status, top recommendations with seen flags.
+
+    ``recs`` has (user, rank, item, already_reviewed); the per-user list holds
+    at most ``top`` entries, so the collect is bounded.
+    """
     st = user_status(requested, reviews, "user")
     r = recs.where(F.col("rank") <= top)
     g = r.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("rank", "item", "already_reviewed"))).alias("top"))

@@ -96,3 +96,22 @@ def test_python_workers_need_no_installed_package():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True, timeout=300)
     assert "TOP [7]" in out.stdout, out.stderr[-2000:]
+
+
+def test_acceptance_report_and_blend(spark):
+    from marquee.plans import runs
+    from marquee.operators import score as S
+    recs = spark.createDataFrame([("a", 1, 10, True), ("a", 2, 11, False), ("b", 1, 12, False)],
+                                 "user string, rank long, item long, already_reviewed boolean")
+    req = spark.createDataFrame([("a", 3), ("b", 0), ("z", 0)], "user string, num_reviews int")
+    rv = spark.createDataFrame([("a", 10), ("b", 12)], "user string, item long")
+    got = {r.user: (r.exists_in_dataset, [t.item for t in (r.top or [])]) for r in
+           runs.acceptance_report(recs, req, rv, 5).collect()}
+    assert got == {"a": (True, [10, 11]), "b": (True, [12]), "z": (False, [])}
+    df = spark.createDataFrame([(8.0, 0.9), (-50.0, 0.1)], "cf double, cb double")
+    raw = [r[0] for r in df.select(S.blend(F.col("cf"), F.col("cb"), 0.7, "raw")).collect()]
+    assert abs(raw[0] - min(10.0, 0.7 * 8 + 0.3 * 0.9)) < 1e-12 and raw[1] == 1.0
+    z = [r[0] for r in df.select(S.blend(F.col("cf"), F.col("cb"), 0.7, "zscore", cf_mean=0.0, cf_std=4.0)).collect()]
+    assert abs(z[0] - max(1.0, min(10.0, (0.7 * min(1.0, (2.0 + 3) / 6) + 0.3 * 0.9) * 10))) < 1e-12 and z[1] == 1.0
+    rm = [r[0] for r in df.select(S.blend(F.col("cf"), F.col("cb"), 0.7, "raw_mean")).collect()]
+    assert rm[1] == 0.5
