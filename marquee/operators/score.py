@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marquee.functions.vector import dot, unit
 
@@ -325,6 +324,3 @@ def enrich(recs: DataFrame, metadata: DataFrame, seen: DataFrame | None = None)
         out = out.join(s, (out.user == s._su) & (out.item == s._si), "left") \
             .withColumn("already_reviewed", F.col("_si").isNotNull()).drop("_su", "_si")
     return out
-
-
-__all__ = ["T"]

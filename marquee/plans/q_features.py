@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from marquee.functions.vector import r6
 from marquee.operators import features as FE
-from marquee.operators import resolve
 from marquee.plans.oracle_views import with_views
 from marquee.plans.registry import query
 from marquee.sources import views as V
@@ -215,6 +214,3 @@ def q_final_item_features(spark, sf):
     used = V.reviews(spark, sf).select(F.col("item").alias("tmdb_id")).distinct()
     c2 = cat.join(used, "tmdb_id", "left_semi")
     return _w(FE.decade_features(c2).unionByName(FE.popularity_features(c2)))
-
-
-__all__ = ["resolve"]

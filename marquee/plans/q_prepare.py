@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions.text import clean_title, normalize_title
 from marquee.functions.vector import r6
 from marquee.operators import catalog, resolve
 from marquee.plans.oracle_views import clean_title_sql, normalize_title_sql, with_views
@@ -299,6 +298,3 @@ def q_array_distinct(spark, sf):
     # Order-preserving distinct of concatenated lists.
     c = V.catalogue(spark, sf)
     return c.select("tmdb_id", F.array_distinct(F.concat("genres", "directors", "genres")).alias("services"))
-
-
-__all__ = ["clean_title", "normalize_title"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.text import list_len
-from marquee.functions.vector import r6
 from marquee.operators import catalog, features as FE, profile as P, resolve
 from marquee.sources import io
 
@@ -123,6 +122,3 @@ def acceptance_report(recs: DataFrame, requested: DataFrame, reviews: DataFrame,
     r = recs.where(F.col("rank") <= top)
     g = r.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("rank", "item", "already_reviewed"))).alias("top"))
     return st.join(g, "user", "left")
-
-
-__all__ = ["r6"]

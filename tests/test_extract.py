@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from marquee.sources import extract as X
 

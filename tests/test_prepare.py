@@ -1,6 +1,5 @@
 """Item extraction, resolution, set operations on tiny hand-computed frames."""
 
-from pyspark.sql import functions as F
 
 from marquee.operators import catalog, resolve
 
