@@ -49,10 +49,73 @@ def numeric_profile(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
     )
 
 
+def exact_percentiles(lf: DataFrame, probs, parts: int | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles of (field, value) without one big buffer.
+
+    1. per-value counts (a map-side combined aggregate);
+    2. the counts are range-partitioned by (field, value) and checkpointed, so
+       the layout is fixed;
+    3. one small job returns the row total of every (field, partition), which
+       is at most fields x partitions numbers; the driver turns them into rank
+       offsets;
+    4. a running count inside each range partition gives every distinct value
+       its rank interval;
+    5. each target rank is resolved by an equi-join on (field, partition)
+       followed by an interval filter, so no range join or global window is
+       planned.
+
+    Returns (field, p, value).
+    """
+    from marquee.session import checkpoint
+    spark = lf.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vc = lf.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("c"))
+    r = checkpoint(vc.repartitionByRange(n, "field", "value").withColumn("_pid", F.spark_partition_id()))
+    sizes = sorted((x["field"], x["_pid"], x["s"]) for x in
+                   r.groupBy("field", "_pid").agg(F.sum("c").alias("s")).collect())
+    offs, totals = [], {}
+    for f, pid, sz in sizes:
+        offs.append((f, pid, totals.get(f, 0)))
+        totals[f] = totals.get(f, 0) + sz
+    targets = []
+    for f, total in totals.items():
+        parts_f = [(pid, off) for (ff, pid, off) in offs if ff == f]
+        for p in probs:
+            pos = (total - 1) * p
+            lo = int(pos // 1)
+            hi = min(lo + 1, total - 1) if pos > lo else lo
+            for which, rank in (("lo", lo), ("hi", hi)):
+                pid = max(pi for pi, off in parts_f if off <= rank)
+                targets.append((f, pid, float(p), which, int(rank), float(pos - lo)))
+    if not targets:
+        return spark.createDataFrame([], "field string, p double, value double")
+    off_df = spark.createDataFrame(offs, "field string, _pid int, off long")
+    w = Window.partitionBy("field", "_pid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = r.join(F.broadcast(off_df), ["field", "_pid"]) \
+        .withColumn("_end", F.col("off") + F.sum("c").over(w)) \
+        .withColumn("_start", F.col("_end") - F.col("c"))
+    t = spark.createDataFrame(targets, "field string, _pid int, p double, which string, rank long, frac double")
+    hit = ranked.join(F.broadcast(t), ["field", "_pid"]) \
+        .where((F.col("_start") <= F.col("rank")) & (F.col("rank") < F.col("_end")))
+    g = hit.groupBy("field", "p").agg(F.max(F.when(F.col("which") == "lo", F.col("value"))).alias("_lo"),
+                                      F.max(F.when(F.col("which") == "hi", F.col("value"))).alias("_hi"),
+                                      F.max("frac").alias("_f"))
+    return g.select("field", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
+
+
 def percentiles(df: DataFrame, cols: list[str], probs=PCTS, positive_only: bool = True,
-                approx: bool = False) -> DataFrame:
-    """Percentiles with linear interpolation (numpy / DuckDB quantile_cont)."""
+                approx: bool = False, distributed: bool = False) -> DataFrame:
+    """Percentiles with linear interpolation (numpy / DuckDB quantile_cont).
+
+    ``distributed=True`` uses ``exact_percentiles`` (no single aggregation
+    buffer holds the distinct values); ``approx=True`` uses percentile_approx.
+    """
     lf = long_form(df, cols, positive_only)
+    if distributed:
+        ex = exact_percentiles(lf, probs)
+        return ex.groupBy("field").agg(*[
+            r6(F.max(F.when(F.col("p") == float(p), F.col("value")))).alias(f"p{int(round(p * 100)):02d}")
+            for p in probs])
     arr = _pct(F.col("value"), list(probs), approx)
     g = lf.groupBy("field").agg(arr.alias("_p"))
     return g.select("field", *[r6(F.col("_p")[i]).alias(f"p{int(round(p * 100)):02d}")

@@ -60,7 +60,8 @@ SELECT field, {', '.join(f"round(q[{i + 1}], 6) AS p{int(round(p * 100)):02d}" f
 FROM (SELECT field, quantile_cont(value, {list(P.PCTS)}) AS q FROM {LFP} GROUP BY field)
 """)
 def q_percentiles(spark, sf):
-    return P.percentiles(V.catalogue(spark, sf), NUM_COLS)
+    # distributed exact selection: no single buffer holds all distinct values
+    return P.percentiles(V.catalogue(spark, sf), NUM_COLS, distributed=True)
 
 
 IQR_CTE = CAT + f"""

@@ -97,3 +97,17 @@ def test_top_n_is_validated():
     for bad in (0, 101, "5", 2.5):
         with pytest.raises(ValueError):
             check_range("top_n", bad, 1, 100)
+
+
+def test_distributed_exact_percentiles_match_numpy(spark):
+    from marquee.operators.profile import PCTS, percentiles
+    rng = np.random.default_rng(7)
+    vals = {"a": rng.integers(1, 50, 301).astype(float), "b": rng.normal(size=97), "c": np.array([5.0])}
+    rows = [(i, float(vals["a"][i]) if i < 301 else None, float(vals["b"][i]) if i < 97 else None,
+             5.0 if i == 0 else None) for i in range(301)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = {r.field: r for r in percentiles(df, ["a", "b", "c"], positive_only=False, distributed=True).collect()}
+    for f, v in vals.items():
+        want = np.percentile(v, [p * 100 for p in PCTS])
+        for p, w in zip(PCTS, want):
+            assert abs(got[f][f"p{int(round(p * 100)):02d}"] - round(w, 6)) < 1e-6, (f, p)
