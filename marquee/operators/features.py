@@ -277,6 +277,19 @@ def fixed_genre_features(cat: DataFrame) -> DataFrame:
     return cat.select(*cols)
 
 
+# This library's own short English stop list (common function words), used by
+# ``tfidf_weighted`` and by its oracle.
+STOP_WORDS = (
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "but", "by", "can", "could", "did", "do", "does", "down", "each", "for", "from", "had", "has", "have",
+    "he", "her", "here", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most",
+    "my", "no", "nor", "not", "now", "of", "off", "on", "only", "or", "other", "our", "out", "over", "own", "same",
+    "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this",
+    "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where",
+    "which", "while", "who", "whom", "why", "will", "with", "you", "your",
+)
+
+
 def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Z-score with the sample std; a column with std 0 (or null) is left as is."""
     r = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
@@ -289,19 +302,6 @@ def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def spark_stop_words(language: str = "english") -> list[str]:
-    """The stop-word list bundled with Spark ML (the list ``StopWordsRemover`` loads),
-    read from the installed jar so that no JVM is needed (the oracle uses it too)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split()
-
-
 def tfidf_weighted(df: DataFrame, key: str, fields: list[tuple[str, int, float]], stop_words=None,
                    min_df: int = 2, max_df: float = 0.95) -> DataFrame:
     """one TF-IDF per text field (lower-cased, tokens of 2+ characters, stop
@@ -312,7 +312,7 @@ def tfidf_weighted(df: DataFrame, key: str, fields: list[tuple[str, int, float]]
     Returns (tmdb_id, family = field, feature = field:term, weight).
     """
     from marquee.functions.text import list_to_text
-    sw = spark_stop_words() if stop_words is None else stop_words
+    sw = STOP_WORDS if stop_words is None else stop_words
     out = None
     for col, cap, w in fields:
         dt = dict(df.dtypes)[col]
