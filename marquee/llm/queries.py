@@ -44,3 +44,28 @@ def op6_token_counts(spark, sf_dir):
 def op9_token_files(spark, sf_dir):
     from marquee.llm.binary import ids_digest, write_ids
     return ids_digest(*write_ids(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER).decode(), end_id=0))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    from marquee.llm.mixing import mix, repeating
+    out = mix(table(spark, sf_dir, "documents"), weights=repeating((5, 2, 1)), repeats=3)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op8_chat_formatting(spark, sf_dir):
+    """Chosen: each conversation; rejected: the same with its last reply swapped (``swapped_replies``)."""
+    from marquee.llm.chat import format_preferences, span_text, swapped_replies
+    conversations = table(spark, sf_dir, "conversations")
+    out = format_preferences(conversations, swapped_replies(conversations))
+    return out.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected",
+                      span_text("chosen_spans").alias("chosen_spans"), span_text("rejected_spans").alias("rejected_spans"))
+
+
+def _oracles() -> None:
+    from marquee.llm import chat
+    ORACLE["op8_chat_formatting"] = chat.ORACLE
+
+
+_oracles()
