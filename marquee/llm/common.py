@@ -44,6 +44,22 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_marquee_worker", types.ModuleType("_marquee_worker")).__dict__
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of this package's classes, pickled by value: workers need not import them."""
+    from pyspark import cloudpickle
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared):
+    """In a worker: the object behind ``share``, unpickled once per worker."""
+    import pickle
+    state, raw = worker_state(), shared.value
+    key = f"shared {hash(raw)} {len(raw)}"
+    if key not in state:
+        state[key] = pickle.loads(raw)
+    return state[key]
+
+
 def crc_remainder(col, mod: int):
     """crc32 of the id as text, modulo ``mod`` (null ids: remainder 0)."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod, F.lit(0))

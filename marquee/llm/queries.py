@@ -28,6 +28,23 @@ def tokenizer_file(name: str) -> bytes:
         return f.read()
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    from marquee.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"), fold=3)
+    out = toxicity.score(docs, model, threshold=0.7)
+    return out.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op4_language(spark, sf_dir):
+    from marquee.llm import language
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.train_on(docs, fold=5))
+    return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_packing(spark, sf_dir):
     from marquee.llm.packing import pack

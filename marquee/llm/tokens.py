@@ -117,12 +117,11 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     lengths = PieceLengths(model, {})
     frequent = {p: lengths[p] for p in frequent_pieces(docs, text_col, table_entries, table_documents)}
     shared = spark.sparkContext.broadcast((model, frequent))
-    key = str(shared.id if hasattr(shared, "id") else id(shared))
 
     def measure(batches):
         state = worker_state()
-        if state.get("lengths_of") != key:
-            state["lengths_of"], state["lengths"] = key, PieceLengths(*shared.value)
+        if state.get("lengths_of") != hash(shared.value[0]):  # the table and cache serve any texts of this model
+            state["lengths_of"], state["lengths"] = hash(shared.value[0]), PieceLengths(*shared.value)
         length = state["lengths"].__getitem__
         for b in batches:
             n = [sum(map(length, spaced_pieces(t))) if t else 0 for t in string_column(b, "text")]
