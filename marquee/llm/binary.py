@@ -35,13 +35,13 @@ def _range_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def encoded(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text_col: str, symbols: int) -> DataFrame:
     """(bucket, id, n, ids): compressed 16- or 32-bit ids of each text with ``end_id`` after it;
     buckets are ascending ranges of the id, null ids first."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
     bounds = _range_bounds(docs, id_col, shuffle_partitions(spark))
-    end = int(end_id).to_bytes(4, "little")
+    end, width = int(end_id).to_bytes(4, "little"), _width(symbols)
 
     def encode(batches):
         import zstandard
@@ -49,9 +49,9 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text
         for b in batches:
             keys, n, out = string_column(b, "id"), [], []
             for t in string_column(b, "text"):
-                ids = enc.ids(t) + end
-                n.append(len(ids) // 4)
-                out.append(pack(ids))
+                ids = np.frombuffer(enc.ids(t) + end, "<u4")
+                n.append(len(ids))
+                out.append(pack(ids.astype(width)))
             bucket = [0 if k is None else bisect_left(bounds, k) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()),
                                               pa.array(out, pa.binary())], names=["bucket", "id", "n", "ids"])
@@ -60,9 +60,14 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text
     return src.mapInArrow(encode, "bucket int, id long, n long, ids binary")
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _width(symbols: int) -> str:
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
+def _unpacked(blobs: list[bytes], symbols: int) -> list[np.ndarray]:
     import zstandard
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(unpack(b), _width(symbols)) for b in blobs]
 
 
 def id_counts(tokens: DataFrame, symbols: int) -> np.ndarray:
@@ -70,8 +75,7 @@ def id_counts(tokens: DataFrame, symbols: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(symbols, np.int64)
         for b in batches:
-            for blob in string_column(b, "ids"):
-                total += np.bincount(_unpacked(blob), minlength=symbols)
+            total += np.bincount(np.concatenate(_unpacked(string_column(b, "ids"), symbols)), minlength=symbols)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -95,7 +99,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int = 0, id_col: str
     """
     spark = docs.sparkSession
     prepare(spark)
-    tokens = spool(encoded(docs, tokenizer_json, end_id, id_col, text_col), "tokens")
+    tokens = spool(encoded(docs, tokenizer_json, end_id, id_col, text_col, symbols), "tokens")
     counts = id_counts(tokens, symbols)
     sums = {r.bucket: r.n for r in tokens.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     base, at = {}, 0
@@ -115,12 +119,11 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int = 0, id_col: str
                                                "block": [ans.encode(ids, table)]}, schema=_BLOCKS)
 
         for b in batches:
-            for k, key, blob in zip(string_column(b, "bucket"), string_column(b, "id"), string_column(b, "ids"), strict=True):
+            for k, key, ids in zip(string_column(b, "bucket"), string_column(b, "id"), _unpacked(string_column(b, "ids"), symbols), strict=True):
                 if k != bucket:
                     if parts:
                         yield block()
                     bucket, first, at, keys, parts = k, base[k], base[k], [], []
-                ids = _unpacked(blob)
                 keys.append(key)
                 parts.append(ids)
                 at += len(ids)

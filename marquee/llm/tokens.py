@@ -19,7 +19,7 @@ from marquee.llm.common import prepare, worker_state
 #: A piece longer than this is encoded each time instead of being cached.
 MAX_CACHED_CHARS = 48
 #: Entries of each of the two generations of a worker's cache.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 700_000
 #: Entries of the broadcast table of frequent pre-tokens: with MAX_CACHED_CHARS its size is bounded.
 TABLE_ENTRIES = 32_768
 #: Documents whose pre-tokens decide which are held as frequent (this affects speed only).
@@ -140,6 +140,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 #: GPT-2's table of visible characters for bytes, by its rule.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_VISIBLE))}
+SPACE_CHAR = BYTE_CHARS[32]
 
 #: The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,11 +177,17 @@ class _Pieces(Cache):
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def make(self, piece: str) -> bytes:
-        if max(piece) >= "\u0250" or any(s in piece for s in self.special):
+        if not piece.isascii() and max(piece) >= "\u0250":
             return self.whole(piece)
-        if self.lower and (low := piece.lower()) != piece:
+        if self.lower and (low := piece.lower()) != piece and not any(s in piece for s in self.special):
             return self[low]
-        parts = [piece] if piece[piece[0] == " ":].isalpha() else self.split(piece)
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            inner = word if piece.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+            return _packed([t.id for t in self.model(inner if word is piece else SPACE_CHAR + inner)])
+        if any(s in piece for s in self.special):
+            return self.whole(piece)
+        parts = self.split(piece)
         if len(parts) == 1:
             return _packed([t.id for t in self.model(parts[0].encode().decode("latin-1").translate(BYTE_CHARS))])
         return b"".join(map(self.__getitem__, parts))
