@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and word beginnings. The vocabulary is what labelled examples show to go with one label
-(likelihood ratio); idf comes from all documents. The labelled examples are indexed: postings by term in
+(likelihood ratio), and one more term stands for all words of a text: it tells many hits in a short text from a
+few in a long one. idf comes from all documents. The labelled examples are indexed: postings by term in
 blocks of examples, with the largest weight of each block, so that blocks that cannot reach the nearest
 ones so far are never scored. Votes of the nearest, weighted by similarity, are calibrated on the examples
 themselves, each left out of its own vote.
@@ -56,10 +57,14 @@ class _Terms(Cache):
 
 
 def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
+    """Occurrences of the vocabulary's terms, and at the place after them the number of words; empty without a term."""
     out: dict[int, int] = {}
-    for token, n in Counter((text or "").lower().split()).items():
+    tokens = (text or "").lower().split()
+    for token, n in Counter(tokens).items():
         for p in terms[token]:
             out[p] = out.get(p, 0) + n
+    if out:
+        out[len(terms.places)] = len(tokens)
     return out
 
 
@@ -76,7 +81,7 @@ class Index:
 
     def __init__(self, vectors: list, labels: np.ndarray, ids: list, n_terms: int, weights: dict[int, float]):
         # examples with the same strongest term lie together, so that block maxima tell blocks apart
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(labels[i]), i))
+        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1][:-1])]), int(labels[i]), i))
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.weights = np.array([weights[int(labels[i])] for i in order])
         self.ids = [ids[i] for i in order]
@@ -208,7 +213,7 @@ def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str)
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def count(batches):
-        terms, df = _Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        terms, df = _Terms(shared.value), np.zeros(len(shared.value) + 2, np.int64)
         for b in batches:
             for t in string_column(b, "text"):
                 df[list(term_counts(t, terms))] += 1
@@ -216,9 +221,10 @@ def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used], pa.int64())], names=["term", "n"])
 
-    df = np.zeros(len(places) + 1, np.int64)
+    df = np.zeros(len(places) + 2, np.int64)
     for r in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r.term] = r.n
+    df[-2] = df[-1]  # every text has words
     return int(df[-1]), df[:-1]
 
 
@@ -268,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, df = _document_frequency(docs, places, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
     units = [unit(dict(zip(r.terms, r.counts, strict=True)), idf) for r in full]
-    index = Index(units, np.array([r.label for r in full]), [r.id for r in full], len(places), weights)
+    index = Index(units, np.array([r.label for r in full]), [r.id for r in full], len(places) + 1, weights)
     place = {x: i for i, x in enumerate(index.ids)}
     raw = np.array([index.vote(*index.nearest(at, w, NEIGHBOURS, place[r.id]), base) for (at, w), r in zip(units, full, strict=True)])
     y = np.array([float(r.label) for r in full])
