@@ -80,6 +80,12 @@ def op8_chat_formatting(spark, sf_dir):
                       span_text("chosen_spans").alias("chosen_spans"), span_text("rejected_spans").alias("rejected_spans"))
 
 
+@query
+def op10_jaccard_join(spark, sf_dir):
+    from marquee.llm.shingles import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def _oracles() -> None:
     from marquee.llm import chat
     ORACLE["op8_chat_formatting"] = chat.ORACLE
