@@ -45,6 +45,13 @@ def op4_language(spark, sf_dir):
     return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_nearest_neighbours(spark, sf_dir):
+    from marquee.llm.ann import nearest
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
 @query
 def op3_packing(spark, sf_dir):
     from marquee.llm.packing import pack
@@ -70,6 +77,12 @@ def op5_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op7_vector_duplicates(spark, sf_dir):
+    from marquee.llm.vectors import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 @query
 def op8_chat_formatting(spark, sf_dir):
     """Chosen: each conversation; rejected: the same with its last reply swapped (``swapped_replies``)."""
