@@ -65,6 +65,26 @@ def crc_remainder(col, mod: int):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod, F.lit(0))
 
 
+def map_texts(docs: DataFrame, fn, result: str, id_col: str, text_col: str, carry: tuple) -> DataFrame:
+    """Map ``fn`` (batch -> dict of new columns, typed as in ``result``) over a column "text" and either the id
+    or the carried columns, whatever their names. The text returns from the workers only where it is carried."""
+    import pyarrow as pa
+    held = list(carry) or [id_col]
+    names = ["text" if c == text_col else f"c{i}" for i, c in enumerate(held)]
+    src = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(held, names, strict=True)],
+                      *([] if "text" in names else [F.col(f"`{text_col}`").alias("text")]))
+    kinds = dict(src.dtypes)
+
+    def mapped(batches):
+        for b in batches:
+            own = [b.column(b.schema.get_field_index(n)) for n in names]
+            new = fn(b)
+            yield pa.RecordBatch.from_arrays([*own, *new.values()], names=[*names, *new])
+
+    out = src.mapInArrow(mapped, ", ".join([*(f"{n} {kinds[n]}" for n in names), result]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, held, strict=True)], *out.columns[len(names):])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
     """Broadcast hint behind a count: beyond ``max_rows`` the join stays a shuffled one."""
     rows = df.count() if rows is None else rows

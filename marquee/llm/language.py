@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_remainder, prepare, share, shared_value
+from marquee.llm.common import crc_remainder, map_texts, prepare, share, shared_value
 from marquee.llm.tokens import string_column
 
 WINDOW = 256
@@ -144,42 +144,39 @@ def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, docum
     return ByteNet(classes).fit(x, y)
 
 
-def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
     """Predict the language of every whole text: (id, lang_pred, score), one row per input row.
 
     The score is the mean probability of the predicted language over all windows of the text. Null texts and texts
     without a letter are ``und`` with score 0, and so is everything without a trained net. Very long texts go through the
-    network in chunks. Repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
+    network in chunks. Repeated rows and null ids stay; an empty table gives an empty result. With ``carry`` the named
+    columns of the documents come instead of the id.
     """
     spark = docs.sparkSession
     prepare(spark)
     shared = share(spark, net)
 
-    def predict(batches):
+    def predict(batch):
         net = shared_value(shared)
-        for b in batches:
-            lang, score, held, owner = [], [], [], []
-            texts = string_column(b, "text")
-            sums = None if net is None else np.zeros((len(texts), len(net.classes)))
-            for i, t in enumerate(texts):
-                if net is not None and has_letter(t):
-                    held.append(windows(t))
-                    owner.append(np.full(len(held[-1]), i))
-            if held:
-                x, own = np.concatenate(held), np.concatenate(owner)
-                for at in range(0, len(x), CHUNK):
-                    np.add.at(sums, own[at:at + CHUNK], net.probabilities(x[at:at + CHUNK]))
-            for i in range(len(texts)):
-                n = 0 if sums is None else sums[i].sum()
-                best = int(sums[i].argmax()) if n else None
-                lang.append("und" if best is None else net.classes[best])
-                score.append(0.0 if best is None else min(1.0, float(sums[i][best] / n)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=["id", "lang_pred", "score"])
-
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInArrow(predict, f"id {dict(src.dtypes)['id']}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), "lang_pred", "score")
+        lang, score, held, owner = [], [], [], []
+        texts = string_column(batch, "text")
+        sums = None if net is None else np.zeros((len(texts), len(net.classes)))
+        for i, t in enumerate(texts):
+            if net is not None and has_letter(t):
+                held.append(windows(t))
+                owner.append(np.full(len(held[-1]), i))
+        if held:
+            x, own = np.concatenate(held), np.concatenate(owner)
+            for at in range(0, len(x), CHUNK):
+                np.add.at(sums, own[at:at + CHUNK], net.probabilities(x[at:at + CHUNK]))
+        for i in range(len(texts)):
+            n = 0 if sums is None else sums[i].sum()
+            best = int(sums[i].argmax()) if n else None
+            lang.append("und" if best is None else net.classes[best])
+            score.append(0.0 if best is None else min(1.0, float(sums[i][best] / n)))
+        return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+
+    return map_texts(docs, predict, "lang_pred string, score double", id_col, text_col, carry)
 
 
 def train_on(docs: DataFrame, fold: int = 5) -> ByteNet | None:

@@ -99,6 +99,12 @@ def op10_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _oracles() -> None:
     from marquee.llm import chat
     ORACLE["op8_chat_formatting"] = chat.ORACLE

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_remainder, prepare, share, shared_value
+from marquee.llm.common import crc_remainder, map_texts, prepare, share, shared_value
 from marquee.llm.tokens import Cache, string_column, worker_state
 
 #: Labelled rows that the index holds, for each label: a documented bound.
@@ -282,36 +282,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(places, idf, index, base, empty, knots, values)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7,
+          carry: tuple = ()) -> DataFrame:
     """Score every whole text: (id, score, predicted, evidence), one row per input row.
 
     ``score`` is between 0 and 1; ``predicted`` is 1 from ``threshold`` on; ``evidence`` has the five nearest
     examples (doc_id, similarity, label). Null, empty and other texts without a term of the vocabulary get the
-    share of label 1 among such examples. Repeated rows and null ids stay; an empty table gives an empty result;
-    other columns are not read.
+    share of label 1 among such examples. Repeated rows and null ids stay; an empty table gives an empty result.
+    With ``carry`` the named columns of the documents come instead of the id.
     """
     spark = docs.sparkSession
     prepare(spark)
     shared = share(spark, model)
 
-    def judge(batches):
+    def judge(batch):
         model = shared_value(shared)
         state = worker_state()
         if state.get("toxicity_of") is not model:
             state["toxicity_of"], state["toxicity"] = model, (_Terms(model.places), {})
         terms, seen = state["toxicity"]
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        for b in batches:
-            got = [model.score(t, terms, seen) for t in string_column(b, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= threshold) for g in got], pa.int32()),
-                 pa.array([[{"doc_id": d, "similarity": s, "label": y} for d, s, y in g[1]] for g in got], kind)],
-                names=["id", "score", "predicted", "evidence"])
-
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInArrow(judge, f"id {dict(src.dtypes)['id']}, score double, predicted int, "
-                                "evidence array<struct<doc_id:bigint,similarity:double,label:int>>")
-    return out.select(F.col("id").alias(id_col), "score", "predicted", "evidence")
+        got = [model.score(t, terms, seen) for t in string_column(batch, "text")]
+        return {"score": pa.array([g[0] for g in got], pa.float64()),
+                "predicted": pa.array([int(g[0] >= threshold) for g in got], pa.int32()),
+                "evidence": pa.array([[{"doc_id": d, "similarity": s, "label": y} for d, s, y in g[1]] for g in got], kind)}
+
+    return map_texts(docs, judge, "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,label:int>>",
+                     id_col, text_col, carry)
 
 
 def train_on(docs: DataFrame, labels: DataFrame, fold: int = 3) -> Model:
