@@ -28,7 +28,7 @@ from marquee.llm.components import connected, forest
 from marquee.llm.tokens import string_column
 
 #: A token in more sets than this is frequent.
-RARE = 32
+RARE = 8
 #: Sets that one task compares with each other at once: two chunks of this many.
 CHUNK = 192
 #: Rows up to which a list of document ids is broadcast; beyond, the join is a shuffled one.
@@ -127,7 +127,9 @@ def _entries_low(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     tokens = sets.select("id", "n", F.size("low").alias("held"), F.posexplode("low").alias("at", "t"))
     shared = tokens.join(_shared_counts(tokens), "t")
     own = Window.partitionBy("id")
-    marked = spool(shared.withColumn("frequent", F.sum((F.col("c") > RARE).cast("long")).over(own)), "shared")
+    # a similar set lacks at most need - 1 of the tokens below the limit: sets with more that nobody shares have no partner
+    marked = spool(shared.withColumn("frequent", F.sum((F.col("c") > RARE).cast("long")).over(own))
+                   .withColumn("common", F.count(F.lit(1)).over(own)).where(F.col("held") - F.col("common") < need), "shared")
     entries = marked.where((F.col("c") <= RARE) & (F.col("at") < need + F.col("frequent"))).select(F.col("t").alias("entry"), "id")
     few = sets.where(F.size("low") < need).select("id")
     mostly = marked.where(F.col("held") - F.col("frequent") < need).select("id").distinct()
@@ -148,6 +150,8 @@ def _entries_all(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # a set's own tokens are one row of its result: the group is bounded by the text
     grouped = shared.groupBy("id", "n").agg(F.collect_list(F.when(F.col("c") <= RARE, F.col("t"))).alias("rare"),
                                             F.collect_list(F.when(F.col("c") > RARE, F.col("t"))).alias("frequent"))
+    # likewise, over all tokens
+    grouped = grouped.where(F.col("n") - F.size("rare") - F.size("frequent") <= _slack(F.col("n"), percent))
 
     def index(batches):
         for b in batches:
