@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from marquee.functions.vector import r6
@@ -113,19 +115,47 @@ def q_language_topn(spark, sf):
     return _w(FE.language_features(V.catalogue(spark, sf)))
 
 
-@query("item_features", CAT + " UNION ALL ".join(
-    [DECADE_SQL, RUNTIME_SQL] + [_multihot_sql(*m) for m in MULTIHOT] +
-    [_money_sql("budget"), _money_sql("revenue"), LANG_SQL, POP_SQL]))
+def _keyword_sql() -> str:
+    """F7 over the catalogue's keywords (the joined names of cast and genres): 1000 terms, L2-normalised rows."""
+    return """
+SELECT * FROM (
+  WITH d AS (SELECT tmdb_id AS doc, coalesce(array_to_string("cast", ' '), '') || ' ' || coalesce(array_to_string(genres, ' '), '') AS t FROM catalogue)
+  , n AS (SELECT count(*) AS n FROM d)
+  , tok AS (SELECT doc, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+')) AS term FROM d)
+  , tf AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY doc, term)
+  , st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 1000)
+  , w AS (SELECT tf.doc, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + st.df)) + 1.0) AS w FROM tf JOIN st ON tf.term = st.term, n)
+  SELECT doc AS tmdb_id, 'keyword' AS family, 'keyword_tfidf_' || term AS feature,
+         w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM w)
+"""
+
+
+def keywords(cat):
+    """(tmdb_id, text): the keyword text of each catalogue row."""
+    from marquee.functions.text import list_to_text
+    return cat.select("tmdb_id", F.concat(list_to_text("cast"), F.lit(" "), list_to_text("genres")).alias("text"))
+
+
+#: Every feature family (F1-F8), as one union; weights not rounded.
+ALL_SQL = " UNION ALL ".join([DECADE_SQL, RUNTIME_SQL] + [_multihot_sql(*m) for m in MULTIHOT] +
+                             [_money_sql("budget"), _money_sql("revenue"), LANG_SQL, POP_SQL, _keyword_sql()])
+
+
+def all_features(cat):
+    return FE.item_features(cat, keywords(cat))
+
+
+ROUNDED = "SELECT tmdb_id, family, feature, CAST(round(weight, 6) AS DOUBLE) AS weight FROM ("
+
+
+@query("item_features", CAT + ROUNDED + ALL_SQL + ")")
 def q_item_features(spark, sf):
-    return _w(FE.item_features(V.catalogue(spark, sf)))
+    return _w(all_features(V.catalogue(spark, sf)))
 
 
-@query("feature_counts", CAT + ", f AS (" + " UNION ALL ".join(
-    [DECADE_SQL, RUNTIME_SQL] + [_multihot_sql(*m) for m in MULTIHOT] +
-    [_money_sql("budget"), _money_sql("revenue"), LANG_SQL, POP_SQL]) +
-    ") SELECT family, count(DISTINCT feature) AS n_features FROM f GROUP BY family")
+@query("feature_counts", CAT + f", f AS ({ALL_SQL}) SELECT family, count(DISTINCT feature) AS n_features FROM f GROUP BY family")
 def q_feature_counts(spark, sf):
-    return FE.feature_counts(FE.item_features(V.catalogue(spark, sf)))
+    return FE.feature_counts(all_features(V.catalogue(spark, sf)))
 
 
 TFIDF_SQL = """
@@ -148,14 +178,13 @@ def q_tfidf(spark, sf):
 
 @query("mode_scaling", with_views("reviews", "catalogue") + """
 , items AS (SELECT DISTINCT item AS tmdb_id FROM reviews)
-, f AS (""" + " UNION ALL ".join([DECADE_SQL, POP_SQL]) + """)
+, f AS (""" + ALL_SQL + """)
 SELECT tmdb_id, family, feature, CAST(round(weight * 0.5, 6) AS DOUBLE) AS weight FROM f WHERE tmdb_id IN (SELECT tmdb_id FROM items)
 UNION ALL
 SELECT tmdb_id, 'id', 'id:' || CAST(tmdb_id AS VARCHAR), CAST(2.0 AS DOUBLE) FROM items
 """)
 def q_mode_scaling(spark, sf):
-    cat = V.catalogue(spark, sf)
-    feats = FE.decade_features(cat).unionByName(FE.popularity_features(cat))
+    feats = all_features(V.catalogue(spark, sf))
     items = V.reviews(spark, sf).select(F.col("item").alias("tmdb_id"))
     return _w(FE.mode_scaling(feats, items, "hybrid"))
 
@@ -173,10 +202,15 @@ FROM catalogue c
 
 
 @query("main_other_split", CAT + """
-, fr AS (SELECT el, count(*) AS n FROM (SELECT unnest("cast") AS el FROM catalogue) GROUP BY el)
-""" + _split_sql("cast", 5).replace("FROM catalogue c", "FROM catalogue c"))
+, fc AS (SELECT el, count(*) AS n FROM (SELECT unnest("cast") AS el FROM catalogue) GROUP BY el)
+, fd AS (SELECT el, count(*) AS n FROM (SELECT unnest(directors) AS el FROM catalogue) GROUP BY el)
+, a AS (""" + _split_sql("cast", 5).replace("fr", "fc") + "), b AS (" + _split_sql("directors", 3).replace("fr", "fd") + """)
+SELECT a.tmdb_id, cast_main, cast_other, directors_main, directors_other FROM a JOIN b ON a.tmdb_id = b.tmdb_id
+""")
 def q_main_other_split(spark, sf):
-    return FE.main_other_split(V.catalogue(spark, sf), "cast", 5)
+    """cast members with at least 5 appearances and directors with at least 3, and the others."""
+    cat = V.catalogue(spark, sf)
+    return FE.main_other_split(cat, "cast", 5).join(FE.main_other_split(cat, "directors", 3), "tmdb_id")
 
 
 @query("rare_group", CAT + """
@@ -206,11 +240,8 @@ def q_fixed_genre(spark, sf):
 @query("final_item_features", with_views("reviews", "catalogue") + """
 , used AS (SELECT DISTINCT item FROM reviews)
 , catalogue2 AS (SELECT * FROM catalogue WHERE tmdb_id IN (SELECT item FROM used))
-""" + DECADE_SQL.replace("FROM catalogue", "FROM catalogue2") + " UNION ALL " +
-    POP_SQL.replace("FROM catalogue", "FROM catalogue2"))
+""" + ROUNDED + re.sub(r"\bcatalogue\b", "catalogue2", ALL_SQL) + ")")
 def q_final_item_features(spark, sf):
-    """R2 on the used catalogue: features of items that have ratings."""
-    cat = V.catalogue(spark, sf)
+    """R2 on the used catalogue: every family, for the items that have ratings."""
     used = V.reviews(spark, sf).select(F.col("item").alias("tmdb_id")).distinct()
-    c2 = cat.join(used, "tmdb_id", "left_semi")
-    return _w(FE.decade_features(c2).unionByName(FE.popularity_features(c2)))
+    return _w(all_features(V.catalogue(spark, sf).join(used, "tmdb_id", "left_semi")))

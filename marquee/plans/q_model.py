@@ -365,10 +365,10 @@ def q_svd_topn_unseen(spark, sf):
 
 @query("svd_score_moments")
 def q_svd_score_moments(spark, sf):
-    """A27 over the SVD factors."""
+    """A27 over the SVD factors: all user x item pairs."""
     from marquee.operators.factor import score_moments, truncated_svd
     uf, vf, _ = truncated_svd(inter(spark, sf), k=25)
-    return score_moments(uf, vf, 100)
+    return score_moments(uf, vf)
 
 
 @query("train_hybrid")

@@ -50,13 +50,16 @@ def read_ratings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def new_run_id(now: _dt.datetime | None = None) -> str:
-    return (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S")
+    """Sorts by time; microseconds keep two runs of one second apart."""
+    return (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S_%f")
 
 
 def write_table(df: DataFrame, root: str, name: str, run_id: str, mode: str = "append", fmt: str = "parquet") -> str:
-    """Write a table as one ``run_id`` partition of ``root/name``."""
+    """Write a table as one ``run_id`` partition of ``root/name``.
+
+    ``overwrite`` replaces that run's partition only; earlier runs stay."""
     path = f"{root.rstrip('/')}/{name}"
-    w = df.withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id")
+    w = df.withColumn("run_id", F.lit(run_id)).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
     if fmt == "csv":
         w.option("header", True).csv(path)
     elif fmt == "json":
@@ -66,16 +69,31 @@ def write_table(df: DataFrame, root: str, name: str, run_id: str, mode: str = "a
     return path
 
 
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names, without ``prefix``, of the folders of ``path`` that start with it; none where there is no such path.
+
+    One listing of one level through the file system of the path; any other failure is raised."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    return sorted(n[len(prefix):] for n in names if n.startswith(prefix))
+
+
 def latest_run_id(spark: SparkSession, root: str, name: str) -> str | None:
-    """Newest dataset version = max(run_id) (from the partition column only)."""
-    r = spark.read.parquet(f"{root.rstrip('/')}/{name}").agg(F.max("run_id").alias("m")).first()
-    return r["m"] if r else None
+    """Newest dataset version = the largest ``run_id`` among the partition folders."""
+    runs = subfolders(spark, f"{root.rstrip('/')}/{name}", "run_id=")
+    return runs[-1] if runs else None
 
 
 def read_latest(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
     """The table of one run (newest by default); the run_id filter prunes partitions."""
     rid = run_id or latest_run_id(spark, root, name)
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}").where(F.col("run_id") == rid).drop("run_id")
+    if rid is None:
+        raise FileNotFoundError(f"no run of {name!r} under {root!r}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}/run_id={rid}")
 
 
 def newest_file(spark: SparkSession, path_glob: str, patterns: list[str] | None = None) -> DataFrame:
@@ -144,12 +162,7 @@ def load_model(spark: SparkSession, root: str, mode: str, run_id: str | None = N
     When nothing is stored, ``train_fn()`` is called if given, else it raises.
     """
     from marquee.operators.hybrid import HybridModel
-    try:
-        runs = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-            .load(f"{root.rstrip('/')}/mode={mode}").select("path")
-        ids = sorted({p.split("run_id=")[1].split("/")[0] for (p,) in runs.collect() if "run_id=" in p})
-    except Exception:  # noqa: BLE001 - no folder yet
-        ids = []
+    ids = subfolders(spark, f"{root.rstrip('/')}/mode={mode}", "run_id=")
     if not ids:
         if train_fn is None:
             raise FileNotFoundError(f"no stored model for mode {mode!r}")
