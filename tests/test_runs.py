@@ -38,6 +38,19 @@ def test_run_versions_and_gate(spark):
     assert io.stage_gate(df, "ok") == 1
 
 
+def test_overwrite_keeps_other_runs(spark):
+    root = tempfile.mkdtemp(prefix="marquee-test-")
+    df = spark.createDataFrame([("a", 1)], "username string, n int")
+    for run, rows in (("r1", df), ("r2", df.union(df)), ("r1", df.union(df).union(df))):
+        io.write_table(rows, root, "t", run, mode="overwrite")
+    assert io.read_latest(spark, root, "t", "r1").count() == 3
+    assert io.read_latest(spark, root, "t").count() == 2
+    assert io.latest_run_id(spark, root, "missing") is None
+    with pytest.raises(FileNotFoundError):
+        io.read_latest(spark, root, "missing")
+    assert io.new_run_id() < io.new_run_id()
+
+
 def test_csv_reader_with_schema(spark):
     d = tempfile.mkdtemp(prefix="marquee-csv-")
     p = os.path.join(d, "r.csv")
