@@ -31,4 +31,4 @@ def oracles() -> dict[str, str]:
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from marquee.plans import q_prepare, q_profile, q_features, q_model, q_extract, q_runs, q_more  # noqa: F401
+    from marquee.plans import q_prepare, q_profile, q_features, q_model, q_extract, q_runs, q_more, q_pages  # noqa: F401
