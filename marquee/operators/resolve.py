@@ -86,19 +86,22 @@ def used_catalogue(catalogue: DataFrame, final_reviews: DataFrame) -> DataFrame:
     return catalogue.join(used, catalogue.tmdb_id == used._uid, "left_semi")
 
 
+def clean_reviews(reviews: DataFrame, catalogue: DataFrame, repaired: DataFrame) -> DataFrame:
+    """R1, ratings: J3 -> J5 -> keep matched -> typed ids. The exact lookup is built from the
+    catalogue before its years are repaired (Q21)."""
+    filled = fill_review_years(resolve_two_tier(reviews, catalogue), repaired)
+    return filled.where(F.col("tmdb_id").isNotNull()) \
+        .withColumn("tmdb_id", F.col("tmdb_id").cast("bigint")).drop("match_kind")
+
+
 def clean_dataset(reviews: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J3 -> P5 -> J5 -> keep matched -> J8 -> typed ids.
+    """``clean_reviews``, then J8 over the repaired catalogue (P5).
 
-    The exact lookup is built before the catalogue years are repaired (Q21).
     Returns (final_reviews, final_metadata).
     """
-    resolved = resolve_two_tier(reviews, catalogue)
     repaired = repair_catalogue_year(catalogue)
-    filled = fill_review_years(resolved, repaired)
-    final_reviews = filled.where(F.col("tmdb_id").isNotNull()) \
-        .withColumn("tmdb_id", F.col("tmdb_id").cast("bigint")).drop("match_kind")
-    final_metadata = used_catalogue(repaired, final_reviews)
-    return final_reviews, final_metadata
+    final_reviews = clean_reviews(reviews, catalogue, repaired)
+    return final_reviews, used_catalogue(repaired, final_reviews)
 
 
 def match_report(resolved: DataFrame) -> DataFrame:

@@ -144,13 +144,14 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
 
 
 def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
-                user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
+                user_blocks: int | None = None, item_blocks: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Per-user AUC of the full item ranking, positives = ``positives`` (user, item).
 
     Mann-Whitney with ties counted one half. Each user's positive scores are
     copied to every item block of the user's block; a block counts, for each
     positive, the negatives (items that are not the user's positives) scoring
-    lower or equal. Returns (user, auc).
+    lower or equal. Pairs of ``exclude`` (user, item) that are not positives, such as the
+    training pairs, are neither. Returns (user, auc).
     """
     spark = users.sparkSession
     ub, ib = _blocks(spark, user_blocks, item_blocks, users, items)
@@ -173,6 +174,12 @@ def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
     left = left.unionByName(pos.select(ubk.alias("ub"), seq_ib.alias("ib"), F.lit(1).alias("kind"), "user",
                                        F.lit(None).cast("array<double>").alias("factors"),
                                        F.col("item").alias("pitem"), "pscore"))
+    if exclude is not None:
+        # an excluded pair goes to the one item block that holds its item
+        out = exclude.select("user", "item").distinct().join(pos.select("user", "item"), ["user", "item"], "left_anti")
+        left = left.unionByName(out.select(ubk.alias("ub"), ibk.alias("ib"), F.lit(2).alias("kind"), "user",
+                                           F.lit(None).cast("array<double>").alias("factors"), F.col("item").alias("pitem"),
+                                           F.lit(None).cast("double").alias("pscore")))
     right = items.select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), ibk.alias("ib"),
                          "item", F.col("factors").cast("array<double>").alias("factors"),
                          F.col("bias").cast("double").alias("bias"))
@@ -196,21 +203,29 @@ def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
         ps = prows["pscore"].to_numpy(dtype=float)
         pc = col_of.reindex(prows["pitem"].to_numpy()).to_numpy()      # column of the positive, if in block
         inblk = ~pd.isna(pc)
-        # negatives of a user in this block = block items minus the user's positives that are here
-        pos_here = np.bincount(pr[inblk], minlength=len(uid))
-        nneg = len(iid) - pos_here[pr]
+        xrows = lpdf[lpdf["kind"] == 2]
+        xr, xc = row_of.reindex(xrows["user"].to_numpy()).to_numpy(), col_of.reindex(xrows["pitem"].to_numpy()).to_numpy()
+        ok = ~(pd.isna(xr) | pd.isna(xc))
+        xr, xc = xr[ok].astype(int), xc[ok].astype(int)
+        # negatives of a user in this block: its items without the user's positives and excluded pairs
+        off = np.bincount(pr[inblk], minlength=len(uid)) + np.bincount(xr, minlength=len(uid))
+        nneg = len(iid) - off[pr]
         lower = np.zeros(len(pr))
+        by_user = np.argsort(pr, kind="stable")
+        bounds = np.searchsorted(pr[by_user], np.arange(len(uid) + 1))
         step = max(1, MAX_CELLS // max(1, len(iid)))
         for a in range(0, len(uid), step):
             sc = _seq_scores(uv_[a:a + step], iv_, bias)
             m = inblk & (pr >= a) & (pr < a + step)
-            sc[pr[m] - a, pc[m].astype(int)] = np.nan     # positives are not negatives
-            sel = np.nonzero((pr >= a) & (pr < a + step))[0]
-            for b in range(0, len(sel), step):
-                idx = sel[b:b + step]
-                rows = sc[pr[idx] - a]
-                s_ = ps[idx][:, None]
-                lower[idx] = (rows < s_).sum(axis=1) + 0.5 * (rows == s_).sum(axis=1)
+            sc[pr[m] - a, pc[m].astype(int)] = np.nan
+            m = (xr >= a) & (xr < a + step)
+            sc[xr[m] - a, xc[m]] = np.nan
+            sc.sort(axis=1)      # what is no negative sorts last
+            for u in range(a, min(a + step, len(uid))):
+                idx = by_user[bounds[u]:bounds[u + 1]]
+                if len(idx):
+                    lo, hi = sc[u - a].searchsorted(ps[idx], "left"), sc[u - a].searchsorted(ps[idx], "right")
+                    lower[idx] = 0.5 * (lo + hi)
         return pd.DataFrame({"user": prows["user"].to_numpy(), "pitem": prows["pitem"].to_numpy(),
                              "lower": lower, "nneg": nneg.astype("int64")})
 

@@ -221,16 +221,17 @@ def q_recommendations(spark, sf):
 , tp AS (SELECT DISTINCT "user", item FROM test)
 , pos AS (SELECT tp."user", tp.item, sc.score FROM tp JOIN sc ON tp."user" = sc."user" AND tp.item = sc.item)
 , neg AS (SELECT sc.* FROM sc WHERE sc."user" IN (SELECT "user" FROM pos)
-          AND NOT EXISTS (SELECT 1 FROM tp WHERE tp."user" = sc."user" AND tp.item = sc.item))
+          AND NOT EXISTS (SELECT 1 FROM tp WHERE tp."user" = sc."user" AND tp.item = sc.item)
+          AND NOT EXISTS (SELECT 1 FROM train t WHERE t."user" = sc."user" AND t.item = sc.item))
 , cnt AS (SELECT p."user", p.item, sum(CASE WHEN n.score < p.score THEN 1.0 WHEN n.score = p.score THEN 0.5 ELSE 0 END) AS lower,
                  count(*) AS nneg FROM pos p JOIN neg n ON p."user" = n."user" GROUP BY p."user", p.item)
 , per AS (SELECT "user", sum(lower) / (count(*) * max(nneg)) AS auc FROM cnt GROUP BY "user")
 SELECT round(avg(auc), 6) AS auc, count(*) AS users FROM per
 """)
 def q_auc(spark, sf):
-    """Mean per-user AUC of the held-out positives against all other items."""
-    uv, iv, _, test = dense_model(spark, sf)
-    per = S.blocked_auc(uv, iv, test.select("user", "item"))
+    """Mean per-user AUC of the held-out positives against the items that the user has not rated."""
+    uv, iv, train, test = dense_model(spark, sf)
+    per = S.blocked_auc(uv, iv, test.select("user", "item"), exclude=train.select("user", "item"))
     return per.agg(r6(F.avg("auc")).alias("auc"), F.count(F.lit(1)).alias("users"))
 
 

@@ -26,28 +26,32 @@ def prepare_features(final_metadata: DataFrame, keywords: DataFrame | None = Non
 
 def run_dataset(spark: SparkSession, reviews_raw: DataFrame, metadata: DataFrame, out_root: str,
                 run_id: str | None = None, min_user_reviews: int = 10, min_item_reviews: int = 5) -> DataFrame:
-    """Landed ratings + catalogue -> unique items -> enrichment -> cleaning -> features.
+    """Landed ratings + catalogue -> unique items -> enrichment (J9, S21) -> cleaning -> features (keywords included).
 
     Every stage output is written as a ``run_id`` partition (which also cuts
     lineage) and gated on being non-empty (S13, record counts, Q14). Returns
-    the one-row run summary (S8), also written next to the tables.
+    the one-row run summary (S8), also written next to the tables. The ratings are computed once, from
+    their landed table, and the used catalogue is derived from the written final ratings.
     """
     rid = run_id or io.new_run_id()
-    counts = {"raw_ratings": io.stage_gate(reviews_raw, "raw_ratings")}
-    items = catalog.unique_items(reviews_raw, min_user_reviews, min_item_reviews)
-    io.write_table(items, out_root, "unique_items", rid, mode="overwrite")
-    items = io.read_latest(spark, out_root, "unique_items", rid)
-    counts["unique_items"] = io.stage_gate(items, "unique_items")
-    final_reviews, final_metadata = resolve.clean_dataset(reviews_raw, metadata)
-    io.write_table(final_reviews, out_root, "final_reviews", rid, mode="overwrite")
-    io.write_table(final_metadata, out_root, "final_metadata", rid, mode="overwrite")
-    fr = io.read_latest(spark, out_root, "final_reviews", rid)
-    fm = io.read_latest(spark, out_root, "final_metadata", rid)
-    counts["final_ratings"] = io.stage_gate(fr, "final_reviews")
-    counts["final_items"] = io.stage_gate(fm, "final_metadata")
-    feats = prepare_features(fm)
-    io.write_table(feats, out_root, "item_features", rid, mode="overwrite")
-    counts["feature_rows"] = io.stage_gate(io.read_latest(spark, out_root, "item_features", rid), "item_features")
+    counts = {}
+
+    def stage(df, name):
+        """Write a stage's rows, gate on their number, continue from the written table."""
+        io.write_table(df, out_root, name, rid, mode="overwrite")
+        out = io.read_latest(spark, out_root, name, rid)
+        counts[name] = io.stage_gate(out, name)
+        return out
+
+    raw = stage(reviews_raw, "raw_ratings")
+    items = stage(catalog.unique_items(raw, min_user_reviews, min_item_reviews), "unique_items")
+    found = metadata.select("title", "year", *[c for c in ("runtime", "genres", "directors", "cast", "release_date") if c in metadata.columns], "seq")
+    stage(catalog.enrich_unique_items(items, found), "enriched_items")
+    repaired = resolve.repair_catalogue_year(metadata)
+    fr = stage(resolve.clean_reviews(raw, metadata, repaired), "final_ratings")
+    fm = stage(resolve.used_catalogue(repaired, fr), "final_items")
+    keywords = fm.select("tmdb_id", F.concat_ws(" ", F.array_join("cast", " "), F.array_join("genres", " ")).alias("text"))
+    stage(prepare_features(fm, keywords), "feature_rows")
     summary = io.run_summary(spark, rid, counts,
                              {"min_user_reviews": min_user_reviews, "min_item_reviews": min_item_reviews},
                              fr.select("username", "tmdb_id", F.col("rating").cast("double")))
