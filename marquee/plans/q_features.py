@@ -201,10 +201,13 @@ FROM catalogue c
 """
 
 
-@query("main_other_split", CAT + """
+SPLIT_CTES = """
 , fc AS (SELECT el, count(*) AS n FROM (SELECT unnest("cast") AS el FROM catalogue) GROUP BY el)
 , fd AS (SELECT el, count(*) AS n FROM (SELECT unnest(directors) AS el FROM catalogue) GROUP BY el)
-, a AS (""" + _split_sql("cast", 5).replace("fr", "fc") + "), b AS (" + _split_sql("directors", 3).replace("fr", "fd") + """)
+, a AS (""" + _split_sql("cast", 5).replace("fr", "fc") + "), b AS (" + _split_sql("directors", 3).replace("fr", "fd") + ")"
+
+
+@query("main_other_split", CAT + SPLIT_CTES + """
 SELECT a.tmdb_id, cast_main, cast_other, directors_main, directors_other FROM a JOIN b ON a.tmdb_id = b.tmdb_id
 """)
 def q_main_other_split(spark, sf):
