@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_remainder, map_texts, prepare, share, shared_value
+from marquee.llm.common import crc_remainder, map_texts, prepare, share, shared_value, spool
 from marquee.llm.tokens import Cache, string_column, worker_state
 
 #: Labelled rows that the index holds, for each label: a documented bound.
 EXAMPLES = 5000
-#: Terms in the vocabulary at most, and the likelihood ratio and examples that a term needs.
+#: Terms in the vocabulary at most, and examples that a term needs. Its likelihood ratio must pass 2 ln(candidates),
+#: which chance would let about one candidate do.
 VOCABULARY = 4096
-LEAST_RATIO = 15.0
 LEAST_EXAMPLES = 4
 NEIGHBOURS = 15
 BLOCK = 64
@@ -100,34 +100,30 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: index order), nearest first, and the cosines. Exact."""
-        bound = np.zeros(self.blocks)
-        for p, x in zip(at.tolist(), w.tolist(), strict=True):
-            _, _, block, top = self.postings[p]
-            bound[block] += x * top
-        order = np.argsort(-bound, kind="stable")
-        first = order[:max(2, -(-2 * k // BLOCK))]
+        lists = [self.postings[p] for p in at.tolist()]
+        tops = np.concatenate([x * t[3] for t, x in zip(lists, w, strict=True)])
+        bound = np.bincount(np.concatenate([t[2] for t in lists]), tops, self.blocks)
+        where = np.concatenate([t[0] for t in lists])
+        part = np.concatenate([x * t[1] for t, x in zip(lists, w, strict=True)])
+        block = where // BLOCK
         use = np.zeros(self.blocks, bool)
-        use[first] = True
-        score = np.zeros(self.blocks * BLOCK)
-        self._add(score, use, at, w)
+        use[np.argsort(-bound, kind="stable")[:max(2, -(-2 * k // BLOCK))]] = True
+        own = use[block]
+        score = np.bincount(where[own], part[own], self.blocks * BLOCK)
         if leave_out >= 0:
             score[leave_out] = 0
         floor = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        # blocks that could still hold one of the k best
         more = (bound >= floor - 1e-12) & (bound > 0) & ~use
         if more.any():
-            self._add(score, more, at, w)
+            own = more[block]
+            score += np.bincount(where[own], part[own], self.blocks * BLOCK)
             if leave_out >= 0:
                 score[leave_out] = 0
-        found = np.flatnonzero(score > 0)
+        found = np.flatnonzero(score >= max(floor, 1e-300))
         best = found[np.lexsort((found, -score[found]))][:k]
         return best, score[best]
 
-    def _add(self, score, use, at, w):
-        for p, x in zip(at.tolist(), w.tolist(), strict=True):
-            where, weight, _, _ = self.postings[p]
-            keep = use[where // BLOCK]
-            score[where[keep]] += x * weight[keep]
-
     def vote(self, best: np.ndarray, cosine: np.ndarray, base: float) -> float:
         """Share of label 1 among the nearest; the square of the cosine and the example's sampling weight count."""
         v = cosine * cosine * self.weights[best]
@@ -204,7 +200,9 @@ def _selected(examples: DataFrame) -> list[str]:
     a, b = F.col("a"), F.col("b")
     both = (a + b) / (n0 + n1)
     ratio = 2 * (fit(a, F.lit(n0), a / n0) + fit(b, F.lit(n1), b / n1) - fit(a, F.lit(n0), both) - fit(b, F.lit(n1), both))
-    top = rows.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(VOCABULARY)
+    rated = spool(rows.select("term", ratio.alias("ratio")), "terms")
+    least = 2 * math.log(max(2, rated.count()))
+    top = rated.where(F.col("ratio") >= least).coalesce(4).orderBy(F.desc("ratio"), "term").limit(VOCABULARY)
     return [r.term for r in top.collect()]
 
 
