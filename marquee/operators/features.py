@@ -45,16 +45,15 @@ def decade_features(cat: DataFrame) -> DataFrame:
 
 
 def fit_quartiles(df: DataFrame, expr) -> list[float] | None:
-    """Exact linear-interpolated quartiles of ``expr`` (one aggregate job).
+    """Exact linear-interpolated quartiles of ``expr``, without one buffer for all its values.
 
     Returns None when there are no values. The result is three numbers, so
     bringing it to the driver is bounded.
     """
-    r = df.select(expr.alias("_v")).where(F.col("_v").isNotNull()) \
-        .agg(F.percentile("_v", [0.25, 0.5, 0.75]).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    if r is None or r["n"] == 0:
-        return None
-    return [float(x) for x in r["q"]]
+    from marquee.operators.profile import exact_percentiles
+    lf = df.select(F.lit("v").alias("field"), expr.cast("double").alias("value"))
+    q = {r["p"]: r["value"] for r in exact_percentiles(lf, (0.25, 0.5, 0.75)).collect()}
+    return [float(q[p]) for p in (0.25, 0.5, 0.75)] if q else None
 
 
 def runtime_quartile_features(cat: DataFrame, edges: list[float] | None = None) -> DataFrame:

@@ -37,16 +37,36 @@ def _pct(col, p, approx: bool):
 def numeric_profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """Total, non-null, null %, min, max, mean, median, sample std per column."""
     lf = long_form(df, cols)
-    return lf.groupBy("field").agg(
+    g = lf.groupBy("field").agg(
         F.count(F.lit(1)).alias("total"),
         F.count("value").alias("non_null"),
         r6((F.count(F.lit(1)) - F.count("value")) * 100.0 / F.count(F.lit(1))).alias("null_pct"),
         r6(F.min("value")).alias("min"),
         r6(F.max("value")).alias("max"),
         r6(F.avg("value")).alias("mean"),
-        r6(_pct(F.col("value"), 0.5, approx)).alias("median"),
+        *([r6(_pct(F.col("value"), 0.5, True)).alias("median")] if approx else []),
         r6(F.stddev_samp("value")).alias("std"),
     )
+    if not approx:
+        # one row per column: a bounded broadcast
+        median = exact_percentiles(lf, [0.5]).select(F.col("field").alias("_c"), r6("value").alias("median"))
+        g = g.join(F.broadcast(median), g.field == F.col("_c"), "left")
+    return g.select("field", "total", "non_null", "null_pct", "min", "max", "mean", "median", "std")
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``rank`` 1, 2, ... over its total order, without one task for all rows: range partitions are
+    numbered on their own, and the driver gets one row count per partition."""
+    from marquee.session import checkpoint
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = checkpoint(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    before, offsets = 0, []
+    for row in sorted(r.groupBy("_pid").count().collect()):
+        offsets.append((row["_pid"], before))
+        before += row["count"]
+    off = df.sparkSession.createDataFrame(offsets, "_pid int, _before long")
+    w = Window.partitionBy("_pid").orderBy(*order)
+    return r.join(F.broadcast(off), "_pid").withColumn("rank", F.row_number().over(w) + F.col("_before")).drop("_pid", "_before")
 
 
 def exact_percentiles(lf: DataFrame, probs, parts: int | None = None) -> DataFrame:
@@ -123,17 +143,24 @@ def percentiles(df: DataFrame, cols: list[str], probs=PCTS, positive_only: bool
 
 
 def quartile_frame(lf: DataFrame, approx: bool = False) -> DataFrame:
-    return lf.groupBy("field").agg(_pct(F.col("value"), [0.25, 0.5, 0.75], approx).alias("_q"),
-                                    F.min("value").alias("_lo"), F.max("value").alias("_hi")) \
-        .select(F.col("field").alias("_c"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"),
-                F.col("_q")[2].alias("q3"), "_lo", "_hi")
+    """Quartiles and extremes of each field: one row per field, so that it may be broadcast."""
+    ends = lf.groupBy("field").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+                                   *([_pct(F.col("value"), [0.25, 0.5, 0.75], True).alias("_q")] if approx else []))
+    if approx:
+        q = [F.col("_q")[i] for i in range(3)]
+    else:
+        ex = exact_percentiles(lf, (0.25, 0.5, 0.75)).groupBy(F.col("field").alias("_f")).agg(
+            *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"_q{i}") for i, p in enumerate((0.25, 0.5, 0.75))])
+        ends = ends.join(F.broadcast(ex), ends.field == F.col("_f"), "left")
+        q = [F.col(f"_q{i}") for i in range(3)]
+    return ends.select(F.col("field").alias("_c"), q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), "_lo", "_hi")
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], positive_only: bool = True) -> DataFrame:
     """A10: count / share / range of values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]."""
     lf = long_form(df, cols, positive_only).where(F.col("value").isNotNull())
     q = quartile_frame(lf)
-    j = lf.join(q, lf.field == q._c)
+    j = lf.join(F.broadcast(q), lf.field == q._c)  # one row per column
     lower = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     upper = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     out = (F.col("value") < lower) | (F.col("value") > upper)
@@ -152,7 +179,7 @@ def box_plot(df: DataFrame, cols: list[str], positive_only: bool = True) -> Data
     """Five numbers; whiskers are the extreme values inside 1.5 IQR."""
     lf = long_form(df, cols, positive_only).where(F.col("value").isNotNull())
     q = quartile_frame(lf)
-    j = lf.join(q, lf.field == q._c)
+    j = lf.join(F.broadcast(q), lf.field == q._c)  # one row per column
     lower = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     upper = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lower) & (F.col("value") <= upper)
@@ -170,7 +197,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, positive_only: boo
     if log10:
         lf = lf.where(F.col("value") > 0).withColumn("value", F.log10("value"))
     mm = lf.groupBy(F.col("field").alias("_c")).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    j = lf.join(mm, lf.field == mm._c)
+    j = lf.join(F.broadcast(mm), lf.field == mm._c)  # one row per column
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.lit(bins), (F.floor((F.col("value") - F.col("_lo")) * bins / width) + 1).cast("int")))
@@ -224,8 +251,7 @@ def list_top(df: DataFrame, cols: list[str], n: int = 20) -> DataFrame:
 def categorical_profile(df: DataFrame, col: str) -> DataFrame:
     """Value counts with null as its own value, ranked count desc, value asc."""
     g = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    return g.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return ranked(g, F.col("n").desc(), F.col("value").asc_nulls_last()).select("value", "n", F.col("rank").cast("bigint"))
 
 
 def completeness(df: DataFrame, list_cols: list[str], scalar_cols: list[str]) -> DataFrame:
@@ -247,10 +273,11 @@ def group_size_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     parts = []
     for k in keys:
         g = df.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
-        parts.append(g.agg(
-            r6(F.avg("_n")).alias("mean"), r6(F.percentile("_n", 0.5)).alias("median"),
-            F.min("_n").alias("min"), F.max("_n").alias("max"), F.count(F.lit(1)).alias("groups"))
-            .select(F.lit(k).alias("level"), "*"))
+        median = exact_percentiles(g.select(F.lit(k).alias("field"), F.col("_n").cast("double").alias("value")), [0.5])
+        one = g.agg(r6(F.avg("_n")).alias("mean"), F.min("_n").alias("min"), F.max("_n").alias("max"), F.count(F.lit(1)).alias("groups"))
+        parts.append(one.withColumn("level", F.lit(k)).join(
+            F.broadcast(median.select(F.col("field").alias("level"), r6("value").alias("median"))), "level", "left")
+            .select("level", "mean", "median", "min", "max", "groups"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

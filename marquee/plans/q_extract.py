@@ -78,11 +78,12 @@ FROM s
 """
 
 
-def _details_docs(spark, sf):
+def _details_docs(spark, sf, parts: int | None = None):
     li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                                "l_returnflag", "l_linestatus", "l_shipdate")
     o = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
+    j = j.repartition(parts, "l_orderkey", "l_linenumber", "l_partkey") if parts else j
     s = lambda x: x.cast("string")
     pn = lambda v: F.struct(v.alias("provider_name"))
     doc = F.to_json(F.struct(
@@ -109,7 +110,9 @@ def _details_docs(spark, sf):
 
 @query("json_details", DOC_SQL)
 def q_json_details(spark, sf):
-    d = _details_docs(spark, sf)
+    # the scan may be one split: deal the rows out before the costly building and parsing
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = _details_docs(spark, sf, parts)
     out = X.parse_details(d, "details", keep=["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "tmdb_id", "tmdb_title", "release_date", "runtime", "budget",
                       "directors", "cast", "genres", "streaming_services")
