@@ -36,7 +36,11 @@ def _pct(col, p, approx: bool):
 
 def numeric_profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """Total, non-null, null %, min, max, mean, median, sample std per column."""
-    lf = long_form(df, cols)
+    return profile_long(long_form(df, cols), approx)
+
+
+def profile_long(lf: DataFrame, approx: bool = False) -> DataFrame:
+    """A8 over rows of (field, value)."""
     g = lf.groupBy("field").agg(
         F.count(F.lit(1)).alias("total"),
         F.count("value").alias("non_null"),

@@ -24,25 +24,13 @@ from marquee.functions.vector import dot, unit
 MAX_CELLS = 1 << 22
 
 
-def _blocks(spark, user_blocks, item_blocks, users: DataFrame | None = None, items: DataFrame | None = None):
-    """Block counts with ub * ib ~ shuffle partitions (one cogroup group per task).
+#: Rows of a user block and of an item block: what one task holds, whatever the size of the tables.
+USER_ROWS, ITEM_ROWS = 2048, 8192
 
-    Replication costs users * ib + items * ub rows, which is smallest when
-    ub / ib = n_users / n_items; the two counts are cheap jobs over the factor
-    tables. Explicit counts override.
-    """
-    import math
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if user_blocks and item_blocks:
-        return user_blocks, item_blocks
-    if user_blocks:
-        return user_blocks, max(1, n // user_blocks)
-    if item_blocks:
-        return max(1, n // item_blocks), item_blocks
-    nu = max(1, users.count()) if users is not None else 1
-    ni = max(1, items.count()) if items is not None else 1
-    ub = min(n, max(1, round(math.sqrt(n * nu / ni))))
-    return ub, max(1, n // ub)
+
+def _blocks(user_blocks, item_blocks, users: DataFrame, items: DataFrame) -> tuple[int, int]:
+    """Block counts such that a block has about USER_ROWS users and ITEM_ROWS items; explicit counts override."""
+    return (user_blocks or max(1, -(-users.count() // USER_ROWS)), item_blocks or max(1, -(-items.count() // ITEM_ROWS)))
 
 
 def _type_of(df: DataFrame, col: str) -> str:
@@ -85,7 +73,7 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
     score desc, item asc.
     """
     spark = users.sparkSession
-    ub, ib = _blocks(spark, user_blocks, item_blocks, users, items)
+    ub, ib = _blocks(user_blocks, item_blocks, users, items)
     ut, it = _type_of(users, "user"), _type_of(items, "item")
     if "bias" not in items.columns:
         items = items.withColumn("bias", F.lit(0.0))
@@ -116,20 +104,21 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
         iv = np.stack(rpdf["factors"].to_numpy())
         bias = rpdf["bias"].to_numpy(dtype=float)
         iid = rpdf["item"].to_numpy()
-        col_of = {v: j for j, v in enumerate(iid)}
         uid = urows["user"].to_numpy()
         uv = np.stack(urows["factors"].to_numpy())
         srows = lpdf[lpdf["kind"] == 1]
-        row_of = {v: r for r, v in enumerate(uid)}
-        seen_rc = [(row_of[u], col_of[i]) for u, i in zip(srows["user"], srows["seen_item"])
-                   if u in row_of and i in col_of]
+        sr = pd.Series(np.arange(len(uid)), index=uid).reindex(srows["user"].to_numpy()).to_numpy()
+        sc_ = pd.Series(np.arange(len(iid)), index=iid).reindex(srows["seen_item"].to_numpy()).to_numpy()
+        ok = ~(pd.isna(sr) | pd.isna(sc_))
+        sr, sc_ = sr[ok].astype(int), sc_[ok].astype(int)
+        order = np.argsort(sr, kind="stable")
+        sr, sc_ = sr[order], sc_[order]
         step = max(1, MAX_CELLS // max(1, len(iid)))
         out_u, out_i, out_s = [], [], []
         for a in range(0, len(uid), step):
             sc = _seq_scores(uv[a:a + step], iv, bias)
-            for r, c in seen_rc:
-                if a <= r < a + step:
-                    sc[r - a, c] = -np.inf
+            lo, hi = np.searchsorted(sr, [a, a + step])
+            sc[sr[lo:hi] - a, sc_[lo:hi]] = -np.inf
             rr, cc = np.nonzero(_topk_rows(sc, k))
             out_u.append(uid[a + rr])
             out_i.append(iid[cc])
@@ -154,7 +143,7 @@ def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
     training pairs, are neither. Returns (user, auc).
     """
     spark = users.sparkSession
-    ub, ib = _blocks(spark, user_blocks, item_blocks, users, items)
+    ub, ib = _blocks(user_blocks, item_blocks, users, items)
     ut, it = _type_of(users, "user"), _type_of(items, "item")
     if "bias" not in items.columns:
         items = items.withColumn("bias", F.lit(0.0))

@@ -8,6 +8,7 @@ from marquee.functions.vector import r6
 from marquee.operators import catalog, profile as P
 from marquee.plans.oracle_views import clean_title_sql, with_views
 from marquee.plans.registry import query
+from marquee.session import checkpoint
 from marquee.sources import views as V
 
 NUM_COLS = ["runtime", "budget", "revenue", "popularity", "year"]
@@ -47,12 +48,7 @@ FROM (SELECT 's_acctbal' AS field, s_acctbal AS value FROM supplier
 def q_numeric_profile_signed(spark, sf):
     s = V.table(spark, sf, "supplier").select(F.lit("s_acctbal").alias("field"), F.col("s_acctbal").alias("value"))
     c = V.table(spark, sf, "customer").select(F.lit("c_acctbal").alias("field"), F.col("c_acctbal").alias("value"))
-    lf = s.unionByName(c)
-    return lf.groupBy("field").agg(
-        F.count(F.lit(1)).alias("total"), F.count("value").alias("non_null"),
-        r6((F.count(F.lit(1)) - F.count("value")) * 100.0 / F.count(F.lit(1))).alias("null_pct"),
-        r6(F.min("value")).alias("min"), r6(F.max("value")).alias("max"), r6(F.avg("value")).alias("mean"),
-        r6(F.percentile("value", 0.5)).alias("median"), r6(F.stddev_samp("value")).alias("std"))
+    return P.profile_long(s.unionByName(c))
 
 
 @query("percentiles", CAT + f"""
@@ -314,13 +310,15 @@ SELECT count(*) AS total_items, count(year) AS with_year, count(*) - count(year)
 """)
 def q_unique_item_stats(spark, sf):
     """A7."""
-    it = catalog.unique_items(V.reviews(spark, sf), 10, 5)
-    return it.agg(F.count(F.lit(1)).alias("total_items"), F.count("year").alias("with_year"),
+    it = checkpoint(catalog.unique_items(V.reviews(spark, sf), 10, 5))
+    median = P.exact_percentiles(it.select(F.lit("n").alias("field"), F.col("appearance_count").cast("double").alias("value")), [0.5])
+    one = it.agg(F.count(F.lit(1)).alias("total_items"), F.count("year").alias("with_year"),
                   (F.count(F.lit(1)) - F.count("year")).alias("without_year"),
                   F.min("year").alias("year_min"), F.max("year").alias("year_max"),
                   F.min("appearance_count").alias("appear_min"), F.max("appearance_count").alias("appear_max"),
-                  r6(F.avg("appearance_count")).alias("appear_mean"),
-                  r6(F.percentile("appearance_count", 0.5)).alias("appear_median"))
+                  r6(F.avg("appearance_count")).alias("appear_mean"))
+    joined = one.withColumn("field", F.lit("n")).join(F.broadcast(median), "field", "left")
+    return joined.select(*one.columns, r6("value").alias("appear_median"))
 
 
 @query("insight_summary", CAT + """
