@@ -28,6 +28,8 @@ EXAMPLES = 5000
 #: which chance would let about one candidate do.
 VOCABULARY = 4096
 LEAST_EXAMPLES = 4
+#: Examples that the calibration looks at.
+CALIBRATED = 3000
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the base rate among the votes.
@@ -41,19 +43,17 @@ def word_terms(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in (4, 5) if len(word) >= n)]
 
 
-def token_terms(token: str) -> list[str]:
-    return [t for w in _WORD.findall(token) for t in word_terms(w)]
-
-
 class _Terms(Cache):
     """white-space token -> places of its terms in the vocabulary."""
 
     def __init__(self, places: dict[str, int]):
         super().__init__()
         self.places = places
+        self.heads = {t.rstrip("$")[:4] for t in places}  # how a word with a term begins
 
     def make(self, token: str) -> tuple[int, ...]:
-        return tuple(self.places[t] for t in token_terms(token) if t in self.places)
+        words = [token] if token.isalpha() else _WORD.findall(token)
+        return tuple(self.places[t] for w in words if w[:4] in self.heads for t in word_terms(w) if t in self.places)
 
 
 def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
@@ -274,9 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     units = [unit(dict(zip(r.terms, r.counts, strict=True)), idf) for r in full]
     index = Index(units, np.array([r.label for r in full]), [r.id for r in full], len(places) + 1, weights)
     place = {x: i for i, x in enumerate(index.ids)}
-    raw = np.array([index.vote(*index.nearest(at, w, NEIGHBOURS, place[r.id]), base) for (at, w), r in zip(units, full, strict=True)])
-    y = np.array([float(r.label) for r in full])
-    knots, values = isotonic(raw, y, np.array([weights[r.label] for r in full]))
+    every = max(1, -(-len(full) // CALIBRATED))
+    some = [*zip(units, full, strict=True)][::every]
+    raw = np.array([index.vote(*index.nearest(at, w, NEIGHBOURS, place[r.id]), base) for (at, w), r in some])
+    knots, values = isotonic(raw, np.array([float(r.label) for _, r in some]), np.array([weights[r.label] for _, r in some]))
     return Model(places, idf, index, base, empty, knots, values)
 
 
