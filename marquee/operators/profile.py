@@ -53,8 +53,8 @@ def profile_long(lf: DataFrame, approx: bool = False) -> DataFrame:
     )
     if not approx:
         # one row per column: a bounded broadcast
-        median = exact_percentiles(lf, [0.5]).select(F.col("field").alias("_c"), r6("value").alias("median"))
-        g = g.join(F.broadcast(median), g.field == F.col("_c"), "left")
+        middle = exact_percentiles(lf, [0.5]).select(F.col("field").alias("_c"), r6("value").alias("median"))
+        g = g.join(F.broadcast(middle), g.field == F.col("_c"), "left")
     return g.select("field", "total", "non_null", "null_pct", "min", "max", "mean", "median", "std")
 
 
@@ -127,6 +127,12 @@ def exact_percentiles(lf: DataFrame, probs, parts: int | None = None) -> DataFra
     return g.select("field", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
 
 
+def median(values: DataFrame) -> float | None:
+    """Exact median of the column ``value``, as one number on the driver; None without values."""
+    r = exact_percentiles(values.select(F.lit("v").alias("field"), "value"), [0.5]).first()
+    return r["value"] if r else None
+
+
 def percentiles(df: DataFrame, cols: list[str], probs=PCTS, positive_only: bool = True,
                 approx: bool = False, distributed: bool = False) -> DataFrame:
     """Percentiles with linear interpolation (numpy / DuckDB quantile_cont).
@@ -277,11 +283,11 @@ def group_size_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     parts = []
     for k in keys:
         g = df.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
-        median = exact_percentiles(g.select(F.lit(k).alias("field"), F.col("_n").cast("double").alias("value")), [0.5])
-        one = g.agg(r6(F.avg("_n")).alias("mean"), F.min("_n").alias("min"), F.max("_n").alias("max"), F.count(F.lit(1)).alias("groups"))
-        parts.append(one.withColumn("level", F.lit(k)).join(
-            F.broadcast(median.select(F.col("field").alias("level"), r6("value").alias("median"))), "level", "left")
-            .select("level", "mean", "median", "min", "max", "groups"))
+        middle = median(g.select(F.col("_n").cast("double").alias("value")))
+        parts.append(g.agg(
+            r6(F.avg("_n")).alias("mean"), r6(F.lit(middle).cast("double")).alias("median"),
+            F.min("_n").alias("min"), F.max("_n").alias("max"), F.count(F.lit(1)).alias("groups"))
+            .select(F.lit(k).alias("level"), "*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
