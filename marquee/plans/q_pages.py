@@ -54,7 +54,7 @@ def q_film_rows(spark, sf):
 
 
 @query("page_navigation", """
-SELECT p_partkey, CASE WHEN p_partkey % 12 > 0 THEN (p_partkey % 6) + 0.5 * (CASE WHEN p_partkey % 12 >= 6 THEN 1 ELSE 0 END) END AS stars,
+SELECT p_partkey, CASE WHEN p_partkey % 12 > 0 THEN CAST((p_partkey % 6) + 0.5 * (CASE WHEN p_partkey % 12 >= 6 THEN 1 ELSE 0 END) AS DOUBLE) END AS stars,
        CASE WHEN p_partkey % 3 <> 0 THEN '/u' || p_partkey || '/films/page/2/' END AS next_page FROM part
 """)
 def q_page_navigation(spark, sf):
