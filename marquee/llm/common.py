@@ -39,9 +39,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python worker (caches, loaded models)."""
-    return sys.modules.setdefault("_marquee_worker", types.ModuleType("_marquee_worker")).__dict__
+def held(name: str, key, make):
+    """In a worker: what ``make()`` gave for this name and key. A worker holds one such thing (a model, a cache) at a
+    time, and drops it when another is asked for, so that its memory is bounded by the largest."""
+    state = sys.modules.setdefault("_marquee_worker", types.ModuleType("_marquee_worker")).__dict__
+    if state.get("held") != (name, key):
+        state["held"] = state["value"] = None
+        state["value"] = make()
+        state["held"] = (name, key)
+    return state["value"]
 
 
 def share(spark: SparkSession, value):
@@ -50,14 +56,11 @@ def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
-def shared_value(shared):
-    """In a worker: the object behind ``share``, unpickled once per worker."""
+def shared_value(shared, name: str, make=lambda value: value):
+    """In a worker: ``make`` of the object behind ``share``, kept by ``held``."""
     import pickle
-    state, raw = worker_state(), shared.value
-    key = f"shared {hash(raw)} {len(raw)}"
-    if key not in state:
-        state[key] = pickle.loads(raw)
-    return state[key]
+    raw = shared.value
+    return held(name, (hash(raw), len(raw)), lambda: make(pickle.loads(raw)))
 
 
 def crc_remainder(col, mod: int):

@@ -157,7 +157,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     shared = share(spark, net)
 
     def predict(batch):
-        net = shared_value(shared)
+        net = shared_value(shared, "language")
         lang, score, held, owner = [], [], [], []
         texts = string_column(batch, "text")
         sums = None if net is None else np.zeros((len(texts), len(net.classes)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import prepare, worker_state
+from marquee.llm.common import held, prepare
 
 #: A piece longer than this is encoded each time instead of being cached.
 MAX_CACHED_CHARS = 48
@@ -120,10 +120,8 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast((model, frequent))
 
     def measure(batches):
-        state = worker_state()
-        if state.get("lengths_of") != hash(shared.value[0]):  # the table and cache serve any texts of this model
-            state["lengths_of"], state["lengths"] = hash(shared.value[0]), PieceLengths(*shared.value)
-        length = state["lengths"].__getitem__
+        # the table and cache serve any texts of this model
+        length = held("lengths", hash(shared.value[0]), lambda: PieceLengths(*shared.value)).__getitem__
         for b in batches:
             n = [sum(map(length, spaced_pieces(t))) if t else 0 for t in string_column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())],
@@ -218,6 +216,7 @@ class WordEncoder(_Pieces):
 
     def __init__(self, tokenizer_json: str):
         super().__init__(tokenizer_json, WORD_PATTERN, True)
+        self.entries = CACHE_ENTRIES // 2
 
     def pieces(self, text: str) -> list[str]:
         return text.split()
@@ -225,9 +224,5 @@ class WordEncoder(_Pieces):
 
 def worker_encoder(kind: type, shared) -> _Pieces:
     """The worker's encoder of this kind over the broadcast tokenizer file (kept between tasks)."""
-    state, name = worker_state(), f"encoder {kind.__name__}"
-    held = state.get(name)
     text = shared.value
-    if held is None or held[0] != hash(text):
-        held = state[name] = (hash(text), kind(text))
-    return held[1]
+    return held(kind.__name__, hash(text), lambda: kind(text))

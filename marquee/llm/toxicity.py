@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import crc_remainder, map_texts, prepare, share, shared_value, spool
-from marquee.llm.tokens import Cache, string_column, worker_state
+from marquee.llm.tokens import Cache, string_column
 
 #: Labelled rows that the index holds, for each label: a documented bound.
 EXAMPLES = 5000
@@ -28,6 +28,8 @@ EXAMPLES = 5000
 #: which chance would let about one candidate do.
 VOCABULARY = 4096
 LEAST_EXAMPLES = 4
+#: Entries of each generation of a worker's cache of tokens, and of its results for equal vectors.
+TERM_ENTRIES, RESULT_ENTRIES = 300_000, 20_000
 #: Examples that the calibration looks at.
 CALIBRATED = 3000
 NEIGHBOURS = 15
@@ -47,7 +49,7 @@ class _Terms(Cache):
     """white-space token -> places of its terms in the vocabulary."""
 
     def __init__(self, places: dict[str, int]):
-        super().__init__()
+        super().__init__(TERM_ENTRIES)
         self.places = places
         self.heads = {t.rstrip("$")[:4] for t in places}  # how a word with a term begins
 
@@ -169,7 +171,7 @@ class Model:
                 got = float(np.clip(np.interp(raw, self.knots, self.values), 0, 1)), evidence
             else:
                 got = self.empty, []
-            if len(seen) < 50_000:
+            if len(seen) < RESULT_ENTRIES:
                 seen[key] = got
         return got
 
@@ -295,11 +297,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = share(spark, model)
 
     def judge(batch):
-        model = shared_value(shared)
-        state = worker_state()
-        if state.get("toxicity_of") is not model:
-            state["toxicity_of"], state["toxicity"] = model, (_Terms(model.places), {})
-        terms, seen = state["toxicity"]
+        model, terms, seen = shared_value(shared, "toxicity", lambda model: (model, _Terms(model.places), {}))
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
         got = [model.score(t, terms, seen) for t in string_column(batch, "text")]
         return {"score": pa.array([g[0] for g in got], pa.float64()),
