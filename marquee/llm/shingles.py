@@ -226,7 +226,7 @@ def _links(docs: DataFrame, met: DataFrame, words: int, percent: int) -> DataFra
     names = ["at", "block", "first", "id", "tokens"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
     rows = texts.mapInArrow(cut, "at long, block long, first boolean, id long, tokens binary")
-    blocks = rows.repartition(4 * shuffle_partitions(docs.sparkSession), "at", "block").sortWithinPartitions("at", "block")
+    blocks = rows.repartition(shuffle_partitions(docs.sparkSession), "at", "block").sortWithinPartitions("at", "block")
 
     def compare(batches):
         def spanning(key, held):

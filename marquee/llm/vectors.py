@@ -204,7 +204,7 @@ def _links(nodes: DataFrame, dims: int, grid: int, cosine: float) -> DataFrame:
     tiles = cut.withColumn("own", own).withColumn("other", other).withColumn(
         "tile", F.when(F.col("home"), F.col("own") * (1 << 31) + F.col("other")).otherwise(F.col("other") * (1 << 31) + F.col("own")))
     where = ["label", "block", "cell", "tile"]
-    tiles = tiles.select(*where, "home", "id", "copies", "v").repartition(4 * shuffle_partitions(spark), *where).sortWithinPartitions(*where)
+    tiles = tiles.select(*where, "home", "id", "copies", "v").repartition(shuffle_partitions(spark), *where).sortWithinPartitions(*where)
 
     def compare(batches):
         dims, _, cosine = shared.value
