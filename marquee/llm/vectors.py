@@ -21,7 +21,9 @@ from marquee.llm.tokens import string_column
 
 BLOCK_DIMS = 8
 #: Vectors of a tile: home vectors and sent vectors that one task compares at once.
-TILE = 1024
+TILE = 4096
+#: Home vectors of a tile that are compared with the sent ones at once.
+ROWS = 512
 #: Width of a cell in radii of the budget.
 CELL_RADII = 2.0
 #: Candidate pairs that are verified at once.
@@ -101,9 +103,18 @@ def tile_pairs(home: np.ndarray, sent: np.ndarray, home_ids: np.ndarray, sent_id
     """Linked pairs (row of home, row of sent) with home id < sent id that block k is the first to find."""
     uh, us = normalised(home), normalised(sent)
     a, b = turned(uh, blocks.columns[k]), turned(us, blocks.columns[k])
-    gap = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    i, j = np.nonzero((gap <= blocks.budgets[k] + 1e-9) & (home_ids[:, None] < sent_ids[None, :]))
     found = []
+    for at in range(0, len(a), ROWS):
+        found += _verified(a[at:at + ROWS], b, at, home, sent, uh, us, home_ids, sent_ids, blocks, k, cosine)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _verified(a, b, first, home, sent, uh, us, home_ids, sent_ids, blocks: Blocks, k: int, cosine: float) -> list:
+    gap = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    i, j = np.nonzero((gap <= blocks.budgets[k] + 1e-9) & (home_ids[first:first + len(a), None] < sent_ids[None, :]))
+    i, found = i + first, []
     for at in range(0, len(i), PAIRS):
         p, q = i[at:at + PAIRS], j[at:at + PAIRS]
         linked = cosines(home[p], sent[q]) >= cosine
@@ -116,9 +127,7 @@ def tile_pairs(home: np.ndarray, sent: np.ndarray, home_ids: np.ndarray, sent_id
             keep = near if e == k else ~near
             p, q = p[keep], q[keep]
         found.append((p, q))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return found
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -138,7 +147,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     prepare(spark)
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     known = every.where(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull()) \
-        .select("id", "label", F.transform("v", lambda x: x.cast("double")).alias("v"))
+        .select("id", "label", "v")
     node = known.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = spool(node.select(F.col("rep").alias("id"), "label", "v", "copies", F.size("v").alias("dims")), "vectors")
     groups = nodes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
@@ -160,7 +169,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     state = state.select("label", "v", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
                          F.coalesce("component", "rep").alias("component"))
-    out = out.withColumn("v", F.transform("v", lambda x: x.cast("double"))).join(state, ["label", "v"], "left") \
+    out = out.join(state, ["label", "v"], "left") \
         .withColumn("own", F.when(F.col("id").isNotNull(), F.col("component")))
     component = F.coalesce("own", "id")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
@@ -171,7 +180,7 @@ def _links(nodes: DataFrame, dims: int, grid: int, cosine: float) -> DataFrame:
     """(id, n, root): copies linked to the vector in a tile, and the smallest id of its linked part of the tile."""
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast((dims, grid, cosine))
-    kind = dict(nodes.dtypes)["label"]
+    kind, values = dict(nodes.dtypes)["label"], dict(nodes.dtypes)["v"]
 
     def place(batches, with_vector):
         dims, grid, cosine = shared.value
@@ -197,7 +206,7 @@ def _links(nodes: DataFrame, dims: int, grid: int, cosine: float) -> DataFrame:
                   F.ceil(F.count(F.when(~F.col("home"), 1)) / TILE).cast("int").alias("sents"))
              .where("homes > 1 or sents > 1"))
     large = spool(sizes, "large-cells")
-    rows = nodes.select("label", "id", "copies", "v").mapInArrow(lambda it: place(it, True), keys + ", id long, copies long, v array<double>")
+    rows = nodes.select("label", "id", "copies", "v").mapInArrow(lambda it: place(it, True), keys + f", id long, copies long, v {values}")
     cut = rows.join(broadcast_if_small(large, BROADCAST_ROWS), ["label", "block", "cell"], "left").na.fill(1, ["homes", "sents"])
     own = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("sents")))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("sents")).otherwise(F.col("homes")) - 1))
