@@ -27,8 +27,8 @@ PROJECTED = 12
 #: Probability that a vector as near as the k-th best has appeared when a search stops.
 CONFIDENCE = 0.97
 INDEX_ROWS = 16_384
-QUERY_ROWS = 4_096
-LEAF = 128
+QUERY_ROWS = 1_024
+LEAF = 256
 #: Leaves that a query opens at once.
 LEAVES = 8
 
@@ -67,10 +67,11 @@ class Tree:
             half = len(rows) // 2
             order = np.argpartition(own[:, axis], half)
             stack += [rows[order[:half]], rows[order[half:]]]
-        self.leaves = leaves
+        self.order = np.concatenate(leaves)  # rows in the order of their leaves
+        self.ends = np.cumsum([len(r) for r in leaves])
+        self.starts = self.ends - [len(r) for r in leaves]
         self.low = np.array([points[r].min(axis=0) for r in leaves])
         self.high = np.array([points[r].max(axis=0) for r in leaves])
-        self.points = points
 
     def box_distances(self, q: np.ndarray) -> np.ndarray:
         """Squared distance of each query to each leaf's box."""
@@ -78,33 +79,33 @@ class Tree:
         return (out * out).sum(axis=2)
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, point: np.ndarray, boxes: np.ndarray, own: int, k: int,
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, boxes: np.ndarray, own: int, k: int,
            length2: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k best found for one query: (rows, inner products). ``length2``: squared length of the lifted vectors;
-    the query is scaled to that length, so its squared distance to a vector is 2 (length2 - s * product)."""
+    """The k best found for one query: (rows, inner products); ``vectors`` and ``ids`` lie in the tree's order.
+
+    ``length2``: squared length of the lifted vectors; the query is scaled to that length, so its squared distance to
+    a vector is 2 (length2 - s * product). Leaves are opened in growing projected distance of their boxes and
+    verified whole: all vectors whose projected distance is below the next box have then been seen.
+    """
     order = np.argsort(boxes, kind="stable")
     scale = math.sqrt(length2 / float(query @ query))
-    wait_rows, wait_gap = np.zeros(0, np.int64), np.zeros(0)
-    best, score = np.zeros(0, np.int64), np.zeros(0)
+    rows = np.arange(len(vectors))
+    best, score, floor = np.zeros(0, np.int64), np.zeros(0), -np.inf
     for at in range(0, len(order), LEAVES):
-        rows = np.concatenate([tree.leaves[i] for i in order[at:at + LEAVES]])
-        gap = tree.points[rows] - point
-        wait_rows, wait_gap = np.concatenate([wait_rows, rows]), np.concatenate([wait_gap, (gap * gap).sum(axis=1)])
-        edge = boxes[order[at + LEAVES]] if at + LEAVES < len(order) else np.inf
-        # projected neighbours up to the next box are complete: verify them
-        out = wait_gap <= edge
-        ready = wait_rows[out]
-        wait_rows, wait_gap = wait_rows[~out], wait_gap[~out]
-        ready = ready[ids[ready] != own]
-        if len(ready):
-            best, score = np.concatenate([best, ready]), np.concatenate([score, vectors[ready] @ query])
-            if len(best) > k:
-                floor = np.partition(score, -k)[-k]
-                keep = score >= floor - 1e-9 * max(1.0, abs(floor))
-                best, score = best[keep], score[keep]
-        if len(best) >= k and edge < np.inf:
-            far2 = max(0.0, 2 * (length2 - scale * np.partition(score, -k)[-k]))
-            if edge >= stop * far2:
+        spans = [slice(tree.starts[i], tree.ends[i]) for i in order[at:at + LEAVES]]
+        new = np.concatenate([vectors[x] @ query for x in spans])
+        found = np.concatenate([rows[x] for x in spans])
+        keep = new >= floor - 1e-9 * max(1.0, abs(floor)) if len(best) >= k else np.ones(len(new), bool)
+        new, found = new[keep], found[keep]
+        other = ids[found] != own
+        best, score = np.concatenate([best, found[other]]), np.concatenate([score, new[other]])
+        if len(best) > k:
+            floor = np.partition(score, -k)[-k]
+            keep = score >= floor - 1e-9 * max(1.0, abs(floor))
+            best, score = best[keep], score[keep]
+        if len(best) >= k and at + LEAVES < len(order):
+            floor = np.partition(score, -k)[-k]
+            if boxes[order[at + LEAVES]] >= stop * max(0.0, 2 * (length2 - scale * floor)):
                 break
     exact = (vectors[best] * query).sum(axis=1)
     order = np.lexsort((ids[best], -exact))[:k]
@@ -161,12 +162,13 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str
             turn = directions(x.shape[1] + 1)
             tree = Tree(x @ turn[:-1] + lift[:, None] * turn[-1])
             scaled = q * np.sqrt(length2 / (q * q).sum(axis=1))[:, None]
+            x, own = x[tree.order], own[tree.order]
             points = scaled @ turn[:-1]
             out = [[], [], []]
             for at in range(0, len(q), 256):
                 boxes = tree.box_distances(points[at:at + 256])
                 for i in range(len(boxes)):
-                    best, score = search(tree, x, own, q[at + i], points[at + i], boxes[i], qid[at + i], k, length2, stop)
+                    best, score = search(tree, x, own, q[at + i], boxes[i], qid[at + i], k, length2, stop)
                     out[0].append(np.full(len(best), qid[at + i]))
                     out[1].append(own[best])
                     out[2].append(score)
