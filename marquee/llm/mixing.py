@@ -9,19 +9,21 @@ the number of patterns, never of documents. Documents are then chosen within eac
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import prepare, spool
+from marquee.llm.common import broadcast_if_small, prepare, shuffle_partitions, spool
 
 #: Words are runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Documents of one pattern that share a slice of the seeded order, on average.
+#: Documents of one pattern that share a slice of the seeded order, on average at most.
 SLICE_ROWS = 4096
-#: Documents past a pattern's limit that are tried for what is left of it.
-FILLERS = 64
+#: Rows by pattern or of picked documents are broadcast up to this many.
+BROADCAST_ROWS = 2_000_000
 #: Most membership patterns for which a flow is solved on the driver.
 MAX_PATTERNS = 100_000
 
@@ -109,54 +111,78 @@ def route(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple,
     return flow
 
 
+def _walk(rows: DataFrame) -> DataFrame:
+    """Rows of each pattern in seeded order, each taken if it fits what is left of the pattern's ``room``:
+    (pattern, row, size) of those taken. A task holds one batch and one number."""
+    def walk(batches):
+        pattern, gap = None, 0
+        for b in batches:
+            taken = []
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("pattern", "size", "room")]
+            for i, (p, size, room) in enumerate(zip(*cols, strict=True)):
+                if p != pattern:
+                    pattern, gap = p, room
+                if size <= gap:
+                    gap -= size
+                    taken.append(i)
+            yield b.select(["pattern", "row", "size"]).take(pa.array(taken, pa.int64()))
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "pattern").sortWithinPartitions("pattern", "order", "id", "size", "row")
+    return dealt.select("pattern", "row", "size", "room").mapInArrow(walk, "pattern string, row long, size long")
+
+
 def choose(sized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds ``chosen`` (boolean): documents of each pattern in seeded order, as long as their words stay
-    within ``wanted`` (pattern, want), and then those of the next FILLERS that fill what is left, largest first.
+    """Adds ``chosen`` (boolean): the documents of each pattern are gone through in seeded order, each is taken if it fits
+    what is left of ``wanted`` (pattern, want, rows), and at the end one more where going over by it comes nearer than
+    staying under. The choice depends on the pattern's own documents alone.
 
-    The order is cut into slices of about SLICE_ROWS rows; only the slice in which a pattern's limit lies
-    is numbered row by row, so no pattern is gathered in one task.
+    The order is cut into slices of at most about SLICE_ROWS rows of a pattern. In each round the slices whose
+    fitting documents all fit together are taken by their sums, and the one after them is gone through row by row; the
+    next round goes on behind it, until no document fits. So no pattern is gathered in one task.
     """
-    rows = sized.count()
-    bits = max(0, (rows // SLICE_ROWS).bit_length())
-    part = F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long")
-    sliced = sized.withColumn("slice", part)
+    columns, patterns = [c for c in sized.columns if c != "row"], wanted.count()
+    bits = F.length(F.bin(F.floor(F.col("rows") / SLICE_ROWS)))
+    sliced = (sized.join(broadcast_if_small(wanted.select("pattern", "rows"), BROADCAST_ROWS, patterns), "pattern")
+              .withColumn("bits", bits)
+              .withColumn("slice", F.when(F.col("rows") < SLICE_ROWS, F.lit(0).cast("long")).otherwise(F.expr("shiftright(`order`, 64 - bits)")))
+              .drop("rows", "bits"))
+
+    def beside(few):  # at most one row per pattern
+        return sliced.where("size > 0").join(broadcast_if_small(few, BROADCAST_ROWS, patterns), "pattern").where("size <= gap")
+
     by_slice = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sliced.groupBy("pattern", "slice").agg(F.sum("size").alias("n"))
-    limits = (sums.withColumn("upto", F.sum("n").over(by_slice)).join(wanted, "pattern")
-              .where(F.col("upto") > F.col("want"))
-              .groupBy("pattern", "want").agg(F.min("slice").alias("edge"), F.min("upto").alias("upto")))
-    edges = spool(limits.join(sums.withColumnRenamed("slice", "edge"), ["pattern", "edge"])
-                  .select("pattern", "edge", (F.col("want") - F.col("upto") + F.col("n")).alias("room")), "edges")
-    # at most one row per pattern, and the number of patterns is bounded
-    marked = sliced.join(F.broadcast(edges), "pattern", "left")
-    before = marked.edge.isNull() | (F.col("slice") < F.col("edge"))
-    in_order = Window.partitionBy("pattern").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (marked.where(F.col("slice") == F.col("edge")).withColumn("upto", F.sum("size").over(in_order))
-            .withColumn("chosen", F.col("upto") <= F.col("room")))
-    rest = marked.where(before | (F.col("slice") > F.col("edge"))).withColumn("upto", F.lit(None).cast("long")) \
-        .withColumn("chosen", F.coalesce(before, F.lit(True)))
-    first = spool(rest.unionByName(edge), "chosen")
-    at_edge = first.where(F.col("slice") == F.col("edge"))
-    got = at_edge.where("chosen").groupBy("pattern").agg(F.sum("size").alias("got"))
-    nearby = Window.partitionBy("pattern").orderBy("order", "id", "size")
-    # the first FILLERS documents after the limit, largest first, each taken if it still fits
-    fill = (at_edge.where(~F.col("chosen") & (F.col("size") > 0)).withColumn("at", F.row_number().over(nearby))
-            .where(F.col("at") <= FILLERS).groupBy("pattern", "room")
-            .agg(F.sort_array(F.collect_list(F.struct("size", "order")), asc=False).alias("next"))
-            .join(got, "pattern", "left"))
-    start = F.struct((F.col("room") - F.coalesce("got", F.lit(0))).alias("gap"), F.array().cast("array<bigint>").alias("orders"))
-    taken = F.aggregate("next", start, lambda acc, d: F.when(
-        d["size"] <= acc["gap"], F.struct((acc["gap"] - d["size"]).alias("gap"), F.array_append(acc["orders"], d["order"]).alias("orders"))
-    ).otherwise(acc))
-    filled = fill.withColumn("taken", taken)
-    # one more where going over by it comes nearer than staying under
-    others = F.filter("next", lambda d: ~F.array_contains(F.col("taken.orders"), d["order"]))
-    nearest = F.array_min(F.transform(others, lambda d: F.struct(F.abs(d["size"] - F.col("taken.gap")).alias("off"), d["order"].alias("order"))))
-    orders = F.when(nearest["off"] < F.col("taken.gap"), F.array_append(F.col("taken.orders"), nearest["order"])).otherwise(F.col("taken.orders"))
-    picks = filled.select("pattern", F.explode(F.array_distinct(orders)).alias("order"), F.lit(True).alias("picked"))
-    # at most FILLERS rows per pattern
-    done = first.join(F.broadcast(picks), ["pattern", "order"], "left")
-    return done.withColumn("chosen", F.col("chosen") | F.coalesce("picked", F.lit(False))).drop("slice", "edge", "room", "upto", "picked")
+    over = F.col("upto") > F.col("gap")
+    # the slice behind which a pattern goes on, and the words that it still wants
+    state = wanted.where("want > 0").select("pattern", F.lit(-(1 << 62)).alias("behind"), F.col("want").alias("gap"))
+    rounds, picks = [], []
+    while True:
+        sums = beside(state).where("slice > behind").groupBy("pattern", "behind", "gap", "slice").agg(F.sum("size").alias("n"))
+        # no edge: all that fits is taken
+        edges = spool(sums.withColumn("upto", F.sum("n").over(by_slice)).groupBy("pattern", "behind", "gap").agg(
+            F.min(F.when(over, F.col("slice"))).alias("edge"),
+            (F.col("gap") - F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0))).alias("room")), "edges")
+        rounds.append(edges)
+        cut = edges.where("edge is not null")
+        if cut.isEmpty():
+            break
+        picks.append(spool(_walk(beside(cut).where("slice = edge")), "picks"))
+        got = picks[-1].groupBy("pattern").agg(F.sum("size").alias("got"))
+        state = spool(cut.join(got, "pattern", "left").select(
+            "pattern", F.col("edge").alias("behind"), (F.col("room") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
+    steps = reduce(DataFrame.unionByName, rounds).groupBy("pattern").agg(F.collect_list(F.struct("behind", "edge", "gap")).alias("steps"))
+    whole = F.exists("steps", lambda s: (F.col("slice") > s["behind"]) & (s["edge"].isNull() | (F.col("slice") < s["edge"])) & (F.col("size") <= s["gap"]))
+    marked = sliced.join(broadcast_if_small(steps, BROADCAST_ROWS, patterns), "pattern", "left").withColumn("chosen", F.coalesce(whole, F.lit(False)))
+    if picks:
+        picked = reduce(DataFrame.unionByName, picks).select("row", F.lit(True).alias("picked"))
+        marked = marked.join(broadcast_if_small(picked, BROADCAST_ROWS), "row", "left").withColumn("chosen", F.col("chosen") | F.coalesce("picked", F.lit(False)))
+    first = spool(marked.select("row", *columns, "chosen"), "chosen")
+    got = first.where("chosen").groupBy("pattern").agg(F.sum("size").alias("got"))
+    left = wanted.join(got, "pattern", "left").select("pattern", (F.col("want") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0")
+    # what was passed over is larger than what is left: the smallest comes nearest
+    more = (first.where(~F.col("chosen") & (F.col("size") > 0)).groupBy("pattern").agg(F.min(F.struct("size", "order", "id", "row")).alias("least"))
+            .join(left, "pattern").where(F.col("least.size") - F.col("gap") < F.col("gap")).select(F.col("least.row").alias("row"), F.lit(True).alias("more")))
+    return first.join(broadcast_if_small(more, BROADCAST_ROWS, patterns), "row", "left") \
+        .withColumn("chosen", F.col("chosen") | F.coalesce("more", F.lit(False))).select(*columns, "chosen")
 
 
 def mix(docs: DataFrame, weights, sources=None, repeats: int = 3, seed: int = 11, id_col: str = "doc_id",
@@ -171,17 +197,16 @@ def mix(docs: DataFrame, weights, sources=None, repeats: int = 3, seed: int = 11
     the mix takes it, 0..repeats), taken (copies * size). Each pattern's taken words differ from its
     flow by less than one document. Reruns agree: the order is a hash of seed and id.
 
-    Null and empty texts have size 0 and are never needed. Repeated rows share one place in the order; equal
-    rows may be chosen together. An empty table gives an empty result; other columns are not read.
+    Null and empty texts have size 0 and are never needed. Repeated rows share one place in the order. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     own = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
     sized = spool(docs.select(F.col(id_col).alias("id"), size.alias("size"), own.alias("sources"),
-                              F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"))
+                              F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"), F.monotonically_increasing_id().alias("row"))
                   .withColumn("pattern", F.to_json(F.struct("sources"))), "sized")
-    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     ordered = sorted({s for r in found for s in r.sources}, key=lambda s: (s is None, s or ""))
@@ -196,9 +221,9 @@ def mix(docs: DataFrame, weights, sources=None, repeats: int = 3, seed: int = 11
         sent = sum(flow[tuple(r.sources)].values())
         whole = min(repeats, sent // r.n) if r.n else 0
         plan.append((r.pattern, int(whole), int(sent - whole * r.n), int(sum(words[s] for s in r.sources)),
-                     float(sum(target[s] for s in r.sources))))
-    quota = spark.createDataFrame(plan, "pattern string, whole long, want long, source_size long, target double")
-    picked = choose(sized, quota.select("pattern", "want"))
+                     float(sum(target[s] for s in r.sources)), r.rows))
+    quota = spark.createDataFrame(plan, "pattern string, whole long, want long, source_size long, target double, rows long")
+    picked = choose(sized, quota.select("pattern", "want", "rows"))
     copies = F.when(F.col("size") > 0, F.least(F.lit(repeats), F.col("whole") + F.col("chosen").cast("long"))).otherwise(F.lit(0))
     # one row per pattern, at most MAX_PATTERNS
     return picked.join(F.broadcast(quota), "pattern").withColumn("copies", copies.cast("long")).select(

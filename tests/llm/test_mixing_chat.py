@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pytest
 
 from marquee.llm import chat, mixing
 from marquee.llm.queries import ORACLE, QUERIES
@@ -73,6 +74,46 @@ def test_one_hot_source_is_cut_into_slices(spark, monkeypatch):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2
 
 
+def first_fit(sizes, want):
+    """Words taken by going through ``sizes`` in order, and by one more where it comes nearer."""
+    gap, passed = want, []
+    for n in sizes:
+        gap, passed = (gap - n, passed) if n <= gap else (gap, [*passed, n])
+    least = min((n for n in passed if n), default=0)
+    return want - gap + (least if least and least - gap < gap else 0)
+
+
+@pytest.mark.parametrize("slice_rows", [4096, 16, 2])
+def test_a_long_document_does_not_end_a_source(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    order = spark.range(100).selectExpr("id", "xxhash64(11, id) o").orderBy("o").collect()
+    long = order[10].id
+    sizes = {i: 12_000 if i == long else 100 for i in range(100)}
+    docs = spark.createDataFrame([(i, n, "a") for i, n in sizes.items()] + [(1000 + i, 1 + i % 7, "b") for i in range(200)], "doc_id long, n int, source string") \
+        .selectExpr("doc_id", "repeat('w ', n) text", "source")
+    # source a is to give 6,000 of its 21,900 words
+    total = 21_900 + sum(1 + i % 7 for i in range(200))
+    rows = mixing.mix(docs, lambda s: [6000 / total, 1 - 6000 / total], repeats=1000).collect()
+    own = {r.doc_id: r for r in rows if r.sources == ["a"]}
+    assert sum(r.taken for r in own.values()) == 6000 == first_fit([sizes[r.id] for r in order], 6000)
+    assert {d for d, r in own.items() if r.copies} == {r.id for r in [*order[:10], *order[11:61]]}
+
+
+def test_choice_is_the_same_for_any_slices(spark, monkeypatch):
+    sizes = {i: 1 + (i * i * 7919) % 997 for i in range(600)}
+    texts = spark.createDataFrame([(i, n, "a" if i % 4 else "b") for i, n in sizes.items()], "id long, size long, pattern string")
+    sized = texts.selectExpr("id", "size", "pattern", "xxhash64(11, id) `order`", "id row").localCheckpoint()
+    order = [r.id for r in sized.orderBy("order").collect()]
+    wanted = spark.createDataFrame([("a", 100_003, 450), ("b", 5_001, 150)], "pattern string, want long, rows long")
+    for slice_rows in (4096, 64, 8):
+        monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+        rows = mixing.choose(sized, wanted).collect()
+        assert len(rows) == 600
+        for p, want in (("a", 100_003), ("b", 5_001)):
+            got = sum(r.size for r in rows if r.pattern == p and r.chosen)
+            assert got == first_fit([sizes[i] for i in order if ("a" if i % 4 else "b") == p], want)
+
+
 CONV = "conv_id long, turn long, role string, text string"
 
 
