@@ -26,6 +26,8 @@ TILE = 4096
 ROWS = 512
 #: Width of a cell in radii of the budget.
 CELL_RADII = 2.0
+#: Cell ids are polynomials of the coordinates modulo 2^64 at this odd number, so that all coordinates count at any grid.
+CELL_BASE = 0x1E3779B97F4A7C15
 #: Candidate pairs that are verified at once.
 PAIRS = 20_000
 BROADCAST_ROWS = 2_000_000
@@ -79,7 +81,8 @@ class Blocks:
         self.budgets = [whole * c.shape[1] / dims for c in self.columns]
 
     def cells(self, unit: np.ndarray, k: int, grid: int):
-        """Home cell of each vector in block k, and (row, cell) for every cell within the radius (home included)."""
+        """Home cell of each vector in block k, and (row, cell) once for every cell within the radius (home included).
+        Ids are hashes: cells that share one are compared together."""
         radius = math.sqrt(self.budgets[k])
         width = CELL_RADII * radius
         at = turned(unit, self.columns[k][:, :grid])
@@ -87,16 +90,20 @@ class Blocks:
         low, high = np.floor((at - radius) / width).astype(np.int64), np.floor((at + radius) / width).astype(np.int64)
         rows, cells = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         home_cell = np.zeros(len(unit), np.int64)
-        for d in range(grid):
-            home_cell = home_cell * 4096 + home[:, d] + 2048
+        for d in range(at.shape[1]):  # the last block may have fewer dimensions
+            home_cell = home_cell * CELL_BASE + home[:, d]
             parts = []
             for step in range(int((high[:, d] - low[:, d]).max()) + 1 if len(unit) else 0):
                 c = low[rows, d] + step
                 ok = c <= high[rows, d]
-                parts.append((rows[ok], cells[ok] * 4096 + c[ok] + 2048))
+                parts.append((rows[ok], cells[ok] * CELL_BASE + c[ok]))
             rows = np.concatenate([p[0] for p in parts]) if parts else rows
             cells = np.concatenate([p[1] for p in parts]) if parts else cells
-        return home_cell, rows, cells
+        order = np.lexsort((cells, rows))
+        rows, cells = rows[order], cells[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (cells[1:] != cells[:-1])
+        return home_cell, rows[new], cells[new]
 
 
 def tile_pairs(home: np.ndarray, sent: np.ndarray, home_ids: np.ndarray, sent_ids: np.ndarray, blocks: Blocks, k: int, cosine: float):

@@ -2,10 +2,11 @@
 
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.llm import ann, components, shingles, vectors
 from marquee.llm.queries import QUERIES
@@ -165,6 +166,33 @@ def test_vector_duplicates_against_brute_force(spark, monkeypatch, tile):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("grid", range(1, 9))
+def test_each_pair_meets_once_at_any_grid(grid):
+    x = clustered(n=300, dims=20)  # blocks of 8, 8 and 4 dimensions
+    blocks, ids, unit = vectors.Blocks(20, 0.93), np.arange(len(x)), vectors.normalised(x)
+    links = Counter()
+    for k in range(len(blocks.columns)):
+        home, rows, cells = blocks.cells(unit, k, grid)
+        for c in np.unique(home):
+            hi, si = np.flatnonzero(home == c), rows[cells == c]
+            p, q = vectors.tile_pairs(x[hi], x[si], ids[hi], ids[si], blocks, k, 0.93)
+            links.update(zip(hi[p].tolist(), si[q].tolist(), strict=True))
+    i, j = np.triu_indices(len(x), 1)
+    near = vectors.cosines(x[i], x[j]) >= 0.93
+    i, j = i[near], j[near]
+    assert links == Counter(zip(i.tolist(), j.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("grid", [5, 8])
+def test_links_at_a_large_grid(spark, grid):
+    x = clustered(n=300, dims=20)[:270]  # without the equal and parallel rows
+    nodes = spark.createDataFrame([(i, 1, v.tolist(), 1, 20) for i, v in enumerate(x)], "id long, label int, v array<double>, copies long, dims int")
+    counts = {r.id: r.n for r in vectors._links(nodes, 20, grid, 0.93).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert counts == {i: int(n) for i, n in enumerate(near) if n}
+
+
 def test_chi_square_quantile():
     sample = np.random.default_rng(0).chisquare(12, 200_000)
     assert abs((sample <= ann.chi_square_quantile(0.9, 12)).mean() - 0.9) < 0.005
