@@ -2,7 +2,8 @@
 
 Terms are words and word beginnings. The vocabulary is what labelled examples show to go with one label
 (likelihood ratio), and one more term stands for all words of a text: it tells many hits in a short text from a
-few in a long one. idf comes from all documents. The labelled examples are indexed: postings by term in
+few in a long one. Texts without such a term are compared by all terms that occur in any labelled example, in a second
+index over every labelled example. idf comes from all documents. The labelled examples are indexed: postings by term in
 blocks of examples, with the largest weight of each block, so that blocks that cannot reach the nearest
 ones so far are never scored. Votes of the nearest, weighted by similarity, are calibrated on the examples
 themselves, each left out of its own vote.
@@ -24,10 +25,11 @@ from marquee.llm.tokens import Cache, string_column
 
 #: Labelled rows that the index holds, for each label: a documented bound.
 EXAMPLES = 5000
-#: Terms in the vocabulary at most, and examples that a term needs. Its likelihood ratio must pass 2 ln(candidates),
-#: which chance would let about one candidate do.
+#: Terms in the vocabulary at most, examples that a term needs, and the likelihood ratio that it must reach: the same for
+#: samples of any size.
 VOCABULARY = 4096
 LEAST_EXAMPLES = 4
+LEAST_RATIO = 15.0
 #: Entries of each generation of a worker's cache of tokens, and of its results for equal vectors.
 TERM_ENTRIES, RESULT_ENTRIES = 300_000, 20_000
 #: Examples that the calibration looks at.
@@ -88,21 +90,27 @@ class Index:
         self.weights = np.array([weights[int(labels[i])] for i in order])
         self.ids = [ids[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        lists: list[list] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(order):
-            for p, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                lists[p].append((at, w))
-        self.postings = []
-        for entries in lists:
-            at = np.array([e[0] for e in entries], dtype=np.int64)
-            w = np.array([e[1] for e in entries])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            top = np.maximum.reduceat(w, first) if len(w) else w
-            self.postings.append((at, w, block, top))
+        # postings of all terms one after another, and their blocks
+        p = np.concatenate([vectors[i][0] for i in order])
+        by = np.argsort(p, kind="stable")
+        p = p[by]
+        self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
+        self.w = np.concatenate([vectors[i][1] for i in order])[by]
+        key = p * self.blocks + self.at // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = (self.at[first] // BLOCK).astype(np.int32)
+        self.top = np.maximum.reduceat(self.w, first)
+        self.starts = np.searchsorted(p, np.arange(n_terms + 1))
+        self.block_starts = np.searchsorted(p[first], np.arange(n_terms + 1))
+
+    def postings(self, p: int) -> tuple:
+        """Places and weights of a term's examples, and blocks and largest weights."""
+        one, many = slice(self.block_starts[p], self.block_starts[p + 1]), slice(self.starts[p], self.starts[p + 1])
+        return self.at[many], self.w[many], self.block[one], self.top[one]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: index order), nearest first, and the cosines. Exact."""
-        lists = [self.postings[p] for p in at.tolist()]
+        lists = [self.postings(p) for p in at.tolist()]
         tops = np.concatenate([x * t[3] for t, x in zip(lists, w, strict=True)])
         bound = np.bincount(np.concatenate([t[2] for t in lists]), tops, self.blocks)
         where = np.concatenate([t[0] for t in lists])
@@ -150,16 +158,21 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Vocabulary, idf, index and calibration; ``score`` needs the text alone."""
+    """Vocabulary, idf, index and calibration, and the model over all terms for texts without a term of the vocabulary;
+    ``score`` needs the text alone."""
 
-    def __init__(self, places, idf, index, base, empty, knots, values):
+    def __init__(self, places, idf, index, base, empty, knots, values, whole=None):
         self.places, self.idf, self.index, self.base, self.empty = places, idf, index, base, empty
-        self.knots, self.values = knots, values
+        self.knots, self.values, self.whole = knots, values, whole
 
-    def score(self, text: str | None, terms: _Terms, seen: dict) -> tuple[float, list]:
+    def caches(self) -> tuple:
+        """What a worker keeps for ``score``."""
+        return _Terms(self.places), {}, self.whole.caches() if self.whole else None
+
+    def score(self, text: str | None, terms: _Terms, seen: dict, rest: tuple | None = None) -> tuple[float, list]:
         counts = term_counts(text, terms)
         if not counts or self.index is None:
-            return self.empty, []
+            return self.whole.score(text, *rest) if self.whole else (self.empty, [])
         key = tuple(sorted(counts.items()))
         got = seen.get(key)
         if got is None:
@@ -203,11 +216,37 @@ def _selected(examples: DataFrame) -> list[str]:
     both = (a + b) / (n0 + n1)
     ratio = 2 * (fit(a, F.lit(n0), a / n0) + fit(b, F.lit(n1), b / n1) - fit(a, F.lit(n0), both) - fit(b, F.lit(n1), both))
     rated = spool(rows.select("term", ratio.alias("ratio")), "terms")
-    least = 2 * math.log(max(2, rated.count()))
-    top = rated.where(F.col("ratio") >= least).coalesce(4).orderBy(F.desc("ratio"), "term").limit(VOCABULARY)
+    top = rated.where(F.col("ratio") >= LEAST_RATIO).coalesce(4).orderBy(F.desc("ratio"), "term").limit(VOCABULARY)
     return [r.term for r in top.collect()]
 
 
+def _all_terms(examples: DataFrame) -> list[str]:
+    """Every term of the examples, in order."""
+    def terms(batches):
+        found = {f for b in batches for t in string_column(b, "text") for w in set(_WORD.findall((t or "").lower())) for f in word_terms(w)}
+        yield pa.RecordBatch.from_pydict({"term": list(found)}, schema=pa.schema([("term", pa.string())]))
+
+    return sorted(examples.select("text").mapInArrow(terms, "term string").distinct().toArrow().column(0).to_pylist())
+
+
+def _fitted(places, idf, ids, labels, starts, at, counts, use, judged, weights, base, empty) -> Model:
+    """Model over the examples ``use`` (rows of the flat terms and counts), calibrated on those of them in ``judged``."""
+    def vector(i):
+        p, c = at[starts[i]:starts[i + 1]], counts[starts[i]:starts[i + 1]]
+        w = (1 + np.log(c)) * idf[p]
+        return p, w / np.sqrt((w * w).sum())
+
+    units = [vector(i) for i in use]
+    index = Index(units, labels[use], [ids[i] for i in use], len(idf), weights)
+    place = {x: i for i, x in enumerate(index.ids)}
+    judged = set(judged)
+    some = [(u, i) for u, i in zip(units, use, strict=True) if i in judged]
+    some = some[::max(1, -(-len(some) // CALIBRATED))]
+    raw = np.array([index.vote(*index.nearest(*u, NEIGHBOURS, place[ids[i]]), base) for u, i in some])
+    knots, values = isotonic(raw, np.array([float(labels[i]) for _, i in some]), np.array([weights[int(labels[i])] for _, i in some]))
+    return Model(places, idf, index, base, empty, knots, values)
+
+
 def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str) -> tuple[int, np.ndarray]:
     """Number of documents, and of documents that hold each term of the vocabulary: over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(places)
@@ -222,8 +261,8 @@ def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used], pa.int64())], names=["term", "n"])
 
     df = np.zeros(len(places) + 2, np.int64)
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r.term] = r.n
+    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        df[r.column(0).to_numpy()] = r.column(1).to_numpy()
     df[-2] = df[-1]  # every text has words
     return int(df[-1]), df[:-1]
 
@@ -247,7 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = held.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text", "label").persist()
     try:
         vocabulary = _selected(held)
-        places = {t: i for i, t in enumerate(vocabulary)}
+        every = _all_terms(held)
+        places = {t: i for i, t in enumerate(every)}
         shared = spark.sparkContext.broadcast(places)
 
         def vectors(batches):
@@ -259,28 +299,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                      pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
 
         kind = dict(held.dtypes)["id"]
-        rows = sorted(held.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").collect(), key=lambda r: r.id)
+        rows = held.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
     finally:
         held.unpersist()
-    sampled = Counter(r.label for r in rows)
+    ids, labels_ = rows.column("id").to_pylist(), np.array(rows.column("label").to_pylist(), dtype=np.int64)
+    lengths = np.array([len(x) for x in rows.column("terms")], dtype=np.int64)
+    at, counts = (np.array(rows.column(c).combine_chunks().flatten() if rows.num_rows else [], dtype=np.int64) for c in ("terms", "counts"))
+    del rows
+    sampled = Counter(labels_.tolist())
     weights = {y: total[y] / sampled[y] for y in sampled}
     base = total.get(1, 0) / max(1, sum(total.values()))
-    bare = [r for r in rows if not r.terms]
-    ones, all_ = sum(weights[r.label] for r in bare if r.label), sum(weights[r.label] for r in bare)
-    empty = (ones + base) / (all_ + 1)
-    full = [r for r in rows if r.terms]
-    if not full or not places:
-        return Model({}, np.zeros(0), None, base, base if not places else empty, np.zeros(1), np.zeros(1))
+    if len(sampled) < 2 or not places:
+        return Model({}, np.zeros(0), None, base, base, np.zeros(1), np.zeros(1))
+
+    def share_of_ones(of):  # among the examples that a model has nothing to compare by
+        return (sum(weights[1] for i in of if labels_[i]) + base) / (sum(weights[int(labels_[i])] for i in of) + 1)
+
     n, df = _document_frequency(docs, places, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
-    units = [unit(dict(zip(r.terms, r.counts, strict=True)), idf) for r in full]
-    index = Index(units, np.array([r.label for r in full]), [r.id for r in full], len(places) + 1, weights)
-    place = {x: i for i, x in enumerate(index.ids)}
-    every = max(1, -(-len(full) // CALIBRATED))
-    some = [*zip(units, full, strict=True)][::every]
-    raw = np.array([index.vote(*index.nearest(at, w, NEIGHBOURS, place[r.id]), base) for (at, w), r in some])
-    knots, values = isotonic(raw, np.array([float(r.label) for _, r in some]), np.array([weights[r.label] for _, r in some]))
-    return Model(places, idf, index, base, empty, knots, values)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    # the vocabulary's terms, and the one for the length
+    own = np.full(len(places) + 1, -1, np.int64)
+    chosen_ = [*(places[t] for t in vocabulary), len(places)]
+    own[chosen_] = np.arange(len(chosen_))
+    kept = own[at] >= 0
+    inside = np.concatenate([[0], np.cumsum(kept)])[starts]
+    full = [i for i in range(len(ids)) if inside[i + 1] - inside[i] > 1]
+    bare = [i for i in range(len(ids)) if inside[i + 1] - inside[i] <= 1]
+    worded = [i for i in range(len(ids)) if lengths[i]]
+    whole = _fitted(places, idf, ids, labels_, starts, at, counts, worded, [i for i in bare if lengths[i]] or worded, weights, base,
+                    share_of_ones([i for i in bare if not lengths[i]]))
+    if not full:
+        return Model({}, np.zeros(0), None, base, whole.empty, np.zeros(1), np.zeros(1), whole)
+    model = _fitted({t: i for i, t in enumerate(vocabulary)}, idf[chosen_], ids, labels_, inside, own[at][kept], counts[kept], full, full, weights, base, whole.empty)
+    model.whole = whole
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7,
@@ -288,8 +341,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Score every whole text: (id, score, predicted, evidence), one row per input row.
 
     ``score`` is between 0 and 1; ``predicted`` is 1 from ``threshold`` on; ``evidence`` has the five nearest
-    examples (doc_id, similarity, label). Null, empty and other texts without a term of the vocabulary get the
-    share of label 1 among such examples. Repeated rows and null ids stay; an empty table gives an empty result.
+    examples (doc_id, similarity, label). Texts without a term of the vocabulary are scored by all
+    terms of the examples; null, empty and other texts without any get the share of label 1 among such examples. Repeated rows and null ids stay; an empty table gives an empty result.
     With ``carry`` the named columns of the documents come instead of the id.
     """
     spark = docs.sparkSession
@@ -297,9 +350,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = share(spark, model)
 
     def judge(batch):
-        model, terms, seen = shared_value(shared, "toxicity", lambda model: (model, _Terms(model.places), {}))
+        model, caches = shared_value(shared, "toxicity", lambda model: (model, model.caches()))
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        got = [model.score(t, terms, seen) for t in string_column(batch, "text")]
+        got = [model.score(t, *caches) for t in string_column(batch, "text")]
         return {"score": pa.array([g[0] for g in got], pa.float64()),
                 "predicted": pa.array([int(g[0] >= threshold) for g in got], pa.int32()),
                 "evidence": pa.array([[{"doc_id": d, "similarity": s, "label": y} for d, s, y in g[1]] for g in got], kind)}

@@ -91,6 +91,19 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_texts_without_a_selected_term_have_evidence(spark):
+    # each kind of rare word is in three examples of label 1 only: too few for the vocabulary
+    def letters(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+    rows = [(i, f"{letters(i // 3 * 7)}zzxq common words of a day {i}" if i < 300 else f"common words of a day {letters(i * 5)}yyk {i}") for i in range(900)]
+    docs = spark.createDataFrame([*rows, (5000, f"{letters(7)}zzxq"), (5001, "4 5 6"), (5002, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(900)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert got[5000].score > 0.9 and {e.doc_id for e in got[5000].evidence} >= {3, 4, 5} and got[5001].evidence == []
+    assert all(got[i].evidence for i in range(900)) and len(model.whole.index.ids) == 900
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     state = {}
