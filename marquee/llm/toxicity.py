@@ -32,8 +32,6 @@ LEAST_EXAMPLES = 4
 LEAST_RATIO = 15.0
 #: Entries of each generation of a worker's cache of tokens, and of its results for equal vectors.
 TERM_ENTRIES, RESULT_ENTRIES = 300_000, 20_000
-#: Examples that the calibration looks at.
-CALIBRATED = 3000
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the base rate among the votes.
@@ -230,7 +228,7 @@ def _all_terms(examples: DataFrame) -> list[str]:
 
 
 def _fitted(places, idf, ids, labels, starts, at, counts, use, judged, weights, base, empty) -> Model:
-    """Model over the examples ``use`` (rows of the flat terms and counts), calibrated on those of them in ``judged``."""
+    """Model over the examples ``use`` (rows of the flat terms and counts), calibrated on all of those in ``judged``."""
     def vector(i):
         p, c = at[starts[i]:starts[i + 1]], counts[starts[i]:starts[i + 1]]
         w = (1 + np.log(c)) * idf[p]
@@ -241,7 +239,6 @@ def _fitted(places, idf, ids, labels, starts, at, counts, use, judged, weights,
     place = {x: i for i, x in enumerate(index.ids)}
     judged = set(judged)
     some = [(u, i) for u, i in zip(units, use, strict=True) if i in judged]
-    some = some[::max(1, -(-len(some) // CALIBRATED))]
     raw = np.array([index.vote(*index.nearest(*u, NEIGHBOURS, place[ids[i]]), base) for u, i in some])
     knots, values = isotonic(raw, np.array([float(labels[i]) for _, i in some]), np.array([weights[int(labels[i])] for _, i in some]))
     return Model(places, idf, index, base, empty, knots, values)

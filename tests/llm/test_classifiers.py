@@ -68,6 +68,17 @@ def test_isotonic_is_monotone():
     assert (np.diff(np.interp(np.linspace(0, 1, 50), knots, values)) >= -1e-12).all() and np.interp(1.0, knots, values) == 1
 
 
+def test_all_examples_are_calibrated():
+    # label 1 at every third example: term 0 or 1 by label, and one for the length
+    n = 6400
+    labels = (np.arange(n) % 3 == 1).astype(np.int64)
+    at = np.stack([labels, np.full(n, 2)], axis=1).ravel()
+    every = list(range(n))
+    model = toxicity._fitted({"a": 0, "b": 1}, np.array([5.0, 5.0, 1.0]), every, labels, np.arange(0, 2 * n + 1, 2), at, np.ones(2 * n), every, every,
+                             {0: 1.0, 1: 1.0}, 0.33, 0.33)
+    assert model.values.max() == 1 and model.values.min() == 0
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows = QUERIES["op1_toxicity"](spark, SF01).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
