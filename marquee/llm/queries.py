@@ -99,6 +99,12 @@ def op10_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query
+def op11_exact_dedup(spark, sf_dir):
+    from marquee.llm.exact import exact_duplicates
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -106,8 +112,9 @@ def pipeline(spark, sf_dir):
 
 
 def _oracles() -> None:
-    from marquee.llm import chat
+    from marquee.llm import chat, exact
     ORACLE["op8_chat_formatting"] = chat.ORACLE
+    ORACLE["op11_exact_dedup"] = exact.ORACLE
 
 
 _oracles()
