@@ -105,6 +105,12 @@ def op11_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_conversation_trie(spark, sf_dir):
+    from marquee.llm.trie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -112,9 +118,10 @@ def pipeline(spark, sf_dir):
 
 
 def _oracles() -> None:
-    from marquee.llm import chat, exact
+    from marquee.llm import chat, exact, trie
     ORACLE["op8_chat_formatting"] = chat.ORACLE
     ORACLE["op11_exact_dedup"] = exact.ORACLE
+    ORACLE["op12_conversation_trie"] = trie.ORACLE
 
 
 _oracles()
