@@ -111,6 +111,12 @@ def op12_conversation_trie(spark, sf_dir):
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    from marquee.llm.align import alignment
+    return alignment(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER).decode(), tokenizer_file(PIECE_TOKENIZER))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
