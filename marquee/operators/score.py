@@ -1,14 +1,8 @@
 """Scoring and top-N.
 
-User x item scoring is the one place where every pair has to be looked at.
-It is never materialised as rows: users are hashed into ``user_blocks`` and
-items into ``item_blocks``; each user row is copied to every item block and
-each item row to every user block (replication bounded by the block counts),
-and ``cogroup(...).applyInPandas`` scores one (user block, item block) pair
-with a numpy matrix product, keeping only the k best items per user. Pairs to
-exclude (already rated) are hashed to the single block they belong to, so
-the exclusion is exact and happens before the cut (Q11). A final
-``row_number`` per user over at most item_blocks * k rows gives the top k.
+Top-N goes through the bounded item index of ``marquee.operators.topk``. AUC needs every score: users and items are
+hashed into blocks of bounded size, and ``cogroup(...).applyInPandas`` scores one (user block, item block) pair with
+numpy, never as rows.
 """
 
 from __future__ import annotations
@@ -19,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.vector import dot, unit
+from marquee.operators.topk import ItemIndex
 
 # Upper bound on score-matrix cells held at once inside one task.
 MAX_CELLS = 1 << 22
@@ -47,89 +42,16 @@ def _seq_scores(u: np.ndarray, v: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return acc + bias
 
 
-def _topk_rows(scores: np.ndarray, k: int) -> np.ndarray:
-    """Boolean mask of the k best finite entries per row; ties -> lower column first.
-
-    Columns must be sorted by item id ascending. O(n) per row.
-    """
-    n = scores.shape[1]
-    finite = np.isfinite(scores)
-    if n <= k:
-        return finite
-    t = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    gt = scores > t[:, None]
-    eq = scores == t[:, None]
-    need = k - gt.sum(axis=1)
-    eq_rank = np.cumsum(eq, axis=1)
-    return (gt | (eq & (eq_rank <= need[:, None]))) & finite
-
-
 def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None,
-                 user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
-    """Top-k items per user by dot(user.factors, item.factors) + item.bias.
+                 centres: int | None = None) -> DataFrame:
+    """Top-k items per user by dot(user.factors, item.factors) + item.bias, through the bounded index of
+    ``marquee.operators.topk``.
 
     users: (user, factors); items: (item, factors[, bias]); seen: (user, item)
     pairs to exclude. Returns (user, item, score, rank) with rank 1..k by
     score desc, item asc.
     """
-    spark = users.sparkSession
-    ub, ib = _blocks(user_blocks, item_blocks, users, items)
-    ut, it = _type_of(users, "user"), _type_of(items, "item")
-    if "bias" not in items.columns:
-        items = items.withColumn("bias", F.lit(0.0))
-    ubk = F.pmod(F.xxhash64(F.col("user")), F.lit(ub)).cast("int")
-    ibk = F.pmod(F.xxhash64(F.col("item")), F.lit(ib)).cast("int")
-    left = users.select(ubk.alias("ub"), F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("ib"),
-                        F.lit(0).alias("kind"), F.col("user"),
-                        F.col("factors").cast("array<double>").alias("factors"),
-                        F.lit(None).cast(it).alias("seen_item"))
-    if seen is not None:
-        # distinct pairs: a user's seen rows in one block are then bounded by the
-        # block's items, however many ratings a hot user has
-        seen = seen.select("user", "item").distinct()
-        s = seen.select(ubk.alias("ub"), ibk.alias("ib"), F.lit(1).alias("kind"), F.col("user"),
-                        F.lit(None).cast("array<double>").alias("factors"), F.col("item").alias("seen_item"))
-        left = left.unionByName(s)
-    right = items.select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), ibk.alias("ib"),
-                         F.col("item"), F.col("factors").cast("array<double>").alias("factors"),
-                         F.col("bias").cast("double").alias("bias"))
-    schema = f"user {ut}, item {it}, score double"
-
-    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        urows = lpdf[lpdf["kind"] == 0]
-        if urows.empty or rpdf.empty:
-            return pd.DataFrame({"user": pd.Series([], dtype=object), "item": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype=float)})
-        rpdf = rpdf.sort_values("item", kind="stable")
-        iv = np.stack(rpdf["factors"].to_numpy())
-        bias = rpdf["bias"].to_numpy(dtype=float)
-        iid = rpdf["item"].to_numpy()
-        uid = urows["user"].to_numpy()
-        uv = np.stack(urows["factors"].to_numpy())
-        srows = lpdf[lpdf["kind"] == 1]
-        sr = pd.Series(np.arange(len(uid)), index=uid).reindex(srows["user"].to_numpy()).to_numpy()
-        sc_ = pd.Series(np.arange(len(iid)), index=iid).reindex(srows["seen_item"].to_numpy()).to_numpy()
-        ok = ~(pd.isna(sr) | pd.isna(sc_))
-        sr, sc_ = sr[ok].astype(int), sc_[ok].astype(int)
-        order = np.argsort(sr, kind="stable")
-        sr, sc_ = sr[order], sc_[order]
-        step = max(1, MAX_CELLS // max(1, len(iid)))
-        out_u, out_i, out_s = [], [], []
-        for a in range(0, len(uid), step):
-            sc = _seq_scores(uv[a:a + step], iv, bias)
-            lo, hi = np.searchsorted(sr, [a, a + step])
-            sc[sr[lo:hi] - a, sc_[lo:hi]] = -np.inf
-            rr, cc = np.nonzero(_topk_rows(sc, k))
-            out_u.append(uid[a + rr])
-            out_i.append(iid[cc])
-            out_s.append(sc[rr, cc])
-        return pd.DataFrame({"user": np.concatenate(out_u), "item": np.concatenate(out_i),
-                             "score": np.concatenate(out_s)})
-
-    cand = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(fn, schema)
-    w = Window.partitionBy("user").orderBy(F.col("score").desc(), F.col("item").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .withColumn("rank", F.col("rank").cast("bigint"))
+    return ItemIndex(items, centres).top(users, k, seen)
 
 
 def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
