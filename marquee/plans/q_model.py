@@ -217,6 +217,50 @@ def q_recommendations(spark, sf):
                       "already_reviewed")
 
 
+BLENDED_SQL = DENSE_SQL + """
+, xv AS (SELECT tmdb_id AS item, runtime / 200.0 AS c0, CASE WHEN revenue > 0 THEN 1.0 ELSE 0.0 END AS c1, (tmdb_id % 5) / 5.0 AS c2 FROM catalogue)
+, xu AS (SELECT t."user", sum(t.rating * c0) / sum(t.rating) AS w0, sum(t.rating * c1) / sum(t.rating) AS w1, sum(t.rating * c2) / sum(t.rating) AS w2
+         FROM train t JOIN xv ON t.item = xv.item GROUP BY t."user")
+, mo AS (SELECT avg(score) AS m, stddev_pop(score) AS s FROM sc)
+, seen AS (SELECT DISTINCT username AS "user", item FROM reviews)
+, two AS (SELECT sc."user", sc.item, sc.score AS cf, (w0 * c0 + w1 * c1) + w2 * c2 AS cb, ((1.0 / 3) * c0 + (1.0 / 3) * c1) + (1.0 / 3) * c2 AS mean
+          FROM sc JOIN xu ON xu."user" = sc."user" JOIN xv ON xv.item = sc.item
+          WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s."user" = sc."user" AND s.item = sc.item))
+, v AS (SELECT 'raw' AS variant, "user", item, greatest(1.0, least(10.0, 0.7 * cf + 0.3 * cb)) AS score FROM two
+        UNION ALL SELECT 'raw_mean', "user", item, greatest(0.5, least(10.0, 0.7 * cf + 0.3 * mean)) FROM two
+        UNION ALL SELECT 'zscore', "user", item,
+               greatest(1.0, least(10.0, (0.7 * greatest(0.0, least(1.0, ((cf - m) / s + 3.0) / 6.0)) + 0.3 * cb) * 10.0)) FROM two, mo)
+, r AS (SELECT *, row_number() OVER (PARTITION BY variant, "user" ORDER BY score DESC, item) AS rank FROM v)
+SELECT variant, "user", item, round(score, 6) AS score, rank FROM r WHERE rank <= 10
+"""
+
+
+@query("blended_topn", BLENDED_SQL)
+def q_blended_topn(spark, sf):
+    """M9 / M7: the ten best unseen items of every user under each of the three blends, by the threshold algorithm.
+    Content score: the rating-weighted mean profile of the user's items times the item's content vector; for
+    'raw_mean' the mean of the item's content fields."""
+    from marquee.operators.blended import BlendedModel
+    from marquee.operators.factor import score_moments
+    from marquee.session import checkpoint
+    uv, iv, train, _ = dense_model(spark, sf)
+    content = V.catalogue(spark, sf).select(F.col("tmdb_id").alias("item"), F.array(
+        F.col("runtime") / 200.0, F.when(F.col("revenue") > 0, 1.0).otherwise(0.0), (F.col("tmdb_id") % 5) / 5.0).alias("factors"))
+    profile = train.join(content, "item").groupBy("user").agg(vsum(F.transform("factors", lambda x: x * F.col("rating"))).alias("_s"), F.sum("rating").alias("_w")) \
+        .select("user", F.transform("_s", lambda x: x / F.col("_w")).alias("factors"))
+    profile = checkpoint(profile)
+    moments = score_moments(uv, iv).first()
+    seen = checkpoint(V.reviews(spark, sf).select(F.col("username").alias("user"), "item").distinct())
+    own = BlendedModel(uv, iv, profile, content)
+    mean = BlendedModel(uv, iv, uv.select("user", F.array(*[F.lit(1.0 / 3)] * 3).alias("factors")), content)
+    out = None
+    for variant, model in (("raw", own), ("raw_mean", mean), ("zscore", own)):
+        top = model.top(10, lambda cf, cb, v=variant: S.blend(cf, cb, 0.7, v, moments.cf_mean, moments.cf_std), seen)
+        top = top.select(F.lit(variant).alias("variant"), "user", "item", r6("score").alias("score"), "rank")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 @query("auc", DENSE_SQL + """
 , tp AS (SELECT DISTINCT "user", item FROM test)
 , pos AS (SELECT tp."user", tp.item, sc.score FROM tp JOIN sc ON tp."user" = sc."user" AND tp.item = sc.item)
