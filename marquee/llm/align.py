@@ -31,7 +31,7 @@ class PlainByteEncoder(ByteEncoder):
         super().__init__(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.special = ()
-        self.entries = CACHE_ENTRIES // 3
+        self.entries = CACHE_ENTRIES * 2 // 3
 
 
 class PieceEncoder(Cache):
@@ -39,7 +39,7 @@ class PieceEncoder(Cache):
 
     def __init__(self, model: bytes):
         import sentencepiece
-        super().__init__(CACHE_ENTRIES // 3)
+        super().__init__(CACHE_ENTRIES * 2 // 3)
         self.encode = sentencepiece.SentencePieceProcessor(model_proto=model).encode
 
     def make(self, piece: str) -> bytes:
