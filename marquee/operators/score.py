@@ -1,14 +1,13 @@
 """Scoring and top-N.
 
-Top-N goes through the bounded item index of ``marquee.operators.topk``. AUC needs every score: users and items are
-hashed into blocks of bounded size, and ``cogroup(...).applyInPandas`` scores one (user block, item block) pair with
-numpy, never as rows.
+Top-N goes through the bounded item index of ``marquee.operators.topk``. AUC needs every score: users are
+hashed into blocks of bounded size and all items stream past each of them, scored with numpy, never as rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +18,8 @@ from marquee.operators.topk import ItemIndex
 MAX_CELLS = 1 << 22
 
 
-#: Rows of a user block and of an item block: what one task holds, whatever the size of the tables.
-USER_ROWS, ITEM_ROWS = 2048, 8192
-
-
-def _blocks(user_blocks, item_blocks, users: DataFrame, items: DataFrame) -> tuple[int, int]:
-    """Block counts such that a block has about USER_ROWS users and ITEM_ROWS items; explicit counts override."""
-    return (user_blocks or max(1, -(-users.count() // USER_ROWS)), item_blocks or max(1, -(-items.count() // ITEM_ROWS)))
+#: Users of a block and items of a chunk that AUC compares at once: what one task holds, whatever the size of the tables.
+AUC_USER_ROWS, ITEM_ROWS = 2048, 4096
 
 
 def _type_of(df: DataFrame, col: str) -> str:
@@ -55,96 +49,83 @@ def blocked_topk(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
 
 
 def blocked_auc(users: DataFrame, items: DataFrame, positives: DataFrame,
-                user_blocks: int | None = None, item_blocks: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
+                user_blocks: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Per-user AUC of the full item ranking, positives = ``positives`` (user, item).
 
-    Mann-Whitney with ties counted one half. Each user's positive scores are
-    copied to every item block of the user's block; a block counts, for each
-    positive, the negatives (items that are not the user's positives) scoring
-    lower or equal. Pairs of ``exclude`` (user, item) that are not positives, such as the
-    training pairs, are neither. Returns (user, auc).
+    Mann-Whitney with ties counted one half. A user's row holds the sorted scores of the positives, so that they cut the
+    user's scores into rank intervals. All items stream past a block of users; each chunk adds, by bisection, how often its scores
+    lie below the positives'. What the positives themselves and the pairs of ``exclude`` (user, item; neither positives nor
+    negatives) add to that is known from their own scores and taken off again. No positive or excluded pair meets
+    an item block, and a task holds its users and one chunk of items. Returns (user, auc).
     """
-    spark = users.sparkSession
-    ub, ib = _blocks(user_blocks, item_blocks, users, items)
-    ut, it = _type_of(users, "user"), _type_of(items, "item")
+    ub = user_blocks or max(1, -(-users.count() // AUC_USER_ROWS))
+    ut = _type_of(users, "user")
     if "bias" not in items.columns:
         items = items.withColumn("bias", F.lit(0.0))
-    iv = items.select(F.col("item").alias("_pi"), F.col("factors").alias("_pf"), F.col("bias").alias("_pb"))
-    uv = users.select(F.col("user").alias("_pu"), F.col("factors").alias("_uf"))
-    pos = positives.select("user", "item").distinct()
-    pos = pos.join(uv, pos.user == uv._pu).join(iv, pos.item == iv._pi) \
-        .select("user", "item", (dot(F.col("_uf").cast("array<double>"), F.col("_pf").cast("array<double>"))
-                                 + F.col("_pb")).alias("pscore"))
-    ubk = F.pmod(F.xxhash64(F.col("user")), F.lit(ub)).cast("int")
-    ibk = F.pmod(F.xxhash64(F.col("item")), F.lit(ib)).cast("int")
-    seq_ib = F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))
-    left = users.join(pos.select("user").distinct(), "user", "left_semi").select(
-        ubk.alias("ub"), seq_ib.alias("ib"), F.lit(0).alias("kind"), "user",
-        F.col("factors").cast("array<double>").alias("factors"),
-        F.lit(None).cast(it).alias("pitem"), F.lit(None).cast("double").alias("pscore"))
-    left = left.unionByName(pos.select(ubk.alias("ub"), seq_ib.alias("ib"), F.lit(1).alias("kind"), "user",
-                                       F.lit(None).cast("array<double>").alias("factors"),
-                                       F.col("item").alias("pitem"), "pscore"))
+    iv = items.select(F.col("item").alias("_pi"), F.col("factors").cast("array<double>").alias("_pf"), F.col("bias").alias("_pb"))
+    uv = users.select(F.col("user").alias("_pu"), F.col("factors").cast("array<double>").alias("_uf"))
+    pairs = positives.select("user", "item", F.lit(True).alias("_p"))
     if exclude is not None:
-        # an excluded pair goes to the one item block that holds its item
-        out = exclude.select("user", "item").distinct().join(pos.select("user", "item"), ["user", "item"], "left_anti")
-        left = left.unionByName(out.select(ubk.alias("ub"), ibk.alias("ib"), F.lit(2).alias("kind"), "user",
-                                           F.lit(None).cast("array<double>").alias("factors"), F.col("item").alias("pitem"),
-                                           F.lit(None).cast("double").alias("pscore")))
-    right = items.select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), ibk.alias("ib"),
-                         "item", F.col("factors").cast("array<double>").alias("factors"),
-                         F.col("bias").cast("double").alias("bias"))
-    schema = f"user {ut}, pitem {it}, lower double, nneg long"
-
-    def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        urows, prows = lpdf[lpdf["kind"] == 0], lpdf[lpdf["kind"] == 1]
-        empty = pd.DataFrame({"user": [], "pitem": [], "lower": [], "nneg": []})
-        if urows.empty or prows.empty or rpdf.empty:
-            return empty
-        iv_ = np.stack(rpdf["factors"].to_numpy())
-        bias = rpdf["bias"].to_numpy(dtype=float)
-        iid = rpdf["item"].to_numpy()
-        col_of = pd.Series(np.arange(len(iid)), index=iid)
-        uid = urows["user"].to_numpy()
-        uv_ = np.stack(urows["factors"].to_numpy())
-        row_of = pd.Series(np.arange(len(uid)), index=uid)
-        pr = row_of.reindex(prows["user"].to_numpy()).to_numpy()
-        ok = ~pd.isna(pr)
-        prows, pr = prows[ok], pr[ok].astype(int)
-        ps = prows["pscore"].to_numpy(dtype=float)
-        pc = col_of.reindex(prows["pitem"].to_numpy()).to_numpy()      # column of the positive, if in block
-        inblk = ~pd.isna(pc)
-        xrows = lpdf[lpdf["kind"] == 2]
-        xr, xc = row_of.reindex(xrows["user"].to_numpy()).to_numpy(), col_of.reindex(xrows["pitem"].to_numpy()).to_numpy()
-        ok = ~(pd.isna(xr) | pd.isna(xc))
-        xr, xc = xr[ok].astype(int), xc[ok].astype(int)
-        # negatives of a user in this block: its items without the user's positives and excluded pairs
-        off = np.bincount(pr[inblk], minlength=len(uid)) + np.bincount(xr, minlength=len(uid))
-        nneg = len(iid) - off[pr]
-        lower = np.zeros(len(pr))
-        by_user = np.argsort(pr, kind="stable")
-        bounds = np.searchsorted(pr[by_user], np.arange(len(uid) + 1))
-        step = max(1, MAX_CELLS // max(1, len(iid)))
-        for a in range(0, len(uid), step):
-            sc = _seq_scores(uv_[a:a + step], iv_, bias)
-            m = inblk & (pr >= a) & (pr < a + step)
-            sc[pr[m] - a, pc[m].astype(int)] = np.nan
-            m = (xr >= a) & (xr < a + step)
-            sc[xr[m] - a, xc[m]] = np.nan
-            sc.sort(axis=1)      # what is no negative sorts last
-            for u in range(a, min(a + step, len(uid))):
-                idx = by_user[bounds[u]:bounds[u + 1]]
-                if len(idx):
-                    lo, hi = sc[u - a].searchsorted(ps[idx], "left"), sc[u - a].searchsorted(ps[idx], "right")
-                    lower[idx] = 0.5 * (lo + hi)
-        return pd.DataFrame({"user": prows["user"].to_numpy(), "pitem": prows["pitem"].to_numpy(),
-                             "lower": lower, "nneg": nneg.astype("int64")})
-
-    part = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(fn, schema)
-    per_pos = part.groupBy("user", "pitem").agg(F.sum("lower").alias("lower"), F.sum("nneg").alias("nneg"))
-    per_user = per_pos.groupBy("user").agg(F.sum("lower").alias("s"), F.count(F.lit(1)).alias("p"),
-                                           F.max("nneg").alias("n"))
-    return per_user.where(F.col("n") > 0).select("user", (F.col("s") / (F.col("p") * F.col("n"))).alias("auc"))
+        pairs = pairs.unionByName(exclude.select("user", "item", F.lit(False).alias("_p")))
+    pairs = pairs.groupBy("user", "item").agg(F.max("_p").alias("_p"))
+    scored = pairs.join(uv, pairs.user == uv._pu).join(iv, pairs.item == iv._pi).select("user", "_p", (dot("_uf", "_pf") + F.col("_pb")).alias("_s"))
+    # a user's own scores are one row: at most one a rated item
+    own = scored.groupBy("user").agg(F.sort_array(F.collect_list(F.when(F.col("_p"), F.col("_s")))).alias("pos"), F.sort_array(F.collect_list("_s")).alias("off"))
+    own = own.where(F.size("pos") > 0).join(uv, F.col("user") == F.col("_pu"))
+    block = F.pmod(F.xxhash64("user"), F.lit(ub)).cast("int")
+    left = own.select(block.alias("ub"), F.lit(0).alias("kind"), "user", F.col("_uf").alias("factors"), "pos", "off", F.lit(None).cast("double").alias("bias"))
+    none = F.lit(None).cast("array<double>")
+    right = items.select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), F.lit(1).alias("kind"), F.lit(None).cast(ut).alias("user"),
+                         F.col("factors").cast("array<double>").alias("factors"), none.alias("pos"), none.alias("off"), F.col("bias").cast("double").alias("bias"))
+
+    def count(batches):
+        at, held, u, lower, n, item_rows, biases = None, [], None, None, 0, [], []
+
+        def add():
+            """The scores of the held items against every user's positives."""
+            nonlocal u, lower, n, item_rows, biases
+            if u is None:
+                u, lower = np.stack([h[1] for h in held]), np.zeros(len(held))
+            v, bias = np.stack(item_rows), np.array(biases, float)
+            step = max(1, MAX_CELLS // len(v))
+            for a in range(0, len(held), step):
+                scores = _seq_scores(u[a:a + step], v, bias)
+                scores.sort(axis=1)
+                for i, row in enumerate(scores, a):
+                    lower[i] += 0.5 * (row.searchsorted(held[i][2], "left") + row.searchsorted(held[i][2], "right")).sum()
+            n += len(v)
+            item_rows, biases = [], []
+
+        def done():
+            if held and item_rows:
+                add()
+            if held and n:
+                users_, auc = [], []
+                for (key, _, pos, off), total in zip(held, lower, strict=True):
+                    negatives = n - len(off)
+                    if negatives > 0:
+                        total -= 0.5 * (off.searchsorted(pos, "left") + off.searchsorted(pos, "right")).sum()
+                        users_.append(key)
+                        auc.append(total / (len(pos) * negatives))
+                yield pa.RecordBatch.from_arrays([pa.array(users_, user_type), pa.array(auc, pa.float64())], names=["user", "auc"])
+
+        for b in batches:
+            user_type = b.schema.field("user").type
+            for r in zip(*(b.column(i).to_numpy(zero_copy_only=False) if i not in (0, 1, 2) else b.column(i).to_pylist() for i in range(7)), strict=True):
+                if r[0] != at:
+                    yield from done()
+                    at, held, u, lower, n, item_rows, biases = r[0], [], None, None, 0, [], []
+                if r[1] == 0:
+                    held.append((r[2], r[3], np.asarray(r[4]), np.asarray(r[5])))
+                elif held:
+                    item_rows.append(r[3])
+                    biases.append(r[6])
+                    if len(item_rows) >= ITEM_ROWS:
+                        add()
+        yield from done()
+
+    rows = left.unionByName(right).repartition(ub, "ub").sortWithinPartitions("ub", "kind")
+    return rows.mapInArrow(count, f"user {ut}, auc double")
 
 
 def cosine_neighbours(vectors: DataFrame, k: int, key: str = "id", vec: str = "embedding",
