@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import spool
+from marquee.llm.common import drop, spool
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, component): for each node of ``links`` (a, b), the smallest node reachable from it.
 
     Each round is two grouped minima (combined before the shuffle) and two joins; nothing is gathered
-    by component. Rounds are written tables; their number grows with the logarithm of the longest path.
+    by component. Rounds are written tables, each deleted when the next one is there; their number grows with the logarithm of the longest path.
     """
     edges = spool(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _fingerprint(edges)
@@ -28,7 +28,8 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = spool(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, edges = edges, spool(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        drop(last)
         after = _fingerprint(edges)
         if after == before:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import broadcast_if_small, prepare, shuffle_partitions, spool
+from marquee.llm.common import broadcast_if_small, drop, prepare, shuffle_partitions, spool
 from marquee.llm.components import connected, forest
 from marquee.llm.tokens import string_column
 
@@ -121,11 +121,13 @@ def _shared_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
 
 
-def _entries_low(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Step 1: index entries (entry, id), and the ids of sets without a prefix of rare tokens."""
+def _entries_low(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Step 1: index entries (entry, id), the ids of sets without a prefix of rare tokens, and the written table behind both."""
     need = _slack(F.col("n"), percent) + 1
-    tokens = sets.select("id", "n", F.size("low").alias("held"), F.posexplode("low").alias("at", "t"))
-    shared = tokens.join(_shared_counts(tokens), "t")
+    # token rows are as narrow as can be; a set's sizes come back with the few tokens that are shared
+    tokens = sets.select("id", F.posexplode("low").alias("at", "t"))
+    sizes = sets.select("id", "n", F.size("low").alias("held"))
+    shared = tokens.join(_shared_counts(tokens), "t").join(sizes, "id")
     own = Window.partitionBy("id")
     # a similar set lacks at most need - 1 of the tokens below the limit: sets with more that nobody shares have no partner
     marked = spool(shared.withColumn("frequent", F.sum((F.col("c") > RARE).cast("long")).over(own))
@@ -133,11 +135,12 @@ def _entries_low(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     entries = marked.where((F.col("c") <= RARE) & (F.col("at") < need + F.col("frequent"))).select(F.col("t").alias("entry"), "id")
     few = sets.where(F.size("low") < need).select("id")
     mostly = marked.where(F.col("held") - F.col("frequent") < need).select("id").distinct()
-    return entries, few.unionByName(mostly).distinct()
+    return entries, few.unionByName(mostly).distinct(), marked
 
 
-def _entries_all(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Step 2: index entries (entry, id) of the given documents among each other, over all their tokens."""
+def _entries_all(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Step 2: index entries (entry, id) of the given documents among each other, over all their tokens; and the written
+    table behind them."""
     def cut(batches):
         for b in batches:
             sets = [tokens_of(t, words) for t in string_column(b, "text")]
@@ -166,7 +169,7 @@ def _entries_all(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ids.append(np.full(len(found), key, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries)), pa.array(np.concatenate(ids))], names=["entry", "id"])
 
-    return grouped.mapInArrow(index, "entry long, id long")
+    return grouped.mapInArrow(index, "entry long, id long"), sets
 
 
 def _meetings(entries: DataFrame) -> DataFrame:
@@ -201,8 +204,8 @@ def similar_pairs(sets: list[np.ndarray], percent: int, first: np.ndarray | None
     return np.nonzero(link)
 
 
-def _links(docs: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links that span what is similar among the sets that meet. Meetings of more than CHUNK sets are cut into
+def _links(docs: DataFrame, met: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links that span what is similar among the sets that meet, and the written table behind them. Meetings of more than CHUNK sets are cut into
     chunks, and each pair of chunks is one block."""
     size = met.groupBy("at").agg(F.count(F.lit(1)).alias("k"))
     chunks = F.ceil(F.col("k") / CHUNK).cast("int")
@@ -252,7 +255,7 @@ def _links(docs: DataFrame, met: DataFrame, words: int, percent: int) -> DataFra
             a, b_ = spanning(key, held)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b_)], names=["a", "b"])
 
-    return blocks.mapInArrow(compare, "a long, b long")
+    return blocks.mapInArrow(compare, "a long, b long"), placed
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,14 +279,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     copies = spool(known.select("id", "sid").join(broadcast_if_small(equal, BROADCAST_ROWS), "sid").where("id <> rep").select("id", "rep"), "copies")
     n_copies = copies.count()
     nodes = known.join(broadcast_if_small(copies.select("id"), BROADCAST_ROWS, n_copies), "id", "left_anti")
-    low, short = _entries_low(nodes, percent)
+    low, short, marked = _entries_low(nodes, percent)
     short = spool(short, "short")
     own = src.join(broadcast_if_small(short, BROADCAST_ROWS), "id")
-    entries = low.withColumn("step", F.lit(1)).unionByName(_entries_all(own, words, percent).withColumn("step", F.lit(2)))
+    rest, whole = _entries_all(own, words, percent)
+    entries = low.withColumn("step", F.lit(1)).unionByName(rest.withColumn("step", F.lit(2)))
     entries = spool(entries.select(F.struct("step", "entry").alias("entry"), "id"), "entries")
+    drop(marked, whole, short)
     met = spool(_meetings(entries), "met")
-    links = spool(_links(src, met, words, percent), "found")
+    drop(entries)
+    links, placed = _links(src, met, words, percent)
+    links = spool(links, "found")
+    drop(placed, met)
     labels = connected(links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     labels = spool(labels, "components")
     done = sets.select("id", "n").join(broadcast_if_small(labels, BROADCAST_ROWS), F.col("id") == F.col("node"), "left")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    done = spool(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "near-duplicates")
+    drop(links, labels, copies, equal, sets)
+    return done

@@ -260,6 +260,7 @@ def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str)
     df = np.zeros(len(places) + 2, np.int64)
     for r in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_batches():
         df[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    shared.destroy()
     df[-2] = df[-1]  # every text has words
     return int(df[-1]), df[:-1]
 
@@ -297,6 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         kind = dict(held.dtypes)["id"]
         rows = held.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+        shared.destroy()
     finally:
         held.unpersist()
     ids, labels_ = rows.column("id").to_pylist(), np.array(rows.column("label").to_pylist(), dtype=np.int64)
