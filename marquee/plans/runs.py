@@ -29,7 +29,8 @@ def run_dataset(spark: SparkSession, reviews_raw: DataFrame, metadata: DataFrame
     """Landed ratings + catalogue -> unique items -> enrichment (J9, S21) -> cleaning -> features (keywords included).
 
     Every stage output is written as a ``run_id`` partition (which also cuts
-    lineage) and gated on being non-empty (S13, record counts, Q14). Returns
+    lineage) and gated on being non-empty (S13, record counts, Q14). Readers see the run's tables together, by its
+    manifest, once all stages have passed; a run that stops on its way stays unseen. Returns
     the one-row run summary (S8), also written next to the tables. The ratings are computed once, from
     their landed table, and the used catalogue is derived from the written final ratings.
     """
@@ -38,8 +39,8 @@ def run_dataset(spark: SparkSession, reviews_raw: DataFrame, metadata: DataFrame
 
     def stage(df, name):
         """Write a stage's rows, gate on their number, continue from the written table."""
-        io.write_table(df, out_root, name, rid, mode="overwrite")
-        out = io.read_latest(spark, out_root, name, rid)
+        path = io.write_table(df, out_root, name, rid, mode="overwrite", visible=False)
+        out = spark.read.parquet(f"{path}/run_id={rid}")
         counts[name] = io.stage_gate(out, name)
         return out
 
@@ -56,6 +57,7 @@ def run_dataset(spark: SparkSession, reviews_raw: DataFrame, metadata: DataFrame
                              {"min_user_reviews": min_user_reviews, "min_item_reviews": min_item_reviews},
                              fr.select("username", "tmdb_id", F.col("rating").cast("double")))
     summary.coalesce(1).write.mode("overwrite").json(f"{out_root.rstrip('/')}/summary/run_id={rid}")
+    io.publish(spark, out_root, rid, counts)
     return summary
 
 

@@ -1,12 +1,14 @@
 """Readers, writers, dataset versions, stage gates, model persistence.
 
-Tables are stored as Parquet partitioned by ``run_id`` (a dataset version);
-"newest" is ``max(run_id)``, a partition filter that prunes the scan.
+Tables are stored as Parquet partitioned by ``run_id`` (a dataset version). Readers see a run once its manifest is there: a small
+file under ``root/_published`` that names the run's tables and their numbers of rows, put in place by one rename after
+all of them are written. A run that stopped on its way is never read, and the tables of a run always belong together.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,11 +56,73 @@ def new_run_id(now: _dt.datetime | None = None) -> str:
     return (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S_%f")
 
 
-def write_table(df: DataFrame, root: str, name: str, run_id: str, mode: str = "append", fmt: str = "parquet") -> str:
-    """Write a table as one ``run_id`` partition of ``root/name``.
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    ``overwrite`` replaces that run's partition only; earlier runs stay."""
+
+def _manifest(root: str, key: str) -> str:
+    return f"{root.rstrip('/')}/_published/{key}.json"
+
+
+def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, int], key: str | None = None) -> None:
+    """Let readers see a run: check that all its tables are there, then put its manifest in place by one rename. A run that is
+    published stays as it is: a second manifest for it raises."""
+    for name in tables:
+        fs, folder = _fs(spark, f"{root.rstrip('/')}/{name}/run_id={run_id}")
+        if not fs.exists(folder):
+            raise FileNotFoundError(f"run {run_id!r} has no table {name!r}")
+    fs, final = _fs(spark, _manifest(root, key or run_id))
+    _, hidden = _fs(spark, _manifest(root, f".{key or run_id}.{new_run_id()}"))
+    out = fs.create(hidden, False)
+    try:
+        out.write(bytearray(json.dumps({"run_id": run_id, "tables": tables}).encode()))
+    finally:
+        out.close()
+    if fs.exists(final) or not fs.rename(hidden, final):
+        fs.delete(hidden, False)
+        raise FileExistsError(f"run {run_id!r} is published already")
+
+
+def withdraw(spark: SparkSession, root: str, key: str) -> None:
+    """Take a manifest away; the files stay."""
+    fs, final = _fs(spark, _manifest(root, key))
+    fs.delete(final, False)
+
+
+def published_runs(spark: SparkSession, root: str) -> list[dict]:
+    """The manifests under ``root``, newest run first: one listing and one small file each."""
+    fs, folder = _fs(spark, f"{root.rstrip('/')}/_published")
+    if not fs.exists(folder):
+        return []
+    found = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".json") and not name.startswith("."):
+            stream = fs.open(status.getPath())
+            try:
+                found.append(json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return sorted(found, key=lambda m: m["run_id"], reverse=True)
+
+
+def read_run(spark: SparkSession, root: str, run_id: str | None = None) -> dict[str, DataFrame]:
+    """All tables of one published run (newest by default), from one manifest: their versions match."""
+    for m in published_runs(spark, root):
+        if run_id in (None, m["run_id"]):
+            return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}/run_id={m['run_id']}") for name in m["tables"]}
+    raise FileNotFoundError(f"no published run {run_id or ''} under {root!r}")
+
+
+def write_table(df: DataFrame, root: str, name: str, run_id: str, mode: str = "append", fmt: str = "parquet", visible: bool = True) -> str:
+    """Write a table as one ``run_id`` partition of ``root/name`` and publish it; with ``visible=False`` it waits for
+    the ``publish`` of its run. ``overwrite`` replaces that run's partition only (unseen meanwhile); earlier runs stay."""
     path = f"{root.rstrip('/')}/{name}"
+    spark, key = df.sparkSession, f"{run_id}.{name}"
+    if visible:
+        withdraw(spark, root, key)
     w = df.withColumn("run_id", F.lit(run_id)).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -66,6 +130,12 @@ def write_table(df: DataFrame, root: str, name: str, run_id: str, mode: str = "a
         w.json(path)
     else:
         w.parquet(path)
+    if visible:
+        fmt_reader = {"csv": spark.read.option("header", True).csv, "json": spark.read.json}.get(fmt, spark.read.parquet)
+        fs, folder = _fs(spark, f"{path}/run_id={run_id}")
+        rows = fmt_reader(folder.toString()).count() if fs.exists(folder) else 0
+        if rows:
+            publish(spark, root, run_id, {name: rows}, key)
     return path
 
 
@@ -83,17 +153,16 @@ def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
 
 
 def latest_run_id(spark: SparkSession, root: str, name: str) -> str | None:
-    """Newest dataset version = the largest ``run_id`` among the partition folders."""
-    runs = subfolders(spark, f"{root.rstrip('/')}/{name}", "run_id=")
-    return runs[-1] if runs else None
+    """Newest dataset version = the largest ``run_id`` among the published runs with this table."""
+    return next((m["run_id"] for m in published_runs(spark, root) if name in m["tables"]), None)
 
 
 def read_latest(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
-    """The table of one run (newest by default); the run_id filter prunes partitions."""
-    rid = run_id or latest_run_id(spark, root, name)
-    if rid is None:
-        raise FileNotFoundError(f"no run of {name!r} under {root!r}")
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}/run_id={rid}")
+    """The table of one published run (newest by default); only that run's folder is read."""
+    runs = [m["run_id"] for m in published_runs(spark, root) if name in m["tables"] and run_id in (None, m["run_id"])]
+    if not runs:
+        raise FileNotFoundError(f"no published run of {name!r} under {root!r}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}/run_id={runs[0]}")
 
 
 def newest_file(spark: SparkSession, path_glob: str, patterns: list[str] | None = None) -> DataFrame:
