@@ -348,3 +348,23 @@ def q_money_pairs(spark, sf):
     """A18 + J21: log-log pairs of rows with both measures positive."""
     c = V.catalogue(spark, sf).where((F.col("budget") > 0) & (F.col("revenue") > 0))
     return c.select("tmdb_id", r6(F.log10("budget")).alias("log_budget"), r6(F.log10("revenue")).alias("log_revenue"))
+
+
+VERSION_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("version_profile", "WITH li AS (SELECT * FROM lineitem WHERE year(l_shipdate) >= 1994)" + f"""
+SELECT field, p, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, true AS within_bound
+FROM {long_sql("li", VERSION_COLS)}, (VALUES (0.25), (0.5), (0.75), (0.99)) q(p) GROUP BY field, p
+""")
+def q_version_profile(spark, sf):
+    """A5 / A8 / A9 / A17 over dataset versions: line items sketched once per ship year (a version), the versions from
+    1994 on merged without a scan, and each quantile held against the exact ranks."""
+    from marquee.operators import sketches
+    probs = (0.25, 0.5, 0.75, 0.99)
+    li = V.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("version"), *VERSION_COLS)
+    stored = checkpoint(sketches.run_sketches(li, VERSION_COLS, by="version"))
+    prof = checkpoint(sketches.profile(stored.where("version >= 1994"), probs))
+    gaps = sketches.rank_gaps(li.where("version >= 1994"), VERSION_COLS, prof, probs)
+    return gaps.join(prof, "field").select("field", F.col("p").cast("decimal(3,2)").alias("p"), "n", r6("mean").alias("mean"), r6("min").alias("min"), r6("max").alias("max"),
+                                           (F.col("gap") <= 2 * sketches.rank_error()).alias("within_bound"))
