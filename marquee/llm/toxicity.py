@@ -79,9 +79,12 @@ def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """Block-max inverted index of labelled unit vectors."""
+    """Block-max inverted index of labelled unit vectors.
 
-    def __init__(self, vectors: list, labels: np.ndarray, ids: list, n_terms: int, weights: dict[int, float]):
+    With the vectors' counts, lengths and the idf that they were made of it travels as places and counts (six bytes a
+    posting); a worker derives weights, blocks and maxima from them, to the last bit as they were."""
+
+    def __init__(self, vectors: list, labels: np.ndarray, ids: list, n_terms: int, weights: dict[int, float], made_of: tuple | None = None):
         # examples with the same strongest term lie together, so that block maxima tell blocks apart
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1][:-1])]), int(labels[i]), i))
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
@@ -94,12 +97,39 @@ class Index:
         p = p[by]
         self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
         self.w = np.concatenate([vectors[i][1] for i in order])[by]
+        self.starts = np.searchsorted(p, np.arange(n_terms + 1))
+        self.made_of = None
+        if made_of is not None:
+            counts, lengths, idf = made_of
+            c = np.concatenate([counts[i] for i in order])[by]
+            self.made_of = c.astype(np.min_scalar_type(int(c.max(initial=0)))), np.array([lengths[i] for i in order]), idf
+        self._derive(p)
+
+    def _derive(self, p: np.ndarray) -> None:
+        """Blocks and their largest weights from the postings; p: the terms of the postings."""
         key = p * self.blocks + self.at // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.block = (self.at[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.w, first)
-        self.starts = np.searchsorted(p, np.arange(n_terms + 1))
-        self.block_starts = np.searchsorted(p[first], np.arange(n_terms + 1))
+        self.block_starts = np.searchsorted(p[first], np.arange(len(self.starts)))
+
+    def __getstate__(self) -> dict:
+        state = dict(self.__dict__)
+        if self.made_of is not None:
+            for derived in ("w", "block", "top", "block_starts"):
+                state.pop(derived)
+            state["starts"] = state["starts"].astype(np.int32 if len(self.at) < 1 << 31 else np.int64)
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.made_of is not None:
+            counts, lengths, idf = self.made_of
+            self.made_of = None  # not needed again
+            self.starts = self.starts.astype(np.int64)
+            p = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+            self.w = (1 + np.log(counts.astype(np.int64))) * idf[p] / lengths[self.at]
+            self._derive(p)
 
     def postings(self, p: int) -> tuple:
         """Places and weights of a term's examples, and blocks and largest weights."""
@@ -232,10 +262,11 @@ def _fitted(places, idf, ids, labels, starts, at, counts, use, judged, weights,
     def vector(i):
         p, c = at[starts[i]:starts[i + 1]], counts[starts[i]:starts[i + 1]]
         w = (1 + np.log(c)) * idf[p]
-        return p, w / np.sqrt((w * w).sum())
+        length = np.sqrt((w * w).sum())
+        return (p, w / length), c, length
 
-    units = [vector(i) for i in use]
-    index = Index(units, labels[use], [ids[i] for i in use], len(idf), weights)
+    units, own_counts, lengths = zip(*map(vector, use), strict=True)
+    index = Index(units, labels[use], [ids[i] for i in use], len(idf), weights, (own_counts, lengths, idf))
     place = {x: i for i, x in enumerate(index.ids)}
     judged = set(judged)
     some = [(u, i) for u, i in zip(units, use, strict=True) if i in judged]

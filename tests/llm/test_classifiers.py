@@ -62,6 +62,24 @@ def test_index_is_exact():
         assert np.allclose(cosine, np.sort(scores)[::-1][:15]) and np.allclose(scores[best], cosine)
 
 
+def test_index_travels_as_counts():
+    import pickle
+    rng = np.random.default_rng(8)
+    idf = np.append(rng.uniform(1, 5, 400), 1.0)
+    terms = [np.append(np.sort(rng.choice(400, 150, replace=False)), 400) for _ in range(700)]
+    counts = [np.append(rng.integers(1, 4, 150), rng.integers(150, 60_000)) for _ in terms]
+    raw = [(1 + np.log(c)) * idf[p] for p, c in zip(terms, counts)]
+    lengths = [np.sqrt((w * w).sum()) for w in raw]
+    units = [(p, w / n) for p, w, n in zip(terms, raw, lengths)]
+    index = toxicity.Index(units, rng.integers(0, 2, 700), list(range(700)), 401, {0: 1.0, 1: 2.0}, (counts, lengths, idf))
+    plain = toxicity.Index(units, index.labels[np.argsort(index.ids)].astype(int), list(range(700)), 401, {0: 1.0, 1: 2.0})
+    sent = pickle.dumps(index)
+    assert len(sent) < 0.5 * len(pickle.dumps(plain))
+    back = pickle.loads(sent)
+    for name in ("at", "w", "block", "top", "starts", "block_starts", "labels", "weights"):
+        assert (getattr(back, name) == getattr(index, name)).all(), name
+
+
 def test_isotonic_is_monotone():
     x = np.array([0.1, 0.2, 0.2, 0.5, 0.9, 1.0])
     knots, values = toxicity.isotonic(x, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 1.0]), np.ones(6))
