@@ -262,7 +262,9 @@ def rare_group_language(cat: DataFrame, min_count: int = 10, col: str = "origina
 
 
 def fixed_genre_features(cat: DataFrame) -> DataFrame:
-    """fixed-list genre indicators, has_director / has_cast, numeric defaults."""
+    """fixed-list genre indicators, has_director / has_cast, numeric defaults (a catalogue without ``vote_average``
+    has the default in every row)."""
+    vote = F.col("vote_average").cast("double") if "vote_average" in cat.columns else F.lit(None).cast("double")
     cols = [F.col("tmdb_id")]
     for g in FIXED_GENRES:
         cols.append(F.when(F.array_contains(F.coalesce("genres", F.array()), g), 1).otherwise(0)
@@ -271,6 +273,7 @@ def fixed_genre_features(cat: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.size("directors"), F.lit(0)) > 0, 1).otherwise(0).alias("has_known_director"),
         F.when(F.coalesce(F.size("cast"), F.lit(0)) > 0, 1).otherwise(0).alias("has_known_cast"),
         F.coalesce(F.col("year").cast("double"), F.lit(2000.0)).alias("year"),
+        F.coalesce(vote, F.lit(6.0)).alias("vote_average"),
         F.coalesce(F.col("popularity").cast("double"), F.lit(1.0)).alias("popularity"),
     ]
     return cat.select(*cols)

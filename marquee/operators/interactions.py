@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from marquee.session import checkpoint
 
 
-def dense_index(df: DataFrame, col: str, idx: str = "idx") -> DataFrame:
-    """M1: sorted distinct values of ``col`` numbered 0..n-1, fully distributed.
+def dense_index(df: DataFrame, col: str, idx: str = "idx", first_seen: str | None = None) -> DataFrame:
+    """M1: distinct values of ``col`` numbered 0..n-1, fully distributed: in sorted order, or with ``first_seen`` in the order
+    in which they first appear by that column (equal first places by value).
 
-    zipWithIndex pattern in two passes: the sorted distinct values are
+    zipWithIndex pattern in two passes: the ordered distinct values are
     range-partitioned and checkpointed (so both passes see the same layout);
     one small job counts rows per partition (one number per partition), and
     the offsets are added to the position inside each partition. No global
     un-partitioned window is used.
     """
-    d = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    known = df.where(F.col(col).isNotNull())
+    if first_seen is None:
+        d = known.select(col).distinct().orderBy(col)
+    else:
+        d = known.groupBy(col).agg(F.min(first_seen).alias("_first")).orderBy("_first", col).select(col)
     d = d.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
     d = checkpoint(d)

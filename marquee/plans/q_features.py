@@ -236,15 +236,16 @@ def q_rare_group(spark, sf):
     for i, g in enumerate(FE.FIXED_GENRES)) + """,
   CASE WHEN coalesce(len(directors), 0) > 0 THEN 1 ELSE 0 END AS has_known_director,
   CASE WHEN coalesce(len("cast"), 0) > 0 THEN 1 ELSE 0 END AS has_known_cast,
-  coalesce(CAST(year AS DOUBLE), 2000.0) AS year, coalesce(CAST(popularity AS DOUBLE), 1.0) AS popularity
+  coalesce(CAST(year AS DOUBLE), 2000.0) AS year, CASE WHEN tmdb_id % 6 = 0 THEN 6.0 ELSE tmdb_id % 91 / 10.0 END AS vote_average,
+  coalesce(CAST(popularity AS DOUBLE), 1.0) AS popularity
 FROM catalogue
 """)
 def q_fixed_genre(spark, sf):
-    """rows have none, one or two of the fixed genres besides their own."""
+    """rows have none, one or two of the fixed genres besides their own; every sixth has no vote average."""
     named = F.array(*map(F.lit, FE.FIXED_GENRES))
     at = F.col("tmdb_id") % (len(FE.FIXED_GENRES) + 2)
     two = F.filter(named, lambda g, i: (i == at) | (i + 1 == at))
-    cat = V.catalogue(spark, sf)
+    cat = V.catalogue(spark, sf).withColumn("vote_average", F.when(F.col("tmdb_id") % 6 != 0, F.col("tmdb_id") % 91 / 10.0))
     return FE.fixed_genre_features(cat.withColumn("genres", F.concat(F.coalesce("genres", F.array().cast("array<string>")), two)))
 
 

@@ -66,6 +66,14 @@ def q_dense_ids(spark, sf):
     return I.dense_index(V.reviews(spark, sf), "username")
 
 
+@query("dense_ids_first_seen", with_views("reviews") + """
+SELECT item, row_number() OVER (ORDER BY min(seq), item) - 1 AS idx FROM reviews GROUP BY item
+""")
+def q_dense_ids_first_seen(spark, sf):
+    """M1: items numbered in the order of their first rating."""
+    return I.dense_index(V.reviews(spark, sf), "item", first_seen="seq")
+
+
 @query("holdout_split", INTER_SQL + 'SELECT "user", item, rating, is_test FROM split')
 def q_holdout_split(spark, sf):
     return split(spark, sf)
