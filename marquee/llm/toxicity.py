@@ -107,29 +107,27 @@ class Index:
 
     def _derive(self, p: np.ndarray) -> None:
         """Blocks and their largest weights from the postings; p: the terms of the postings."""
-        key = p * self.blocks + self.at // BLOCK
+        key = p.astype(np.int64) * self.blocks + self.at // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.block = (self.at[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.w, first)
         self.block_starts = np.searchsorted(p[first], np.arange(len(self.starts)))
 
-    def __getstate__(self) -> dict:
-        state = dict(self.__dict__)
+    def pack(self) -> "Index":
+        """Drop what ``unpack`` can derive again."""
         if self.made_of is not None:
-            for derived in ("w", "block", "top", "block_starts"):
-                state.pop(derived)
-            state["starts"] = state["starts"].astype(np.int32 if len(self.at) < 1 << 31 else np.int64)
-        return state
+            self.w = self.block = self.top = self.block_starts = None
+        return self
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        if self.made_of is not None:
-            counts, lengths, idf = self.made_of
-            self.made_of = None  # not needed again
-            self.starts = self.starts.astype(np.int64)
-            p = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-            self.w = (1 + np.log(counts.astype(np.int64))) * idf[p] / lengths[self.at]
-            self._derive(p)
+    def unpack(self) -> None:
+        counts, lengths, idf = self.made_of
+        p = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        self.w = (1 + np.log(counts.astype(np.int64))) * idf[p] / lengths[self.at]
+        self._derive(p)
+
+    def __getstate__(self) -> dict:
+        derived = ("w", "block", "top", "block_starts") if self.made_of is not None else ()
+        return {k: None if k in derived else v for k, v in self.__dict__.items()}
 
     def postings(self, p: int) -> tuple:
         """Places and weights of a term's examples, and blocks and largest weights."""
@@ -138,6 +136,8 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: index order), nearest first, and the cosines. Exact."""
+        if self.w is None:
+            self.unpack()
         lists = [self.postings(p) for p in at.tolist()]
         tops = np.concatenate([x * t[3] for t, x in zip(lists, w, strict=True)])
         bound = np.bincount(np.concatenate([t[2] for t in lists]), tops, self.blocks)
@@ -270,9 +270,10 @@ def _fitted(places, idf, ids, labels, starts, at, counts, use, judged, weights,
     place = {x: i for i, x in enumerate(index.ids)}
     judged = set(judged)
     some = [(u, i) for u, i in zip(units, use, strict=True) if i in judged]
+    del units, own_counts
     raw = np.array([index.vote(*index.nearest(*u, NEIGHBOURS, place[ids[i]]), base) for u, i in some])
     knots, values = isotonic(raw, np.array([float(labels[i]) for _, i in some]), np.array([weights[int(labels[i])] for _, i in some]))
-    return Model(places, idf, index, base, empty, knots, values)
+    return Model(places, idf, index.pack(), base, empty, knots, values)
 
 
 def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str) -> tuple[int, np.ndarray]:
@@ -334,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         held.unpersist()
     ids, labels_ = rows.column("id").to_pylist(), np.array(rows.column("label").to_pylist(), dtype=np.int64)
     lengths = np.array([len(x) for x in rows.column("terms")], dtype=np.int64)
-    at, counts = (np.array(rows.column(c).combine_chunks().flatten() if rows.num_rows else [], dtype=np.int64) for c in ("terms", "counts"))
+    at, counts = (np.array(rows.column(c).combine_chunks().flatten() if rows.num_rows else [], dtype=np.int32) for c in ("terms", "counts"))
     del rows
     sampled = Counter(labels_.tolist())
     weights = {y: total[y] / sampled[y] for y in sampled}
@@ -361,7 +362,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     share_of_ones([i for i in bare if not lengths[i]]))
     if not full:
         return Model({}, np.zeros(0), None, base, whole.empty, np.zeros(1), np.zeros(1), whole)
-    model = _fitted({t: i for i, t in enumerate(vocabulary)}, idf[chosen_], ids, labels_, inside, own[at][kept], counts[kept], full, full, weights, base, whole.empty)
+    model = _fitted({t: i for i, t in enumerate(vocabulary)}, idf[chosen_], ids, labels_, inside, own[at][kept].astype(np.int32), counts[kept], full, full, weights, base, whole.empty)
     model.whole = whole
     return model
 

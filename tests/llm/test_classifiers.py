@@ -76,6 +76,7 @@ def test_index_travels_as_counts():
     sent = pickle.dumps(index)
     assert len(sent) < 0.5 * len(pickle.dumps(plain))
     back = pickle.loads(sent)
+    assert (back.nearest(*units[5], 9)[1] == index.nearest(*units[5], 9)[1]).all()
     for name in ("at", "w", "block", "top", "starts", "block_starts", "labels", "weights"):
         assert (getattr(back, name) == getattr(index, name)).all(), name
 
