@@ -354,7 +354,7 @@ VERSION_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
 @query("version_profile", "WITH li AS (SELECT * FROM lineitem WHERE year(l_shipdate) >= 1994)" + f"""
-SELECT field, p, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, true AS within_bound
+SELECT field, CAST(p AS DOUBLE) AS p, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, true AS within_bound
 FROM {long_sql("li", VERSION_COLS)}, (VALUES (0.25), (0.5), (0.75), (0.99)) q(p) GROUP BY field, p
 """)
 def q_version_profile(spark, sf):
@@ -366,5 +366,5 @@ def q_version_profile(spark, sf):
     stored = checkpoint(sketches.run_sketches(li, VERSION_COLS, by="version"))
     prof = checkpoint(sketches.profile(stored.where("version >= 1994"), probs))
     gaps = sketches.rank_gaps(li.where("version >= 1994"), VERSION_COLS, prof, probs)
-    return gaps.join(prof, "field").select("field", F.col("p").cast("decimal(3,2)").alias("p"), "n", r6("mean").alias("mean"), r6("min").alias("min"), r6("max").alias("max"),
+    return gaps.join(prof, "field").select("field", "p", "n", r6("mean").alias("mean"), r6("min").alias("min"), r6("max").alias("max"),
                                            (F.col("gap") <= 2 * sketches.rank_error()).alias("within_bound"))
