@@ -329,14 +329,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                      pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
 
         kind = dict(held.dtypes)["id"]
-        rows = held.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+        rows = held.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").orderBy("id").toArrow()
         shared.destroy()
     finally:
         held.unpersist()
     ids, labels_ = rows.column("id").to_pylist(), np.array(rows.column("label").to_pylist(), dtype=np.int64)
-    lengths = np.array([len(x) for x in rows.column("terms")], dtype=np.int64)
-    at, counts = (np.array(rows.column(c).combine_chunks().flatten() if rows.num_rows else [], dtype=np.int32) for c in ("terms", "counts"))
+    lengths = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in rows.column("terms").chunks)])
+    # one copy of each, and the memory of the table back at once: the driver holds little
+    flat = []
+    for c in ("terms", "counts"):
+        flat.append(np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in rows.column(c).chunks)]))
+        rows = rows.drop_columns([c])
+    at, counts = flat
     del rows
+    pa.default_memory_pool().release_unused()
     sampled = Counter(labels_.tolist())
     weights = {y: total[y] / sampled[y] for y in sampled}
     base = total.get(1, 0) / max(1, sum(total.values()))
