@@ -20,8 +20,8 @@ import zlib
 import numpy as np
 
 SCALE_BITS = 20
-LANES = 1024
-CHECKPOINT_STEPS = 128
+LANES = 2048
+CHECKPOINT_STEPS = 64
 _LOW = np.uint64(1 << 31)
 _HEAD, _HEAD_BYTES = "<4sIIIIII", 28
 _MAGIC = b"MQA1"
@@ -62,9 +62,9 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = CHECK
     words, saved = [], []
     back = 0  # words given off so far, counted from the end of the block
     for s in range(steps - 1, -1, -1):
-        sym = ids[s * lanes:(s + 1) * lanes]
+        sym = ids[s * lanes:(s + 1) * lanes].astype(np.int64)
         k = len(sym)
-        f, x = table.freq[sym], state[:k]
+        f, x = table.freq.take(sym), state[:k]
         over = x >= (f << np.uint64(43))  # (2^31 / 2^20) * 2^32 * f
         if over.any():
             out = x[over].astype(np.uint32)
@@ -72,7 +72,7 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = CHECK
             back += len(out)
             x = np.where(over, x >> low32, x)
         q = x // f
-        state[:k] = (q << bits) + (x - q * f) + table.start[sym]
+        state[:k] = (q << bits) + (x - q * f) + table.start.take(sym)
         if s % every == 0:
             saved.append((s, back, state.copy()))
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
@@ -105,9 +105,9 @@ def decode(block: bytes, table: Table, checkpoint: int = 0, checkpoints: int | N
         k = min(lanes, n - s * lanes)
         x = state[:k]
         slot = x & mask
-        sym = symbol[slot.astype(np.int64)]
+        sym = symbol.take(slot.view(np.int64)).astype(np.int64)
         out[(s - first) * lanes:(s - first) * lanes + k] = sym
-        x = freq[sym] * (x >> bits) + slot - start[sym]
+        x = freq.take(sym) * (x >> bits) + slot - start.take(sym)
         under = x < _LOW
         m = int(np.count_nonzero(under))
         if m:

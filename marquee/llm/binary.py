@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import ans
-from marquee.llm.common import prepare, shuffle_partitions, spool
-from marquee.llm.tokens import ByteEncoder, string_column, worker_encoder
+from marquee.llm.common import drop, prepare, shuffle_partitions, spool
+from marquee.llm.tokens import PreTokenEncoder, string_column, worker_encoder
 
 #: A block is closed at the first document end at or after this many ids.
 BLOCK_IDS = 1 << 18
@@ -36,51 +36,51 @@ def _range_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
 
 
 def encoded(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text_col: str, symbols: int) -> DataFrame:
-    """(bucket, id, n, ids): compressed 16- or 32-bit ids of each text with ``end_id`` after it;
-    buckets are ascending ranges of the id, null ids first."""
+    """(bucket, id, n, ids, counts): 16- or 32-bit ids of each text with ``end_id`` after it; buckets are ascending
+    ranges of the id, null ids first. The last row of a task has no bucket, but how often each id occurred."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
     bounds = _range_bounds(docs, id_col, shuffle_partitions(spark))
     end, width = int(end_id).to_bytes(4, "little"), _width(symbols)
 
+    def rows(bucket, keys, n, ids, counts):
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()),
+                                           pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
+                                          names=["bucket", "id", "n", "ids", "counts"])
+
     def encode(batches):
-        import zstandard
-        enc, pack = worker_encoder(ByteEncoder, shared), zstandard.ZstdCompressor(level=3).compress
+        enc, total = worker_encoder(PreTokenEncoder, shared), np.zeros(symbols, np.int64)
         for b in batches:
-            keys, n, out = string_column(b, "id"), [], []
+            keys, out = string_column(b, "id"), []
             for t in string_column(b, "text"):
-                ids = np.frombuffer(enc.ids(t) + end, "<u4")
-                n.append(len(ids))
-                out.append(pack(ids.astype(width)))
+                out.append(np.frombuffer(enc.ids(t) + end, "<u4").astype(width))
+            if out:
+                total += np.bincount(np.concatenate(out), minlength=symbols)
             bucket = [0 if k is None else bisect_left(bounds, k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()),
-                                              pa.array(out, pa.binary())], names=["bucket", "id", "n", "ids"])
+            yield rows(bucket, keys, [len(ids) for ids in out], [ids.tobytes() for ids in out], [None] * len(out))
+        yield rows([None], [None], [None], [None], [total.tobytes()])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return src.mapInArrow(encode, "bucket int, id long, n long, ids binary")
+    return src.mapInArrow(encode, "bucket int, id long, n long, ids binary, counts binary")
 
 
 def _width(symbols: int) -> str:
     return "<u2" if symbols <= 1 << 16 else "<u4"
 
 
-def _unpacked(blobs: list[bytes], symbols: int) -> list[np.ndarray]:
-    import zstandard
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [np.frombuffer(unpack(b), _width(symbols)) for b in blobs]
-
-
 def id_counts(tokens: DataFrame, symbols: int) -> np.ndarray:
-    """How often each id occurs in all rows; a task sends one row per id that it has seen."""
-    def count(batches):
+    """How often each id occurs in all rows of ``encoded``, from the counts of its tasks; the ids are not read."""
+    def add(batches):
         total = np.zeros(symbols, np.int64)
         for b in batches:
-            total += np.bincount(np.concatenate(_unpacked(string_column(b, "ids"), symbols)), minlength=symbols)
+            for c in string_column(b, "counts"):
+                total += np.frombuffer(c, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     counts = np.zeros(symbols, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    own = tokens.where("counts is not null").select("counts")
+    for r in own.mapInArrow(add, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -90,7 +90,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int = 0, id_col: str
     """Encode every whole text and write the ids as a table of blocks in the shared folder.
 
     Texts are encoded once into a written table; its id counts give the frequency table that all
-    blocks share; then the compressed ids (not the texts) are sorted by document id and coded.
+    blocks share; then the ids (not the texts) are sorted by document id and coded.
     Returns (blocks, counts): ``ans.Table(counts)`` decodes the blocks.
 
     Null text counts as empty (its only id is ``end_id``). Null document ids come first. Rows with
@@ -101,12 +101,12 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int = 0, id_col: str
     prepare(spark)
     tokens = spool(encoded(docs, tokenizer_json, end_id, id_col, text_col, symbols), "tokens")
     counts = id_counts(tokens, symbols)
-    sums = {r.bucket: r.n for r in tokens.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    sums = {r.bucket: r.n for r in tokens.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     base, at = {}, 0
     for k in sorted(sums):
         base[k] = at
         at += sums[k]
-    shared = spark.sparkContext.broadcast((counts, base))
+    shared, width = spark.sparkContext.broadcast((counts, base)), _width(symbols)
 
     def code(batches):
         counts, base = shared.value
@@ -119,7 +119,8 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int = 0, id_col: str
                                                "block": [ans.encode(ids, table)]}, schema=_BLOCKS)
 
         for b in batches:
-            for k, key, ids in zip(string_column(b, "bucket"), string_column(b, "id"), _unpacked(string_column(b, "ids"), symbols), strict=True):
+            for k, key, raw in zip(string_column(b, "bucket"), string_column(b, "id"), string_column(b, "ids"), strict=True):
+                ids = np.frombuffer(raw, width)
                 if k != bucket:
                     if parts:
                         yield block()
@@ -133,9 +134,11 @@ def write_ids(docs: DataFrame, tokenizer_json: str, end_id: int = 0, id_col: str
         if parts:
             yield block()
 
-    ordered = tokens.repartitionById(max(1, len(sums) and max(sums) + 1), F.col("bucket")).sortWithinPartitions("bucket", "id", "n", "ids")
+    ordered = tokens.where("bucket is not null").drop("counts").repartitionById(max(1, len(sums) and max(sums) + 1), F.col("bucket")).sortWithinPartitions("bucket", "id", "n", "ids")
     blocks = ordered.mapInArrow(code, "first_start long, doc_ids array<long>, lengths array<long>, block binary")
-    return spool(blocks, "token-blocks"), counts
+    written = spool(blocks, "token-blocks")
+    drop(tokens)
+    return written, counts
 
 
 def read_ids(blocks: DataFrame, counts: np.ndarray) -> DataFrame:

@@ -211,6 +211,21 @@ class ByteEncoder(_Pieces):
         return _PIECE.findall(text)
 
 
+#: The letters and numbers below U+0250, and what the direct pattern leaves to the general one: Python's
+#: odd spaces, and everything above but the punctuation of U+2010 to U+2027.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_OTHER = re.compile("[\x1c-\x1f\u0250-\u200f\u2028-\U0010ffff]")
+_DIRECT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+
+
+class PreTokenEncoder(ByteEncoder):
+    """As ByteEncoder, but texts of Latin letters and common punctuation are cut at once into the vocabulary's own
+    pre-tokens: a word and the sign behind it are two entries that other words share, not one of their own."""
+
+    def pieces(self, text: str) -> list[str]:
+        return super().pieces(text) if _OTHER.search(text) else _DIRECT.findall(text)
+
+
 class WordEncoder(_Pieces):
     """Lower-cased BPE with word ends: white space separates and is dropped."""
 

@@ -25,14 +25,22 @@ def library(name):
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("encoder", "name"), [(tokens.ByteEncoder, BYTE_TOKENIZER), (tokens.WordEncoder, WORD_TOKENIZER)])
+@pytest.mark.parametrize(("encoder", "name"), [(tokens.ByteEncoder, BYTE_TOKENIZER), (tokens.PreTokenEncoder, BYTE_TOKENIZER), (tokens.WordEncoder, WORD_TOKENIZER)])
 def test_cached_encoding_equals_the_library(encoder, name):
     whole, own = library(name), encoder(tokenizer_file(name).decode())
-    texts = [r[1] or "" for r in ODD] + ["Don't  we'll 12 34\n\n\n x", "İ ſ ŉ Σας", "\x00 a\x00b", "à̧ \u0085", "'S 'LL x's"]
+    texts = [r[1] or "" for r in ODD] + ["Don't  we'll 12 34\n\n\n x", "İ ſ ŉ Σας", "\x00 a\x00b", "à̧ \u0085", "'S 'LL x's",
+                                            "don''t 's 've x'll. e² ¼½ ªº §5 3rd\xa0 x\x85\n y", " “it’s” — a…b ‐ ‧ ", "a\u2028b\u200bc ɐ", "\x1c a'd  \n b\t\tc"]
     for t in texts + texts:  # the second time from the cache
         assert own.ids(t) == array("I", whole(t)).tobytes()
 
 
+def test_direct_pre_tokens_of_every_plain_character():
+    whole, own = library(BYTE_TOKENIZER), tokens.PreTokenEncoder(tokenizer_file(BYTE_TOKENIZER).decode())
+    for c in map(chr, [*range(0x250), *range(0x2010, 0x2028)]):
+        t = f"a{c}b {c}{c} 1{c}2  {c}'s {c}"
+        assert own.ids(t) == array("I", whole(t)).tobytes(), hex(ord(c))
+
+
 def test_cache_keeps_two_generations():
     class Upper(tokens.Cache):
         made = 0
