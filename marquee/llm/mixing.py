@@ -9,6 +9,7 @@ the number of patterns, never of documents. Documents are then chosen within eac
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 4096
 #: Rows by pattern or of picked documents are broadcast up to this many.
 BROADCAST_ROWS = 2_000_000
-#: Most membership patterns for which a flow is solved on the driver.
+#: Most patterns of overlapping sources for which a flow is solved on the driver. Sources that overlap with none need no flow.
 MAX_PATTERNS = 100_000
 
 
@@ -111,6 +112,22 @@ def route(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple,
     return flow
 
 
+def routed(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple, dict]:
+    """As ``route``, which is asked only where sources overlap: a source that no other pattern holds takes its quota from
+    its own pattern as far as the repetitions reach, so any number of such sources costs one step each."""
+    patterns_of = Counter(s for p in capacity for s in p)
+    alone = {p for p in capacity if len(p) == 1 and patterns_of[p[0]] == 1}
+    overlapping = {p: n for p, n in capacity.items() if p not in alone}
+    if len(overlapping) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns")
+    held = {s for p in overlapping for s in p}
+    flow = route(overlapping, {s: n for s, n in quota.items() if s in held}, repeats)
+    for p in alone:
+        words = min(quota.get(p[0], 0), repeats * capacity[p])
+        flow[p] = {p[0]: words} if words else {}
+    return flow
+
+
 def _walk(rows: DataFrame) -> DataFrame:
     """Rows of each pattern in seeded order, each taken if it fits what is left of the pattern's ``room``:
     (pattern, row, size) of those taken. A task holds one batch and one number."""
@@ -195,7 +212,8 @@ def mix(docs: DataFrame, weights, sources=None, repeats: int = 3, seed: int = 11
 
     Returns one row per document: id, size (words), sources, source_size and target (sum over its sources), copies (times that
     the mix takes it, 0..repeats), taken (copies * size). Each pattern's taken words differ from its
-    flow by less than one document. Reruns agree: the order is a hash of seed and id.
+    flow by less than one document. Reruns agree: the order is a hash of seed and id. The driver holds one row per membership
+    pattern. More than MAX_PATTERNS patterns of sources that overlap with others raise ValueError: the flow is one driver's work.
 
     Null and empty texts have size 0 and are never needed. Repeated rows share one place in the order. An empty table gives an empty result; other columns are not read.
     """
@@ -206,16 +224,16 @@ def mix(docs: DataFrame, weights, sources=None, repeats: int = 3, seed: int = 11
     sized = spool(docs.select(F.col(id_col).alias("id"), size.alias("size"), own.alias("sources"),
                               F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"), F.monotonically_increasing_id().alias("row"))
                   .withColumn("pattern", F.to_json(F.struct("sources"))), "sized")
-    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     ordered = sorted({s for r in found for s in r.sources}, key=lambda s: (s is None, s or ""))
-    words = {s: sum(r.n for r in found if s in r.sources) for s in ordered}
+    words = Counter()
+    for r in found:
+        words.update(dict.fromkeys(r.sources, r.n))
     total = sum(r.n for r in found)
     target = shares(words, dict(zip(ordered, weights(ordered), strict=True)), repeats)
     if (all_ := sum(target.values())) > 0 and sources is not None:  # overlaps count once in the whole
         target = {s: t * min(1.0, total / all_) for s, t in target.items()}
-    flow = route({tuple(r.sources): int(r.n) for r in found}, {s: round(t) for s, t in target.items()}, repeats)
+    flow = routed({tuple(r.sources): int(r.n) for r in found}, {s: round(t) for s, t in target.items()}, repeats)
     plan = []
     for r in found:
         sent = sum(flow[tuple(r.sources)].values())
@@ -225,8 +243,7 @@ def mix(docs: DataFrame, weights, sources=None, repeats: int = 3, seed: int = 11
     quota = spark.createDataFrame(plan, "pattern string, whole long, want long, source_size long, target double, rows long")
     picked = choose(sized, quota.select("pattern", "want", "rows"))
     copies = F.when(F.col("size") > 0, F.least(F.lit(repeats), F.col("whole") + F.col("chosen").cast("long"))).otherwise(F.lit(0))
-    # one row per pattern, at most MAX_PATTERNS
-    return picked.join(F.broadcast(quota), "pattern").withColumn("copies", copies.cast("long")).select(
+    return picked.join(broadcast_if_small(quota, BROADCAST_ROWS, len(plan)), "pattern").withColumn("copies", copies.cast("long")).select(
         F.col("id").alias(id_col), "size", "sources", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"))
 

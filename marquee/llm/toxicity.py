@@ -385,16 +385,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     prepare(spark)
     shared = share(spark, model)
+    # examples are named by their ids: numbers as long, ids of any other type as text
+    as_text = model.index is not None and any(not isinstance(i, int) for i in model.index.ids[:1])
 
     def judge(batch):
         model, caches = shared_value(shared, "toxicity", lambda model: (model, model.caches()))
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+        kind = pa.list_(pa.struct([("doc_id", pa.string() if as_text else pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
         got = [model.score(t, *caches) for t in string_column(batch, "text")]
         return {"score": pa.array([g[0] for g in got], pa.float64()),
                 "predicted": pa.array([int(g[0] >= threshold) for g in got], pa.int32()),
-                "evidence": pa.array([[{"doc_id": d, "similarity": s, "label": y} for d, s, y in g[1]] for g in got], kind)}
+                "evidence": pa.array([[{"doc_id": str(d) if as_text else d, "similarity": s, "label": y} for d, s, y in g[1]] for g in got], kind)}
 
-    return map_texts(docs, judge, "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,label:int>>",
+    return map_texts(docs, judge, "score double, predicted int, evidence array<struct<"
+                     f"doc_id:{'string' if as_text else 'bigint'},similarity:double,label:int>>",
                      id_col, text_col, carry)
 
 

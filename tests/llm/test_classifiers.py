@@ -134,6 +134,23 @@ def test_texts_without_a_selected_term_have_evidence(spark):
     assert all(got[i].evidence for i in range(900)) and len(model.whole.index.ids) == 900
 
 
+def test_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", ("vile awful words " if i % 3 == 0 else "kind good words ") + f"of day {i % 7}") for i in range(120)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(120)], "doc_id string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train_on(docs, labels)).collect()}
+    assert len(got) == 120 and got["d0"].score > 0.7 > got["d1"].score
+    assert got["d0"].evidence[0].doc_id.startswith("d") and got["d0"].evidence[0].label == 1
+
+
+def test_one_row_of_a_repeated_id_is_the_same_each_time(spark):
+    rows = [(1, "one two three four five six"), (1, "another text of the same id, longer than the first"), (1, None), (2, "seven eight nine ten eleven"), (None, "x"), (None, "x")]
+    keep = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        kept = sorted(((r.doc_id, r.text) for r in keep(spark, docs, SF001).collect()), key=str)
+        assert kept == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     state = {}
@@ -158,7 +175,12 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("at", range(5))
 def test_pipeline_stages_on_odd_rows(spark, odd, empty, at):
     name, stage = corpus_pipeline.STAGES[at]
-    out = stage(spark, odd.drop("id"), SF001).collect()
+    docs = odd.selectExpr("*", "2 as _copies", "3 as _copy", "'z' as c1", "4 as taken", "5 as copies")
+    staged = stage(spark, docs, SF001)
+    out = staged.collect()
+    if name != "packing":
+        assert staged.columns == docs.columns
+    assert all(r._copies == 2 and r.c1 == "z" and r.copies == 5 for r in out if name != "packing")
     ids = [r.doc_id for r in out]
     if name == "language_id":
         assert sorted(ids, key=str) == sorted([5, 6, 7, 7, 8, 9, None], key=str) or set(ids) <= {5, 6, 7, 8, 9, None}

@@ -65,6 +65,20 @@ def test_mixing_overlapping_sources(spark):
     assert max(r.copies for r in rows) <= 3
 
 
+def test_sources_that_overlap_with_none_need_no_flow(monkeypatch):
+    capacity = {("a",): 100, ("b",): 7, (None,): 0, ("c", "d"): 50, ("d",): 20}
+    quota = {"a": 130, "b": 40, None: 0, "c": 60, "d": 60}
+    split, whole = mixing.routed(capacity, quota, 3), mixing.route(capacity, quota, 3)
+    assert {p: sum(f.values()) for p, f in split.items()} == {p: sum(f.values()) for p, f in whole.items()}
+    assert split[("a",)] == {"a": 130} and split[("b",)] == {"b": 21} and split[(None,)] == {}
+    many = {(i,): i for i in range(300_000)}
+    assert sum(sum(f.values()) for f in mixing.routed(many, {i: 2 * i for i in range(300_000)}, 3).values()) == 2 * sum(range(300_000))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    assert mixing.routed({("a",): 1, ("b",): 1}, {"a": 1, "b": 1}, 3)
+    with pytest.raises(ValueError):
+        mixing.routed(capacity, quota, 3)
+
+
 def test_one_hot_source_is_cut_into_slices(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLICE_ROWS", 16)
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(900)], "doc_id long, text string, source string")
@@ -102,7 +116,7 @@ def test_a_long_document_does_not_end_a_source(spark, monkeypatch, slice_rows):
 def test_choice_is_the_same_for_any_slices(spark, monkeypatch):
     sizes = {i: 1 + (i * i * 7919) % 997 for i in range(600)}
     texts = spark.createDataFrame([(i, n, "a" if i % 4 else "b") for i, n in sizes.items()], "id long, size long, pattern string")
-    sized = texts.selectExpr("id", "size", "pattern", "xxhash64(11, id) `order`", "id row").localCheckpoint()
+    sized = texts.selectExpr("id", "size", "pattern", "xxhash64(11, id) `order`", "id row")
     order = [r.id for r in sized.orderBy("order").collect()]
     wanted = spark.createDataFrame([("a", 100_003, 450), ("b", 5_001, 150)], "pattern string, want long, rows long")
     for slice_rows in (4096, 64, 8):
