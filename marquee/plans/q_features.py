@@ -10,6 +10,7 @@ from marquee.functions.vector import r6
 from marquee.operators import features as FE
 from marquee.plans.oracle_views import with_views
 from marquee.plans.registry import query
+from marquee.session import materialise
 from marquee.sources import views as V
 
 CAT = with_views("catalogue")
@@ -256,4 +257,5 @@ def q_fixed_genre(spark, sf):
 def q_final_item_features(spark, sf):
     """R2 on the used catalogue: every family, for the items that have ratings."""
     used = V.reviews(spark, sf).select(F.col("item").alias("tmdb_id")).distinct()
-    return _w(all_features(V.catalogue(spark, sf).join(used, "tmdb_id", "left_semi")))
+    # read by every family
+    return _w(all_features(materialise(V.catalogue(spark, sf).join(used, "tmdb_id", "left_semi"))))
