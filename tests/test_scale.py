@@ -3,6 +3,7 @@
 import glob
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import features as FE
@@ -41,10 +42,12 @@ def test_both_sides_of_the_split_come_from_one_written_table(spark):
 
 
 def test_user_means_are_plain_sums(spark):
-    rows = [("a", 1.0, [1.0, None]), ("a", 3.0, [2.0, 4.0]), ("b", 2.0, [0.5, None])]
-    df = q_model.weighted_means(spark.createDataFrame(rows, "user string, rating double, factors array<double>"), 2)
+    rows, schema = [("a", 1.0, [1.0, 8.0]), ("a", 3.0, [2.0, 4.0]), ("b", 2.0, [0.5, 0.0])], "user string, rating double, factors array<double>"
+    df = q_model.weighted_means(spark.createDataFrame(rows, schema), 2)
     assert "ObjectHashAggregate" not in _plan(df)
-    assert {r.user: r.factors for r in df.collect()} == {"a": [1.75, 3.0], "b": [0.5, None]}
+    assert {r.user: r.factors for r in df.collect()} == {"a": [1.75, 5.0], "b": [0.5, 0.0]}
+    with pytest.raises(Exception, match="null in a vector"):  # never a mean over the others
+        q_model.weighted_means(spark.createDataFrame([*rows, ("b", 1.0, [None, 1.0])], schema), 2).collect()
 
 
 def test_tfidf_counts_chosen_terms_only(spark):
