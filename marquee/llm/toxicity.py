@@ -34,6 +34,8 @@ LEAST_RATIO = 15.0
 TERM_ENTRIES, RESULT_ENTRIES = 300_000, 20_000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Postings whose weights are computed at a time.
+STEP = 1 << 18
 #: Weight of the base rate among the votes.
 PRIOR_VOTES = 0.25
 
@@ -96,22 +98,28 @@ class Index:
         by = np.argsort(p, kind="stable")
         p = p[by]
         self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
-        self.w = np.concatenate([vectors[i][1] for i in order])[by]
-        self.starts = np.searchsorted(p, np.arange(n_terms + 1))
+        self.starts = np.searchsorted(p, np.arange(n_terms + 1, dtype=p.dtype))
         self.made_of = None
-        if made_of is not None:
-            counts, lengths, idf = made_of
-            c = np.concatenate([counts[i] for i in order])[by]
-            self.made_of = c.astype(np.min_scalar_type(int(c.max(initial=0)))), np.array([lengths[i] for i in order]), idf
-        self._derive(p)
+        if made_of is None:
+            self.w = np.concatenate([vectors[i][1] for i in order])[by]
+            self._derive(p)
+            return
+        counts, lengths, idf = made_of
+        c = np.concatenate([counts[i] for i in order])
+        c = c.astype(np.min_scalar_type(int(c.max(initial=0))))[by]
+        self.made_of = c, np.array([lengths[i] for i in order]), idf
+        del by, p
+        self.unpack()
 
     def _derive(self, p: np.ndarray) -> None:
         """Blocks and their largest weights from the postings; p: the terms of the postings."""
-        key = p.astype(np.int64) * self.blocks + self.at // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block = (self.at[first] // BLOCK).astype(np.int32)
+        block = self.at // BLOCK
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.block = block[first].astype(np.int32)
         self.top = np.maximum.reduceat(self.w, first)
-        self.block_starts = np.searchsorted(p[first], np.arange(len(self.starts)))
+        self.block_starts = np.searchsorted(p[first], np.arange(len(self.starts), dtype=p.dtype))
 
     def pack(self) -> "Index":
         """Drop what ``unpack`` can derive again."""
@@ -121,8 +129,11 @@ class Index:
 
     def unpack(self) -> None:
         counts, lengths, idf = self.made_of
-        p = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        self.w = (1 + np.log(counts.astype(np.int64))) * idf[p] / lengths[self.at]
+        p = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+        self.w = np.empty(len(p))
+        for a in range(0, len(p), STEP):
+            own = slice(a, a + STEP)
+            self.w[own] = (1 + np.log(counts[own].astype(np.int64))) * idf[p[own]] / lengths[self.at[own]]
         self._derive(p)
 
     def __getstate__(self) -> dict:
@@ -257,21 +268,35 @@ def _all_terms(examples: DataFrame) -> list[str]:
     return sorted(examples.select("text").mapInArrow(terms, "term string").distinct().toArrow().column(0).to_pylist())
 
 
+class _Units:
+    """Unit vectors (terms, weights) of the examples ``use``, each made when it is asked for: all at once they are larger than
+    the index."""
+
+    def __init__(self, idf, starts, at, counts, use):
+        self.idf = idf
+        self.terms, self.counts = ([x[starts[i]:starts[i + 1]] for i in use] for x in (at, counts))
+        self.lengths = [self._weights(i)[1] for i in range(len(self.terms))]
+
+    def _weights(self, i: int) -> tuple:
+        w = (1 + np.log(self.counts[i])) * self.idf[self.terms[i]]
+        return w, np.sqrt((w * w).sum())
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        w, length = self._weights(i)
+        return self.terms[i], w / length
+
+
 def _fitted(places, idf, ids, labels, starts, at, counts, use, judged, weights, base, empty) -> Model:
     """Model over the examples ``use`` (rows of the flat terms and counts), calibrated on all of those in ``judged``."""
-    def vector(i):
-        p, c = at[starts[i]:starts[i + 1]], counts[starts[i]:starts[i + 1]]
-        w = (1 + np.log(c)) * idf[p]
-        length = np.sqrt((w * w).sum())
-        return (p, w / length), c, length
-
-    units, own_counts, lengths = zip(*map(vector, use), strict=True)
-    index = Index(units, labels[use], [ids[i] for i in use], len(idf), weights, (own_counts, lengths, idf))
+    units = _Units(idf, starts, at, counts, use)
+    index = Index(units, labels[use], [ids[i] for i in use], len(idf), weights, (units.counts, units.lengths, idf))
     place = {x: i for i, x in enumerate(index.ids)}
     judged = set(judged)
-    some = [(u, i) for u, i in zip(units, use, strict=True) if i in judged]
-    del units, own_counts
-    raw = np.array([index.vote(*index.nearest(*u, NEIGHBOURS, place[ids[i]]), base) for u, i in some])
+    some = [(n, i) for n, i in enumerate(use) if i in judged]
+    raw = np.array([index.vote(*index.nearest(*units[n], NEIGHBOURS, place[ids[i]]), base) for n, i in some])
     knots, values = isotonic(raw, np.array([float(labels[i]) for _, i in some]), np.array([weights[int(labels[i])] for _, i in some]))
     return Model(places, idf, index.pack(), base, empty, knots, values)
 
@@ -318,6 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         vocabulary = _selected(held)
         every = _all_terms(held)
         places = {t: i for i, t in enumerate(every)}
+        del every
         shared = spark.sparkContext.broadcast(places)
 
         def vectors(batches):
@@ -356,7 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     idf = np.log((1 + n) / (1 + df)) + 1
     starts = np.concatenate([[0], np.cumsum(lengths)])
     # the vocabulary's terms, and the one for the length
-    own = np.full(len(places) + 1, -1, np.int64)
+    own = np.full(len(places) + 1, -1, np.int32)
     chosen_ = [*(places[t] for t in vocabulary), len(places)]
     own[chosen_] = np.arange(len(chosen_))
     kept = own[at] >= 0
@@ -368,7 +394,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     share_of_ones([i for i in bare if not lengths[i]]))
     if not full:
         return Model({}, np.zeros(0), None, base, whole.empty, np.zeros(1), np.zeros(1), whole)
-    model = _fitted({t: i for i, t in enumerate(vocabulary)}, idf[chosen_], ids, labels_, inside, own[at][kept].astype(np.int32), counts[kept], full, full, weights, base, whole.empty)
+    model = _fitted({t: i for i, t in enumerate(vocabulary)}, idf[chosen_], ids, labels_, inside, own[at[kept]], counts[kept], full, full, weights, base, whole.empty)
     model.whole = whole
     return model
 

@@ -189,3 +189,19 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty, at):
     if name == "packing":
         assert set(ids) == {r[0] for r in ODD}
     assert stage(spark, empty, SF001).count() == 0
+
+
+def test_fitting_holds_little_memory():
+    """A fit holds a few arrays of the postings' number, none of all examples' weights besides the index."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    n, each, terms = 1500, 800, 20_000
+    at = np.sort(np.argsort(rng.random((n, terms), dtype=np.float32), axis=1)[:, :each], axis=1).astype(np.int32).ravel()
+    counts, labels, every = rng.integers(1, 9, n * each).astype(np.int32), rng.integers(0, 2, n), list(range(n))
+    idf, starts = rng.random(terms) + 1, np.arange(0, n * each + 1, each)
+    tracemalloc.start()
+    model = toxicity._fitted({str(i): i for i in range(terms)}, idf, every, labels, starts, at, counts, every, every[:20], {0: 1.0, 1: 1.0}, 0.5, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.index.at) == n * each
+    assert peak < 48 * n * each
