@@ -76,3 +76,19 @@ def test_late_files_are_dealt_over_tasks(spark, monkeypatch):
     assert [q_runs.files_per_batch(n) for n in (1, 5, 6, 7, 90)] == [2, 2, 2, 3, 30]
     monkeypatch.setattr(q_runs, "STREAM_FILE_ROWS", 50_000)
     assert {tuple(r) for r in q_runs.q_stream_replace(spark, SF001).collect()} == want
+
+
+def test_auc_items_travel_many_to_a_row(spark, monkeypatch):
+    from marquee.operators import score
+    v = np.arange(3000.0).reshape(1000, 3)
+    items = spark.createDataFrame([(i, x.tolist(), float(i)) for i, x in enumerate(v)], "item long, factors array<double>, bias double").repartition(2)
+    rows = score._packed(items).collect()
+    assert len(rows) < 20 and all(r.n <= score.PACKED // 4 for r in rows)
+    got = np.concatenate([np.array(r.v).reshape(r.n, -1) for r in rows])
+    assert sorted(map(tuple, got)) == sorted((*x, float(i)) for i, x in enumerate(v))
+    monkeypatch.setattr(score, "PACKED", 8)  # several rows to a chunk, several chunks, one user to a tile
+    monkeypatch.setattr(score, "ITEM_ROWS", 300)
+    monkeypatch.setattr(score, "TILE", 300)
+    users = spark.createDataFrame([(u, [1.0, -1.0, 0.5 * u]) for u in range(5)], "user long, factors array<double>")
+    pos = spark.createDataFrame([(u, i) for u in range(5) for i in (0, 250, 999)], "user long, item long")
+    assert {r.user: r.auc for r in score.blocked_auc(users, items, pos).collect()} == {u: (0 + 249 + 997) / (3 * 997) for u in range(5)}
