@@ -92,3 +92,21 @@ def test_auc_items_travel_many_to_a_row(spark, monkeypatch):
     users = spark.createDataFrame([(u, [1.0, -1.0, 0.5 * u]) for u in range(5)], "user long, factors array<double>")
     pos = spark.createDataFrame([(u, i) for u in range(5) for i in (0, 250, 999)], "user long, item long")
     assert {r.user: r.auc for r in score.blocked_auc(users, items, pos).collect()} == {u: (0 + 249 + 997) / (3 * 997) for u in range(5)}
+
+
+def test_hybrid_keeps_one_epoch_on_disk(spark):
+    from marquee.operators.hybrid import HybridModel
+    rows = [(u, i, 5.0) for u in range(30) for i in range(u % 5, 40, 3)]
+    train = spark.createDataFrame(rows, "user long, item long, rating double")
+    feats = spark.createDataFrame([(i, "id", f"id:{i}", 1.0) for i in range(40)], "tmdb_id long, family string, feature string, weight double")
+    base, left = ensure_checkpoint_dir(spark), []
+    for epochs in (1, 3):
+        before = {f for f in glob.glob(f"{base}/**", recursive=True) if f.endswith(".parquet") or "part-" in f}
+        m = HybridModel(k=4, epochs=epochs, user_blocks=2).fit(train, feats)
+        after = {f for f in glob.glob(f"{base}/**", recursive=True) if f.endswith(".parquet") or "part-" in f}
+        left.append({f.split("/tables/")[1].split("/")[0] for f in after - before})
+        assert m.users.count() == 30 and m.embeddings.count() == 40
+    assert len(left[0]) == len(left[1]) == 3  # features, users, embeddings
+    vectors = m.item_vectors()
+    assert m.item_vectors() is vectors and vectors.count() == 40
+    assert "ObjectHashAggregate" not in _plan(vectors)
