@@ -101,9 +101,9 @@ def test_hybrid_keeps_one_epoch_on_disk(spark):
     feats = spark.createDataFrame([(i, "id", f"id:{i}", 1.0) for i in range(40)], "tmdb_id long, family string, feature string, weight double")
     base, left = ensure_checkpoint_dir(spark), []
     for epochs in (1, 3):
-        before = {f for f in glob.glob(f"{base}/**", recursive=True) if f.endswith(".parquet") or "part-" in f}
+        before = {f for f in glob.glob(f"{base}/**", recursive=True) if "/tables/" in f and f.endswith(".parquet")}
         m = HybridModel(k=4, epochs=epochs, user_blocks=2).fit(train, feats)
-        after = {f for f in glob.glob(f"{base}/**", recursive=True) if f.endswith(".parquet") or "part-" in f}
+        after = {f for f in glob.glob(f"{base}/**", recursive=True) if "/tables/" in f and f.endswith(".parquet")}
         left.append({f.split("/tables/")[1].split("/")[0] for f in after - before})
         assert m.users.count() == 30 and m.embeddings.count() == 40
     assert len(left[0]) == len(left[1]) == 3  # features, users, embeddings
