@@ -48,7 +48,7 @@ def q_frequent_items(spark, sf):
     + ") ORDER BY appearance_count DESC, title ASC LIMIT 10")
 def q_unique_items_top10(spark, sf):
     # K1 + K4: a head-N report over the sorted items (the limit is the feature).
-    return catalog.sort_unique_items(catalog.unique_items(V.reviews(spark, sf), 10, 5)).limit(10)
+    return catalog.sort_unique_items(catalog.unique_items(V.reviews(spark, sf), 10, 5, stored=True)).limit(10)
 
 
 # ---------------------------------------------------------------- J1-J3, A19

@@ -45,7 +45,7 @@ def run_dataset(spark: SparkSession, reviews_raw: DataFrame, metadata: DataFrame
         return out
 
     raw = stage(reviews_raw, "raw_ratings")
-    items = stage(catalog.unique_items(raw, min_user_reviews, min_item_reviews), "unique_items")
+    items = stage(catalog.unique_items(raw, min_user_reviews, min_item_reviews, stored=True), "unique_items")
     found = metadata.select("title", "year", *[c for c in ("runtime", "genres", "directors", "cast", "release_date") if c in metadata.columns], "seq")
     stage(catalog.enrich_unique_items(items, found), "enriched_items")
     repaired = resolve.repair_catalogue_year(metadata)
