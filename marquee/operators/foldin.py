@@ -20,6 +20,11 @@ from marquee.session import checkpoint
 from marquee.sources.bucketed import BucketedTable
 
 
+#: Vectors up to this length are summed number by number in a hash aggregate over the users (k (k + 1) / 2 + k sums); longer ones
+#: as whole buffers, which are sorted by user.
+PLAIN_RANK = 8
+
+
 class NothingMatched(ValueError):
     """No rating of the batch could be matched to the catalogue."""
 
@@ -35,8 +40,16 @@ def fold_in(ratings: DataFrame, item_vectors: DataFrame, reg: float = 0.1) -> Da
     bias = F.col("bias").cast("double") if "bias" in item_vectors.columns else F.lit(0.0)
     v = item_vectors.select(F.col("item").alias("_i"), F.col("factors").cast("array<double>").alias("v"), bias.alias("b"))
     j = ratings.where(F.col("rating").isNotNull()).join(v, F.col("item") == F.col("_i"))
-    sums = j.select("user", F.concat(_triangle(F.col("v")), F.transform("v", lambda x: x * (F.col("rating") - F.col("b")))).alias("s")) \
-        .groupBy("user").agg(vsum(F.col("s")).alias("s"), F.count(F.lit(1)).alias("n_ratings"))
+    sizes = v.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if sizes[0] == sizes[1] and 0 < (sizes[0] or 0) <= PLAIN_RANK:
+        k = sizes[0]
+        null = F.raise_error(F.lit("null in a vector to be summed")).cast("double")
+        cells = [F.col("v")[a] * F.col("v")[b] for a in range(k) for b in range(a, k)] + [F.col("v")[a] * (F.col("rating") - F.col("b")) for a in range(k)]
+        plain = j.groupBy("user").agg(*[F.sum(F.coalesce(x, null)).alias(f"_s{n}") for n, x in enumerate(cells)], F.count(F.lit(1)).alias("n_ratings"))
+        sums = plain.select("user", F.array(*[F.col(f"_s{n}") for n in range(len(cells))]).alias("s"), "n_ratings")
+    else:
+        sums = j.select("user", F.concat(_triangle(F.col("v")), F.transform("v", lambda x: x * (F.col("rating") - F.col("b")))).alias("s")) \
+            .groupBy("user").agg(vsum(F.col("s")).alias("s"), F.count(F.lit(1)).alias("n_ratings"))
 
     def solve(batches):
         for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
