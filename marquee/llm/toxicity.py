@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index with block maxima.
 
 Terms are words and word beginnings. The vocabulary is what labelled examples show to go with one label
 (likelihood ratio), and one more term stands for all words of a text: it tells many hits in a short text from a
@@ -11,9 +11,12 @@ themselves, each left out of its own vote.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import crc_remainder, map_texts, prepare, share, shared_value, spool
-from marquee.llm.tokens import Cache, string_column
+from marquee.llm.tokens import string_column
 
 #: Labelled rows that the index holds, for each label: a documented bound.
 EXAMPLES = 5000
@@ -30,12 +33,20 @@ EXAMPLES = 5000
 VOCABULARY = 4096
 LEAST_EXAMPLES = 4
 LEAST_RATIO = 15.0
-#: Entries of each generation of a worker's cache of tokens, and of its results for equal vectors.
-TERM_ENTRIES, RESULT_ENTRIES = 300_000, 20_000
+#: Tokens that a worker knows before it forgets them all (long ones by their letters), and its results for equal vectors.
+TERM_ENTRIES, TERM_LETTERS, RESULT_ENTRIES = 300_000, 24, 20_000
+#: Letters of the texts that are taken apart at a time (one text at least).
+LETTERS = 1 << 20
 NEIGHBOURS = 15
 BLOCK = 64
 #: Postings whose weights are computed at a time.
 STEP = 1 << 18
+#: Postings of a text from which on blocks are passed over: up to that, adding all up costs less than choosing.
+BOUNDED = 1 << 20
+#: Terms that at least one in FULL_SHARE examples has are held as whole rows as well, the most frequent FULL_ROWS.
+FULL_ROWS, FULL_SHARE = 256, 4
+#: What an index derives from its postings.
+DERIVED = ("w", "block", "top", "block_starts", "ends", "row", "full")
 #: Weight of the base rate among the votes.
 PRIOR_VOTES = 0.25
 
@@ -44,40 +55,102 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def word_terms(word: str) -> list[str]:
     """A word, marked as whole, and its beginnings of 4 and 5 letters."""
-    return [word + "$", *(word[:n] for n in (4, 5) if len(word) >= n)]
+    return [word + "$", word[:4], word[:5]][:max(1, len(word) - 2)]
 
 
-class _Terms(Cache):
-    """white-space token -> places of its terms in the vocabulary."""
+class _Terms(dict):
+    """white-space token -> a number for its terms in the vocabulary (0: none)."""
 
     def __init__(self, places: dict[str, int]):
-        super().__init__(TERM_ENTRIES)
+        super().__init__()
         self.places = places
         self.heads = {t.rstrip("$")[:4] for t in places}  # how a word with a term begins
-
-    def make(self, token: str) -> tuple[int, ...]:
-        words = [token] if token.isalpha() else _WORD.findall(token)
-        return tuple(self.places[t] for w in words if w[:4] in self.heads for t in word_terms(w) if t in self.places)
-
-
-def term_counts(text: str | None, terms: _Terms) -> dict[int, int]:
-    """Occurrences of the vocabulary's terms, and at the place after them the number of words; empty without a term."""
-    out: dict[int, int] = {}
-    tokens = (text or "").lower().split()
-    for token, n in Counter(tokens).items():
-        for p in terms[token]:
-            out[p] = out.get(p, 0) + n
-    if out:
-        out[len(terms.places)] = len(tokens)
-    return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.letters = 0
+        self.flat, self.starts = array("i"), array("q", [0, 0])  # places of the terms of number 0, 1, 2, ...
+
+    def __missing__(self, token: str) -> int:
+        words = (token,) if token.isalpha() else _WORD.findall(token)
+        number, heads = 0, self.heads
+        if len(words) == 1 and words[0] != token:  # a word and its punctuation
+            if words[0][:4] in heads:
+                number = self[words[0]]
+        else:
+            place, flat = self.places.get, self.flat
+            for w in words:
+                if w[:4] in heads:
+                    for t in word_terms(w):
+                        p = place(t)
+                        if p is not None:
+                            flat.append(p)
+            if len(flat) > self.starts[-1]:
+                number = len(self.starts) - 1
+                self.starts.append(len(flat))
+        if len(token) > TERM_LETTERS:
+            self.letters += len(token)
+        self[token] = number
+        return number
+
+    def found(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Of all tokens, text after text: the places of their terms, and the number of the text that each is from."""
+        if len(self) >= TERM_ENTRIES or self.letters >= TERM_ENTRIES * TERM_LETTERS:
+            self._forget()
+        sizes = [len(t) for t in texts]
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        used = np.flatnonzero(number)
+        if not len(used):
+            return used, used
+        number, row = number[used], np.repeat(np.arange(len(texts)), sizes)[used]
+        starts = np.frombuffer(self.starts, np.int64)
+        first = starts[number]
+        each = starts[number + 1] - first
+        return np.frombuffer(self.flat, np.int32)[_ranges(first, each)], np.repeat(row, each)
+
+
+def _ranges(first: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """``each`` numbers from ``first`` on, range after range."""
+    return np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+
+
+def split_texts(texts: list):
+    """The texts' tokens, of a bounded number of letters at a time."""
+    held, letters = [], 0
+    for t in texts:
+        letters += len(t or "")
+        if held and letters > LETTERS:
+            yield held
+            held, letters = [], len(t or "")
+        held.append((t or "").lower().split())
+    if held:
+        yield held
+
+
+def term_counts(texts: list, terms: _Terms) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text's tokens: places of the vocabulary's terms, in order, and occurrences; at the place after them the number of
+    words. Empty without a term."""
+    n = len(terms.places)
+    place, row = terms.found(texts)
+    key, counts = np.unique(row * (n + 1) + place, return_counts=True)
+    row = key // (n + 1)
+    ends = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    place, none = key - row * (n + 1), np.zeros(0, np.int64)
+    return [(np.append(place[a:b], n), np.append(counts[a:b], len(t))) if b > a else (none, none)
+            for a, b, t in zip(ends, ends[1:], texts, strict=False)]
+
+
+def _weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = np.array([1 + math.log(n) for n in counts.tolist()]) * idf[at] if len(at) else np.zeros(0)
+    norm = np.sqrt((w * w).sum())
+    return at, w / norm if norm else w
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """TF-IDF vector of length one: term places in order, and weights."""
     at = np.array(sorted(counts), dtype=np.int64)
-    w = np.array([1 + math.log(counts[p]) for p in at.tolist()]) * idf[at] if len(at) else np.zeros(0)
-    norm = np.sqrt((w * w).sum())
-    return at, w / norm if norm else w
+    return _weighted(at, np.array([counts[p] for p in at.tolist()]), idf)
 
 
 class Index:
@@ -99,7 +172,7 @@ class Index:
         p = p[by]
         self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
         self.starts = np.searchsorted(p, np.arange(n_terms + 1, dtype=p.dtype))
-        self.made_of = None
+        self.made_of = self.room = None
         if made_of is None:
             self.w = np.concatenate([vectors[i][1] for i in order])[by]
             self._derive(p)
@@ -120,11 +193,22 @@ class Index:
         self.block = block[first].astype(np.int32)
         self.top = np.maximum.reduceat(self.w, first)
         self.block_starts = np.searchsorted(p[first], np.arange(len(self.starts), dtype=p.dtype))
+        self.ends = np.append(first, len(p)).astype(np.int32)  # of a term in a block: where its postings begin, and the next one's
+        # the most frequent terms as whole rows: adding one up costs less than its postings
+        each = np.diff(self.starts)
+        often = np.argsort(-each, kind="stable")[:FULL_ROWS]
+        often = often[each[often] * FULL_SHARE >= max(1, len(self.labels))]
+        self.row = np.full(len(each), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), self.blocks * BLOCK))
+        for i, t in enumerate(often.tolist()):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.full[i, self.at[own]] = self.w[own]
 
     def pack(self) -> "Index":
         """Drop what ``unpack`` can derive again."""
         if self.made_of is not None:
-            self.w = self.block = self.top = self.block_starts = None
+            self.__dict__.update(dict.fromkeys(DERIVED))
         return self
 
     def unpack(self) -> None:
@@ -137,38 +221,64 @@ class Index:
         self._derive(p)
 
     def __getstate__(self) -> dict:
-        derived = ("w", "block", "top", "block_starts") if self.made_of is not None else ()
+        derived = ("room", *(DERIVED if self.made_of is not None else ()))
         return {k: None if k in derived else v for k, v in self.__dict__.items()}
 
-    def postings(self, p: int) -> tuple:
-        """Places and weights of a term's examples, and blocks and largest weights."""
-        one, many = slice(self.block_starts[p], self.block_starts[p + 1]), slice(self.starts[p], self.starts[p + 1])
-        return self.at[many], self.w[many], self.block[one], self.top[one]
+    def _bounded(self, at: np.ndarray, w: np.ndarray, k: int, leave_out: int) -> np.ndarray | None:
+        """As ``_scores``, without the blocks that cannot hold one of the k best; None where those do not save most postings."""
+        first = self.block_starts[at]
+        each = self.block_starts[at + 1] - first
+        entry, x = _ranges(first, each), np.repeat(w, each)
+        block, postings = self.block[entry], self.ends[entry + 1] - self.ends[entry]
+        bound = np.bincount(block, x * self.top[entry], self.blocks)
+
+        def add(blocks):
+            own = blocks[block]
+            posting = _ranges(self.ends[entry[own]].astype(np.int64), postings[own])
+            return np.bincount(self.at[posting], self.w[posting] * np.repeat(x[own], postings[own]), self.blocks * BLOCK)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: index order), nearest first, and the cosines. Exact."""
-        if self.w is None:
-            self.unpack()
-        lists = [self.postings(p) for p in at.tolist()]
-        tops = np.concatenate([x * t[3] for t, x in zip(lists, w, strict=True)])
-        bound = np.bincount(np.concatenate([t[2] for t in lists]), tops, self.blocks)
-        where = np.concatenate([t[0] for t in lists])
-        part = np.concatenate([x * t[1] for t, x in zip(lists, w, strict=True)])
-        block = where // BLOCK
         use = np.zeros(self.blocks, bool)
         use[np.argsort(-bound, kind="stable")[:max(2, -(-2 * k // BLOCK))]] = True
-        own = use[block]
-        score = np.bincount(where[own], part[own], self.blocks * BLOCK)
+        score = add(use)
         if leave_out >= 0:
             score[leave_out] = 0
         floor = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         # blocks that could still hold one of the k best
         more = (bound >= floor - 1e-12) & (bound > 0) & ~use
-        if more.any():
-            own = more[block]
-            score += np.bincount(where[own], part[own], self.blocks * BLOCK)
-            if leave_out >= 0:
-                score[leave_out] = 0
+        if 4 * postings[more[block]].sum() > postings.sum():
+            return None
+        return score + add(more) if more.any() else score
+
+    def _scores(self, at: np.ndarray, w: np.ndarray, each: np.ndarray) -> np.ndarray:
+        """The cosine of every example; each: postings of the terms."""
+        row = self.row[at]
+        often, few = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        ends = np.cumsum(each[few])
+        n = int(ends[-1]) if len(ends) else 0
+        # in memory that the process has touched before: fresh pages for every text cost more than the sums
+        if self.room is None or not n <= len(self.room[0]) <= 2 * max(BOUNDED, n):
+            self.room = np.empty(2 * n, np.int64), np.empty(2 * n), np.empty(self.blocks * BLOCK)
+        where, part, product = self.room
+        for a, n_, to, x in zip(self.starts[at[few]].tolist(), each[few].tolist(), ends.tolist(), w[few].tolist(), strict=True):
+            where[to - n_:to] = self.at[a:a + n_]
+            np.multiply(self.w[a:a + n_], x, out=part[to - n_:to])
+        score = np.bincount(where[:n], part[:n], self.blocks * BLOCK) if n else np.zeros(self.blocks * BLOCK)
+        for i, x in zip(row[often].tolist(), w[often].tolist(), strict=True):
+            np.multiply(self.full[i], x, out=product)
+            score += product
+        return score
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine above 0 (ties: index order), nearest first, and the cosines. Exact."""
+        if self.w is None:
+            self.unpack()
+        each = self.starts[at + 1] - self.starts[at]
+        score = self._bounded(at, w, k, leave_out) if each.sum() > BOUNDED else None
+        if score is None:
+            score = self._scores(at, w, each)
+        if leave_out >= 0:
+            score[leave_out] = 0
+        floor = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         found = np.flatnonzero(score >= max(floor, 1e-300))
         best = found[np.lexsort((found, -score[found]))][:k]
         return best, score[best]
@@ -208,24 +318,33 @@ class Model:
         """What a worker keeps for ``score``."""
         return _Terms(self.places), {}, self.whole.caches() if self.whole else None
 
-    def score(self, text: str | None, terms: _Terms, seen: dict, rest: tuple | None = None) -> tuple[float, list]:
-        counts = term_counts(text, terms)
-        if not counts or self.index is None:
-            return self.whole.score(text, *rest) if self.whole else (self.empty, [])
-        key = tuple(sorted(counts.items()))
-        got = seen.get(key)
-        if got is None:
-            at, w = unit(counts, self.idf)
-            best, cosine = self.index.nearest(at, w, NEIGHBOURS)
-            if len(best):
-                raw = self.index.vote(best, cosine, self.base)
-                evidence = [(self.index.ids[i], float(c), int(self.index.labels[i])) for i, c in zip(best[:5].tolist(), cosine, strict=False)]
-                got = float(np.clip(np.interp(raw, self.knots, self.values), 0, 1)), evidence
-            else:
-                got = self.empty, []
-            if len(seen) < RESULT_ENTRIES:
-                seen[key] = got
-        return got
+    def score(self, texts: list, terms: _Terms, seen: dict, rest: tuple | None = None) -> list[tuple[float, list]]:
+        """Score and evidence of each text (``split_texts``)."""
+        if self.index is None:
+            return self.whole.score(texts, *rest) if self.whole else [(self.empty, [])] * len(texts)
+        out = [(self.empty, [])] * len(texts)
+        bare = []
+        for i, (at, counts) in enumerate(term_counts(texts, terms)):
+            if not len(at):
+                bare.append(i)
+                continue
+            key = hashlib.blake2b(at.tobytes() + counts.tobytes(), digest_size=16).digest()
+            got = seen.get(key)
+            if got is None:
+                best, cosine = self.index.nearest(*_weighted(at, counts, self.idf), NEIGHBOURS)
+                if len(best):
+                    raw = self.index.vote(best, cosine, self.base)
+                    evidence = [(self.index.ids[i], float(c), int(self.index.labels[i])) for i, c in zip(best[:5].tolist(), cosine, strict=False)]
+                    got = float(np.clip(np.interp(raw, self.knots, self.values), 0, 1)), evidence
+                else:
+                    got = self.empty, []
+                if len(seen) < RESULT_ENTRIES:
+                    seen[key] = got
+            out[i] = got
+        if bare and self.whole:
+            for i, got in zip(bare, self.whole.score([texts[i] for i in bare], *rest), strict=True):
+                out[i] = got
+        return out
 
 
 def _selected(examples: DataFrame) -> list[str]:
@@ -308,8 +427,11 @@ def _document_frequency(docs: DataFrame, places: dict[str, int], text_col: str)
     def count(batches):
         terms, df = _Terms(shared.value), np.zeros(len(shared.value) + 2, np.int64)
         for b in batches:
-            for t in string_column(b, "text"):
-                df[list(term_counts(t, terms))] += 1
+            for texts in split_texts(string_column(b, "text")):
+                place, row = terms.found(texts)
+                ends = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+                for a, e in zip(ends, ends[1:], strict=False):
+                    df[place[a:e]] += 1  # a term that is there twice counts once
             df[-1] += b.num_rows
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used], pa.int64())], names=["term", "n"])
@@ -349,10 +471,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def vectors(batches):
             terms = _Terms(shared.value)
             for b in batches:
-                counts = [sorted(term_counts(t, terms).items()) for t in string_column(b, "text")]
+                counts = [c for texts in split_texts(string_column(b, "text")) for c in term_counts(texts, terms)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), pa.array([[p for p, _ in c] for c in counts], pa.list_(pa.int32())),
-                     pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
+                    [b.column(0), b.column(2), pa.array([p for p, _ in counts], pa.list_(pa.int32())),
+                     pa.array([n for _, n in counts], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
 
         kind = dict(held.dtypes)["id"]
         rows = held.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").orderBy("id").toArrow()
@@ -416,11 +538,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def judge(batch):
         model, caches = shared_value(shared, "toxicity", lambda model: (model, model.caches()))
-        kind = pa.list_(pa.struct([("doc_id", pa.string() if as_text else pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        got = [model.score(t, *caches) for t in string_column(batch, "text")]
+        got = [g for texts in split_texts(string_column(batch, "text")) for g in model.score(texts, *caches)]
+        flat = [e for g in got for e in g[1]]
+        ids = pa.array([str(e[0]) for e in flat], pa.string()) if as_text else pa.array([e[0] for e in flat], pa.int64())
+        evidence = pa.StructArray.from_arrays([ids, pa.array([e[1] for e in flat], pa.float64()), pa.array([e[2] for e in flat], pa.int32())],
+                                              names=["doc_id", "similarity", "label"])
+        ends = pa.array(np.cumsum([0, *(len(g[1]) for g in got)]), pa.int32())
         return {"score": pa.array([g[0] for g in got], pa.float64()),
                 "predicted": pa.array([int(g[0] >= threshold) for g in got], pa.int32()),
-                "evidence": pa.array([[{"doc_id": str(d) if as_text else d, "similarity": s, "label": y} for d, s, y in g[1]] for g in got], kind)}
+                "evidence": pa.ListArray.from_arrays(ends, evidence)}
 
     return map_texts(docs, judge, "score double, predicted int, evidence array<struct<"
                      f"doc_id:{'string' if as_text else 'bigint'},similarity:double,label:int>>",

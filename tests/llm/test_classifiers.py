@@ -205,3 +205,52 @@ def test_fitting_holds_little_memory():
     tracemalloc.stop()
     assert len(model.index.at) == n * each
     assert peak < 48 * n * each
+
+
+def test_terms_of_many_texts_at_once(monkeypatch):
+    from collections import Counter
+    rng = np.random.default_rng(4)
+    words = ["the", "then", "thens", "thensome", "\u00b2", "\u00b2x!", "\u03a3\u0391\u03a3", "\u0130stanbul", "don't-stop", "12", "a_b", "thens,", "(thens)"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(60)] + [None, "", " \x1c "]
+    every = sorted({f for t in texts for w in toxicity._WORD.findall((t or "").lower()) for f in toxicity.word_terms(w)})
+    places = {t: i for i, t in enumerate(every[::2])}
+
+    def brute(text):
+        tokens = (text or "").lower().split()
+        out = Counter(places[f] for t in tokens for w in toxicity._WORD.findall(t) for f in toxicity.word_terms(w) if f in places)
+        return sorted(out.items()) + [(len(places), len(tokens))] if out else []
+
+    for entries, letters in ((300_000, 1 << 20), (3, 50)):  # nothing is forgotten, or all of it again and again
+        monkeypatch.setattr(toxicity, "TERM_ENTRIES", entries)
+        monkeypatch.setattr(toxicity, "LETTERS", letters)
+        terms = toxicity._Terms(places)
+        got = [c for some in toxicity.split_texts(texts) for c in toxicity.term_counts(some, terms)]
+        assert [list(zip(at.tolist(), n.tolist())) for at, n in got] == [brute(t) for t in texts]
+    terms = toxicity._Terms(places)
+    assert terms["thens,"] == terms["(thens)"] == terms["thens"] > 0 == terms["12"]
+
+
+@pytest.mark.parametrize("bounded,rows", [(0, 0), (0, 9), (1 << 20, 0), (1 << 20, 9)])
+def test_nearest_by_blocks_or_by_whole_rows(monkeypatch, bounded, rows):
+    monkeypatch.setattr(toxicity, "BOUNDED", bounded)
+    monkeypatch.setattr(toxicity, "FULL_ROWS", rows)
+    rng = np.random.default_rng(6)
+    idf = np.append(rng.uniform(1, 5, 40), 1.0)
+    often = np.append(np.full(10, 9.0), np.ones(30)) / 120  # ten terms that many examples have
+
+    def vector():
+        at = rng.choice(40, 12, replace=False, p=often)
+        return toxicity.unit({**{int(p): int(rng.integers(1, 4)) for p in at}, 40: int(rng.integers(3, 200))}, idf)
+
+    held = [vector() for _ in range(500)]
+    index = toxicity.Index(held, rng.integers(0, 2, 500), list(range(500)), 41, {0: 1.0, 1: 1.0})
+    assert len(index.full) == rows
+    dense = np.zeros((500, 41))
+    for row, i in enumerate(index.ids):
+        dense[row, held[i][0]] = held[i][1]
+    for _ in range(30):
+        at, w = vector()
+        scores = dense[:, at] @ w
+        best, cosine = index.nearest(at, w, 15, leave_out=7)
+        scores[7] = 0
+        assert np.allclose(cosine, np.sort(scores)[::-1][:15]) and np.allclose(scores[best], cosine) and 7 not in best
